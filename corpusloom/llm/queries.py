@@ -12,6 +12,7 @@ _OPS: dict[str, tuple[str, str | None]] = {
     "op1_url_filters": ("urls", None),
     "op5_chat_formatting": ("chat", "OP5_SQL"),
     "op7_mixing": ("mixing", "OP7_SQL"),
+    "op8_quality_rules": ("quality_rules", None),
 }
 
 
