@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _OPS: dict[str, tuple[str, str | None]] = {
     "op1_url_filters": ("urls", None),
     "op2_sentencepiece": ("pieces", None),
+    "op3_substring_dedup": ("substring", None),
     "op4_language_id": ("langid", None),
     "op5_chat_formatting": ("chat", "OP5_SQL"),
     "op7_mixing": ("mixing", "OP7_SQL"),
