@@ -20,7 +20,7 @@ _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text handled at once; a longer document is handled alone.
-SLICE = 1 << 21
+SLICE = 1 << 19
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -125,7 +125,7 @@ PACKED_ARROW = pa.schema(
     [("bucket", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("vals", pa.binary())]
 )
 #: Values gathered before rows are sent.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 
 
 def packed_rows(doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, kind: int) -> list[tuple]:
