@@ -14,6 +14,7 @@ _OPS: dict[str, tuple[str, str | None]] = {
     "op3_substring_dedup": ("substring", None),
     "op4_language_id": ("langid", None),
     "op5_chat_formatting": ("chat", "OP5_SQL"),
+    "op6_jaccard_join": ("jaccard", None),
     "op7_mixing": ("mixing", "OP7_SQL"),
     "op8_quality_rules": ("quality_rules", None),
     "op9_quality_classifier": ("resampling", None),
