@@ -18,6 +18,7 @@ _OPS: dict[str, tuple[str, str | None]] = {
     "op7_mixing": ("mixing", "OP7_SQL"),
     "op8_quality_rules": ("quality_rules", None),
     "op9_quality_classifier": ("resampling", None),
+    "op10_nearest_neighbours": ("hilbert", None),
 }
 
 
