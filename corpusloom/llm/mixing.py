@@ -15,7 +15,7 @@ Only rows per source, per shard and per document exist; blocks are numbers insid
 
 Defined results: null text has size 0 and takes 0; null source is a source of its own, last; equal
 doc_ids are ordered by size too, so reruns agree; no rows give no rows; extra columns are ignored
-unless named in ``keep``.
+unless named in ``keep``, which come back as kept_*.
 """
 
 from __future__ import annotations
@@ -152,7 +152,7 @@ def mix(
         (F.col("_full") * F.col("size") + partial).alias("taken"),
         F.col("_full").alias("copies"),
         "spans",
-        *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)],
+        *[F.col(f"_keep_{i}").alias(f"kept_{c}") for i, c in enumerate(keep)],
     )
 
 

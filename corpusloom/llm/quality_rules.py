@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table
+from corpusloom.llm.common import long_id, table
 from corpusloom.llm.words import _BYTE, U, Texts, mixed, run_hashes, slices
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -220,12 +220,12 @@ def train(documents: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000)
 
 
 def judge(documents: DataFrame, model: Trees | None, *, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, base statistics, base_failed, kept, score and the columns in ``keep``."""
-    fields = [documents.schema[c] for c in keep]
+    """doc_id, base statistics, base_failed, kept, score and the columns in ``keep``, named kept_*."""
     held = documents.sparkSession.sparkContext.broadcast(model)
-    arrow = pa.schema(
-        [("doc_id", pa.int64()), *[(c, pa.int64()) for c in BASE], ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("score", pa.float64())]
-    )
+    extra = [c for c in keep if c != "text"]
+    rows = documents.select(long_id(documents), "text", *[F.col(c).alias(f"kept_{c}") for c in extra])
+    passed = [*(["text"] if "text" in keep else []), *[f"kept_{c}" for c in extra]]
+    names = ["doc_id", *BASE, "base_failed", "kept", "score", *[p if p != "text" else "kept_text" for p in passed]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,15 +235,13 @@ def judge(documents: DataFrame, model: Trees | None, *, threshold: float = 0.5,
                 score = held.value.score(features(s)) if held.value is not None else np.ones(t.n)
                 columns = [batch.column(0).slice(t.first, t.n), *[pa.array(s[c].astype(np.int64)) for c in BASE]]
                 columns += [pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)]
-                columns += [batch.column(2 + i).slice(t.first, t.n) for i in range(len(keep))]
-                names = [*arrow.names, *[f"_keep_{i}" for i in range(len(keep))]]
+                columns += [batch.column(batch.schema.get_field_index(p)).slice(t.first, t.n) for p in passed]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     ddl = "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, kept boolean, score double"
-    ddl += "".join(f", _keep_{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
-    rows = documents.select("doc_id", "text", *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
-    out = rows.mapInArrow(run, ddl)
-    return out.withColumnsRenamed({f"_keep_{i}": f"kept_{c}" for i, c in enumerate(keep)})
+    for p, n in zip(passed, names[4 + len(BASE) :], strict=True):
+        ddl += f", `{n}` {rows.schema[p].dataType.simpleString()}"
+    return rows.mapInArrow(run, ddl)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
