@@ -47,3 +47,8 @@ def partitions(spark: SparkSession) -> int:
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def long_id(df: DataFrame, name: str = "doc_id") -> Column:
+    """The column as long; left as it is if it is one, so that equal scans stay equal plans."""
+    return F.col(name) if df.schema[name].dataType.simpleString() == "bigint" else F.col(name).cast("long").alias(name)

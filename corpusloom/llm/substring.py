@@ -31,15 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import partitions, table
-from corpusloom.llm.words import PACKED, Packer, Texts, U, packed_rows, slices, to_batch, unpacked
+from corpusloom.llm.common import long_id, partitions, table
+from corpusloom.llm.words import PACKED, Packer, Texts, U, answers, found_values, gathered, slices, to_batch, unpacked
 
 WINDOW = 50
-SALTS = 4
+SALTS = 2
 _ANCHOR_BASE, _WINDOW_BASE = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
-_ANSWER = pa.schema([("doc_id", pa.int64()), ("found", pa.binary())])
-
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U(32)) % U(buckets)).astype(np.int32)
@@ -50,14 +48,6 @@ def _anchor_keys(h: np.ndarray, buckets: int) -> np.ndarray:
     return (_bucket(h, buckets).astype(np.uint64) << U(32)) | (h & U(0xFFFFFFFF))
 
 
-def _per_doc(doc: np.ndarray, value: np.ndarray) -> list[tuple]:
-    """Rows (doc_id, values) with values of a document together."""
-    order = np.argsort(doc, kind="stable")
-    doc, value = doc[order], value[order]
-    cut = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]])
-    return [(int(doc[a]), value[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a]
-
-
 def anchors(docs: DataFrame, block: int, buckets: int, salts: int) -> DataFrame:
     """Packed index rows (kind 0) and probe rows (kind 1)."""
 
@@ -81,8 +71,8 @@ def anchors(docs: DataFrame, block: int, buckets: int, salts: int) -> DataFrame:
     return docs.mapInArrow(run, PACKED)
 
 
-def shared_anchors(packed: DataFrame, salts: int) -> DataFrame:
-    """doc_id, found: anchors of the document that a smaller or a larger document also has."""
+def shared_anchors(packed: DataFrame, salts: int, shares: int) -> DataFrame:
+    """Answers: anchors of a document that a smaller or a larger document also has."""
 
     def run(t: pa.Table) -> pa.Table:
         bucket = t["bucket"][0].as_py() // salts
@@ -90,7 +80,7 @@ def shared_anchors(packed: DataFrame, salts: int) -> DataFrame:
         idoc, ih = unpacked(t.filter(pa.array(kinds == 0)), np.uint32)
         pdoc, ph = unpacked(t.filter(pa.array(kinds == 1)), np.uint32)
         if not len(ih):
-            return pa.Table.from_batches([], schema=_ANSWER)
+            return answers(idoc, ih.astype(np.uint64), shares)
         u, where = np.unique(ih, return_inverse=True)
         least = np.full(len(u), np.iinfo(np.int64).max)
         np.minimum.at(least, where, idoc)
@@ -103,14 +93,9 @@ def shared_anchors(packed: DataFrame, salts: int) -> DataFrame:
         earlier = most[where] > idoc
         doc = np.concatenate([pdoc[later], idoc[earlier]])
         key = (np.uint64(bucket) << U(32)) | np.concatenate([ph[later], ih[earlier]]).astype(np.uint64)
-        return pa.Table.from_batches([to_batch(_per_doc(doc, key), _ANSWER)])
-
-    return packed.groupBy("bucket").applyInArrow(run, "doc_id long, found binary")
-
+        return answers(doc, key, shares)
 
-def _found(column: pa.Array) -> Iterator[np.ndarray | None]:
-    for parts in column.to_pylist():
-        yield np.unique(np.concatenate([np.frombuffer(p, np.uint64) for p in parts])) if parts else None
+    return packed.groupBy("bucket").applyInArrow(run, PACKED)
 
 
 def _member(found: list[np.ndarray | None], t: Texts, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -132,7 +117,7 @@ def extensions(docs: DataFrame, window: int, block: int, buckets: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Packer()
         for batch in batches:
-            ids, found = batch.column(0).to_numpy(), list(_found(batch.column(2)))
+            ids, found = batch.column(0).to_numpy(), found_values(batch.column(2))
             for t in slices(batch):
                 t.hash_words()
                 at, h = t.windows(block, _ANCHOR_BASE)
@@ -151,8 +136,8 @@ def extensions(docs: DataFrame, window: int, block: int, buckets: int) -> DataFr
     return docs.mapInArrow(run, PACKED)
 
 
-def repeats(packed: DataFrame) -> DataFrame:
-    """doc_id, found: windows of the document that a smaller document also has."""
+def repeats(packed: DataFrame, shares: int) -> DataFrame:
+    """Answers: windows of a document that a smaller document also has."""
 
     def run(t: pa.Table) -> pa.Table:
         doc, h = unpacked(t, np.uint64)
@@ -160,15 +145,15 @@ def repeats(packed: DataFrame) -> DataFrame:
         least = np.full(len(u), np.iinfo(np.int64).max)
         np.minimum.at(least, where, doc)
         later = doc > least[where]
-        return pa.Table.from_batches([to_batch(_per_doc(doc[later], h[later]), _ANSWER)])
+        return answers(doc[later], h[later], shares)
 
-    return packed.groupBy("bucket").applyInArrow(run, "doc_id long, found binary")
+    return packed.groupBy("bucket").applyInArrow(run, PACKED)
 
 
-def _removal(window: int, n_keep: int, digest: bool):
+def _removal(window: int, n_keep: int, digest: bool, source: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_found(batch.column(2)))
+            found = found_values(batch.column(2))
             for t in slices(batch):
                 t.hash_words()
                 at, h = t.windows(window, _WINDOW_BASE)
@@ -194,31 +179,35 @@ def _removal(window: int, n_keep: int, digest: bool):
                     columns.append(pa.array([hashlib.sha256(text[a:b]).hexdigest() for a, b in zip(sizes[:-1], sizes[1:], strict=True)]))
                 else:
                     columns.append(pa.array([text[a:b].decode() for a, b in zip(sizes[:-1], sizes[1:], strict=True)], pa.string()))
+                if source:
+                    columns.append(batch.column(1).slice(t.first, t.n))
                 columns += [batch.column(3 + i).slice(t.first, t.n) for i in range(n_keep)]
-                names = ["doc_id", "n_words", "n_removed", "kept"] + [f"_keep_{i}" for i in range(n_keep)]
+                names = ["doc_id", "n_words", "n_removed", "kept", *["source_text"] * source, *[f"_keep_{i}" for i in range(n_keep)]]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def remove_repeats(documents: DataFrame, *, window: int = WINDOW, salts: int = SALTS, keep: Sequence[str] = (), digest: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the kept words joined by one space, or their sha256) and ``keep``."""
+def remove_repeats(
+    documents: DataFrame, *, window: int = WINDOW, salts: int = SALTS, keep: Sequence[str] = (), digest: bool = False, source: bool = False
+) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the kept words joined by one space, or their sha256),
+    source_text if asked for, and the columns in ``keep``, named kept_*."""
     block = window // 2
-    buckets = 2 * partitions(documents.sparkSession)
+    buckets = max(8, partitions(documents.sparkSession))
     fields = [documents.schema[c] for c in keep]
     docs = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
+        long_id(documents), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
     )
     known = docs.where(F.col("doc_id").isNotNull())
-    gather = lambda answers: answers.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
-    shared = gather(shared_anchors(anchors(known.select("doc_id", "text"), block, buckets, salts), salts))
+    shared = gathered(shared_anchors(anchors(known.select("doc_id", "text"), block, buckets, salts), salts, buckets))
     near = known.select("doc_id", "text").join(shared, "doc_id").select("doc_id", "text", "found")
-    found = gather(repeats(extensions(near, window, block, buckets)))
+    found = gathered(repeats(extensions(near, window, block, buckets), buckets))
     kept = [f"_keep_{i}" for i in range(len(keep))]
     whole = known.join(found, "doc_id", "left").select("doc_id", "text", "found", *kept)
-    whole = whole.unionByName(docs.where(F.col("doc_id").isNull()).withColumn("found", F.lit(None).cast("array<binary>")))
-    ddl = "doc_id long, n_words long, n_removed long, kept string" + "".join(f", _keep_{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
-    return whole.mapInArrow(_removal(window, len(keep), digest), ddl).withColumnsRenamed({f"_keep_{i}": c for i, c in enumerate(keep)})
+    whole = whole.unionByName(docs.where(F.col("doc_id").isNull()).withColumn("found", F.lit(None).cast("binary")))
+    ddl = "doc_id long, n_words long, n_removed long, kept string" + ", source_text string" * source + "".join(f", _keep_{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
+    return whole.mapInArrow(_removal(window, len(keep), digest, source), ddl).withColumnsRenamed({f"_keep_{i}": f"kept_{c}" for i, c in enumerate(keep)})
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

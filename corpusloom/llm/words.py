@@ -142,7 +142,8 @@ def packed_rows(doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, kind: in
     ends = np.concatenate([at, [len(doc)]])
     out = []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
-        out.append((int(head_bucket[a]), kind, heads[a:b].tobytes(), runs[a:b].tobytes(), value[ends[a] : ends[b]].tobytes()))
+        ids = np.diff(heads[a:b], prepend=0)  # small numbers compress well
+        out.append((int(head_bucket[a]), kind, ids.tobytes(), runs[a:b].tobytes(), value[ends[a] : ends[b]].tobytes()))
     return out
 
 
@@ -171,6 +172,41 @@ def unpacked(table: pa.Table, dtype) -> tuple[np.ndarray, np.ndarray]:
     """doc and value of all rows of a bucket."""
     docs, values = [np.zeros(0, np.int64)], [np.zeros(0, dtype)]
     for d, c, v in zip(table["docs"].to_pylist(), table["counts"].to_pylist(), table["vals"].to_pylist(), strict=True):
-        docs.append(np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.uint32)))
+        docs.append(np.repeat(np.cumsum(np.frombuffer(d, np.int64)), np.frombuffer(c, np.uint32)))
         values.append(np.frombuffer(v, dtype))
     return np.concatenate(docs), np.concatenate(values)
+
+
+# --- answers to documents -------------------------------------------------------------------------
+
+
+def share_of(doc: np.ndarray, shares: int) -> np.ndarray:
+    """Share of the documents in which answers to a document meet."""
+    return (mixed(doc.astype(np.uint64)) % U(shares)).astype(np.int32)
+
+
+def answers(doc: np.ndarray, value: np.ndarray, shares: int) -> pa.Table:
+    """Values of 64 bits to documents, packed by share."""
+    return pa.Table.from_batches([to_batch(packed_rows(doc, share_of(doc, shares), value, 0))])
+
+
+def gathered(packed):
+    """doc_id, found: the distinct values sent to each document, sorted, in one binary."""
+
+    def run(t: pa.Table) -> pa.Table:
+        doc, value = unpacked(t, np.uint64)
+        order = np.lexsort((value, doc))
+        doc, value = doc[order], value[order]
+        new = np.ones(len(doc), dtype=bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
+        doc, value = doc[new], value[new]
+        cut = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]])
+        found = [value[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a]
+        return pa.table({"doc_id": pa.array(doc[cut[:-1]] if len(doc) else doc, pa.int64()), "found": pa.array(found, pa.binary())})
+
+    return packed.groupBy("bucket").applyInArrow(run, "doc_id long, found binary")
+
+
+def found_values(column: pa.Array) -> list[np.ndarray | None]:
+    """Per document the sorted values of its answers, or None."""
+    return [np.frombuffer(f, np.uint64) if f else None for f in column.to_pylist()]
