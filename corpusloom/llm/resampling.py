@@ -1,7 +1,8 @@
 """Quality classifier by importance resampling (hashed n-gram models, Gumbel top-k).
 
-Two generative models count hashed unigrams and bigrams of words in ``buckets`` buckets: the target
-model over documents labelled good and not toxic, the raw model over all documents.  A document's
+Two generative models count hashed unigrams and bigrams of words in ``buckets`` buckets: the raw model
+over all documents, the target model over documents labelled good and not toxic, of which it takes at
+most ``target_rows``, the smallest by hash of doc_id (so the broadcast list of them is bounded).  A document's
 weight is the mean over its n-grams of log target - log raw, times ``sharpness``, so that long and
 short documents compete alike.  Adding Gumbel noise seeded by doc_id and text and keeping the k largest samples k
 documents without replacement in proportion to exp(weight).  k is ``fraction`` of all documents, by
@@ -119,6 +120,7 @@ def resample(
     labels: DataFrame,
     *,
     fraction: float | None = None,
+    target_rows: int = 20_000,
     buckets: int = BUCKETS,
     sharpness: float = SHARPNESS,
     seed: int = SEED,
@@ -127,8 +129,9 @@ def resample(
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         (F.min(F.coalesce("quality", F.lit(0))) == 1).alias("good"), (F.max(F.coalesce("toxic", F.lit(0))) == 1).alias("bad")
     )
-    flags = marks.select("doc_id", (F.col("good") & ~F.col("bad")).alias("target"))
     seen, good = marks.agg(F.count(F.lit(1)), F.count_if(F.col("good"))).first()
+    flags = marks.where(F.col("good") & ~F.col("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows)
+    flags = F.broadcast(flags.select("doc_id", F.lit(True).alias("target")))
     if fraction is None:
         fraction = good / seen if seen and good else 1.0
     docs = documents.select("doc_id", "text")
