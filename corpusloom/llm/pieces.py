@@ -14,9 +14,9 @@ nothing if merging its characters by score gives the pair back, and infinity oth
 of pieces is the BPE encoding of its string exactly if every neighbouring pair passes, so a state has
 one last piece at most and the shortest path is the only one of finite weight.
 
-No piece crosses from another character into the meta symbol, and none holds a line feed, tab or
-carriage return, if the model's pieces say so; then the input is cut there and each cut is composed
-alone, with results kept per process in a table of bounded size.
+Where no piece of the model can span (as a rule before the meta symbol, around line feeds and between
+letters and other characters) the input is cut, and each cut is composed alone, with results kept per
+process in a table of bounded size.
 
 Defined results: null and empty text have no ids; text longer than a batch is one row like any other;
 no rows give no rows; repeated rows stay; extra columns are ignored.
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import table
 
 META = "▁"
-#: Segments whose result is kept by a process.
-KEPT = 400_000
+#: Segments whose result is kept by a process, in each of two generations.
+KEPT = 250_000
 
 
 def default_model() -> str:
@@ -85,15 +85,26 @@ class Transducer:
         self.starts = {s[:k] for s in self.ids for k in range(1, len(s) + 1)}
         self.chars = {c for s in self.ids for c in s}
         self.unknown_cost = 10.0 - min(self.score)
-        cut_meta = not any(META in s.lstrip(META) for s in self.ids)
-        alone = "".join(c for c in "\n\t\r" if c not in self.chars)
-        if cut_meta:
-            self.segments = re.compile(f"{META}+[^{META}{alone}]*|[^{META}{alone}]+" + (f"|[{alone}]" if alone else "")).findall
-        else:
-            self.segments = lambda s: [s] if s else []
+        self.segments = self._cutter()
         self.pairs: dict[int, bool] = {}
         self.kept: dict[str, bytes] = _Kept(self)
 
+    def _cutter(self):
+        """Cuts a string where no piece can span: before the meta symbol, around line feeds, tabs and
+        carriage returns, and between letters and other characters, as far as the pieces allow each."""
+        pairs = {s[k : k + 2] for s in self.ids for k in range(len(s) - 1)}
+        if any(p[1] == META and p[0] != META for p in pairs):
+            return lambda s: [s] if s else []
+        alone = "".join(c for c in "\n\t\r" if c not in self.chars)
+        odd = "".join(sorted(c for c in self.chars if not c.isalpha() and re.fullmatch(r"[^\W\d_]", c)))
+        letter = re.compile(rf"[^\W\d_{odd}]").fullmatch
+        if any(META not in p and bool(letter(p[0])) != bool(letter(p[1])) for p in pairs):
+            parts = [f"{META}+[^{META}{alone}]*", f"[^{META}{alone}]+"]
+        else:
+            other = f"(?:[\\d_{odd}]|[^\\w{META}{alone}])+"
+            parts = [f"{META}*[^\\W\\d_{odd}]+", f"{META}*{other}", f"{META}+"]
+        return re.compile("|".join(parts + ([f"[{alone}]"] if alone else []))).findall
+
     # -- compilation of the pair acceptor ----------------------------------------------------------
     def merged(self, s: str) -> list[str]:
         """Characters of a short string merged by score, highest and leftmost first."""
@@ -211,13 +222,19 @@ class Transducer:
 
 
 class _Kept(dict):
+    """Results of segments in two generations: a full one becomes the old one, and what is used again
+    moves to the new one, so frequent segments stay."""
+
     def __init__(self, of: Transducer):
-        self.of = of
+        self.of, self.old = of, {}
 
     def __missing__(self, segment: str) -> bytes:
-        ids = np.array(self.of.shortest(segment), dtype="<i4").tobytes()
+        ids = self.old.get(segment)
+        if ids is None:
+            ids = np.array(self.of.shortest(segment), dtype="<i4").tobytes()
         if len(segment) <= 64:
             if len(self) >= KEPT:
+                self.old = dict(self)
                 self.clear()
             self[segment] = ids
         return ids
