@@ -7,8 +7,10 @@ threshold t.  The result is exact (to 64-bit hashes) and gives connected classes
    counts for each document the shingles that another document has too.  A link needs a common part
    of t times either set, so documents with fewer shared shingles are out.  Documents with equal sets
    become one representative, the smallest doc_id.
-2. Groups.  Two linked sets share a shingle among the first n - ceil(t n) + 1 of each in hash order;
-   joining documents on those gives groups of similar documents outside of which no link exists.
+2. Groups.  Two linked sets share a shingle among the first n - ceil(t n) + 1 of each in any common
+   order.  Buckets count the representatives with each shingle, documents order theirs by frequency and
+   hash, and joining documents on prefixes gives groups outside of which no link exists; a passage
+   common to many documents joins only those made of such passages.
 3. Matrix.  Groups are dealt to tasks of bounded size (``task_shingles``); a larger group is split by
    hash and its parts share a few pivots.  A task divides its documents by first shingle, stores the
    union of each division's shingles as a sparse token-group matrix, counts each query's overlap with
@@ -32,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import partitions, stored, table
+from corpusloom.llm.common import long_id, partitions, stored, table
 from corpusloom.llm.graphs import components
-from corpusloom.llm.words import PACKED, Packer, Texts, U, mixed, run_hashes, slices, to_batch, unpacked
+from corpusloom.llm.words import PACKED, Packer, Texts, U, answers, found_values, gathered, mixed, packed_rows, run_hashes, share_of, slices, to_batch, unpacked
 
 K = 5
 PERCENT = 75
@@ -99,29 +101,49 @@ def sent_shingles(docs: DataFrame, k: int, buckets: int) -> DataFrame:
 _COUNTED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("shared", pa.int64())])
 
 
-def shared_counts(packed: DataFrame) -> DataFrame:
-    """doc_id, n, k1, k2, shared: sizes and digests of the sets, and how many shingles others have."""
+def shared_counts(packed: DataFrame, shares: int) -> DataFrame:
+    """doc_id, n, k1, k2, shared: sizes and digests of the sets, and how many shingles others have.
+
+    Buckets answer in packed rows per share of the documents, and a share adds them up.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         kinds = t["kind"].to_numpy()
         doc, h = unpacked(t.filter(pa.array(kinds == 0)), np.uint32)
-        order = np.lexsort((doc, h))
-        doc, h = doc[order], h[order]
-        new = np.ones(len(doc), dtype=bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-        doc, h = doc[new], h[new]
-        many = np.zeros(len(h), dtype=bool)
-        many[1:] = h[1:] == h[:-1]
-        many[:-1] |= h[1:] == h[:-1]
-        found, n = np.unique(doc[many], return_counts=True)
+        doc, h = _distinct(doc, h)
+        found, n = np.unique(doc[_repeated(h)], return_counts=True)
         hdoc, head = unpacked(t.filter(pa.array(kinds == 1)), _HEAD)
-        none = pa.nulls(len(found), pa.int64())
-        columns = [[pa.array(hdoc), *[pa.array(np.ascontiguousarray(head[c]).view(np.int64)) for c in ("n", "k1", "k2")], pa.array(np.zeros(len(hdoc), np.int64))]]
-        columns.append([pa.array(found), none, none, none, pa.array(n.astype(np.int64))])
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays(c, schema=_COUNTED) for c in columns])
+        rows = packed_rows(found, share_of(found, shares), n.astype(np.uint32), 0) + packed_rows(hdoc, share_of(hdoc, shares), head, 1)
+        return pa.Table.from_batches([to_batch(rows)])
+
+    def add(t: pa.Table) -> pa.Table:
+        kinds = t["kind"].to_numpy()
+        hdoc, head = unpacked(t.filter(pa.array(kinds == 1)), _HEAD)
+        ids, first = np.unique(hdoc, return_index=True)
+        doc, n = unpacked(t.filter(pa.array(kinds == 0)), np.uint32)
+        shared = np.bincount(np.searchsorted(ids, doc), weights=n, minlength=len(ids)).astype(np.int64)
+        values = [np.ascontiguousarray(head[c][first]).view(np.int64) for c in ("n", "k1", "k2")]
+        return pa.Table.from_arrays([pa.array(x) for x in (ids, *values, shared)], schema=_COUNTED)
+
+    out = packed.groupBy("bucket").applyInArrow(run, PACKED)
+    return out.groupBy("bucket").applyInArrow(add, "doc_id long, n long, k1 long, k2 long, shared long")
 
-    out = packed.groupBy("bucket").applyInArrow(run, "doc_id long, n long, k1 long, k2 long, shared long")
-    return out.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("k1").alias("k1"), F.max("k2").alias("k2"), F.sum("shared").alias("shared"))
+
+def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, by hash and document."""
+    order = np.lexsort((doc, h))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    return doc[new], h[new]
+
+
+def _repeated(h: np.ndarray) -> np.ndarray:
+    """Which entries of a sorted array have an equal neighbour."""
+    many = np.zeros(len(h), dtype=bool)
+    many[1:] = h[1:] == h[:-1]
+    many[:-1] |= h[1:] == h[:-1]
+    return many
 
 
 # --- 2. groups ------------------------------------------------------------------------------------
@@ -158,18 +180,57 @@ def _forest_edges(ids: np.ndarray, forest: Forest) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[roots[moved]])], schema=_EDGE)
 
 
-def prefix_edges(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """a, b: joins every two documents that share a prefix shingle, as forests per bucket."""
+def frequencies(docs: DataFrame, k: int, buckets: int) -> DataFrame:
+    """Answers: for each shingle that other documents have too, its key and the logarithm of the
+    number of documents with it, in one value."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Packer()
         for batch in batches:
             ids = batch.column(0).to_numpy()
+            for t in slices(batch, lower=True):
+                doc, h = shingle_sets(t, k)
+                rows = out.add(ids[t.first + doc], _bucket(h, buckets), h.astype(np.uint32))
+                if rows:
+                    yield to_batch(rows)
+        yield to_batch(out.flush())
+
+    def count(t: pa.Table) -> pa.Table:
+        doc, h = _distinct(*unpacked(t, np.uint32))
+        _, where, n = np.unique(h, return_inverse=True, return_counts=True)
+        level = np.log2(n).astype(np.uint64)[where]
+        many = level > 0
+        key = (np.uint64(t["bucket"][0].as_py()) << U(32)) | h[many].astype(np.uint64)
+        return answers(doc[many], (key << U(6)) | level[many], buckets)
+
+    return docs.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(count, PACKED)
+
+
+def prefix_edges(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
+    """a, b: joins every two documents that share a prefix shingle, as forests per bucket.
+
+    docs: doc_id, text, found.  Shingles are ordered by frequency, then hash, so that a prefix holds a
+    document's rarest shingles and common passages join only documents made of them.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Packer()
+        for batch in batches:
+            ids, found = batch.column(0).to_numpy(), found_values(batch.column(2))
             for t in slices(batch, lower=True):
                 doc, h = shingle_sets(t, k)
                 n = np.bincount(doc, minlength=t.n)
                 first = np.concatenate([[0], np.cumsum(n)])
-                early = np.arange(len(doc)) - first[doc] < prefix_length(n, percent)[doc]
+                key = (_bucket(h, buckets).astype(np.uint64) << U(32)) | (h & U(0xFFFFFFFF))
+                level = np.zeros(len(h), dtype=np.int64)
+                for d, f in enumerate(found[t.first : t.last]):
+                    mine = slice(first[d], first[d + 1])
+                    if f is not None and n[d]:
+                        pos = np.minimum(np.searchsorted(f >> U(6), key[mine]), len(f) - 1)
+                        level[mine] = np.where(f[pos] >> U(6) == key[mine], f[pos] & U(63), U(0))
+                order = np.lexsort((h, level, doc))
+                doc, h, level = doc[order], h[order], level[order]
+                early = (np.arange(len(doc)) - first[doc] < prefix_length(n, percent)[doc]) & (level > 0)
                 rows = out.add(ids[t.first + doc[early]], _bucket(h[early], buckets), h[early].astype(np.uint32))
                 if rows:
                     yield to_batch(rows)
@@ -296,16 +357,18 @@ def similar_classes(documents: DataFrame, *, k: int = K, percent: int = PERCENT,
     """doc_id, n_shingles, component_id (null without doc_id), one row per row of documents."""
     spark = documents.sparkSession
     buckets = max(8, partitions(spark))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = documents.select(long_id(documents), F.coalesce("text", F.lit("")).alias("text"))
     known = docs.where(F.col("doc_id").isNotNull())
-    counts = stored(shared_counts(sent_shingles(known, k, buckets)))
+    counts = stored(shared_counts(sent_shingles(known, k, buckets), buckets))
     able = counts.where(F.col("n").isNotNull() & (100 * F.col("shared") >= percent * F.col("n")))
     same = able.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     members = stored(able.join(same, ["n", "k1", "k2"]).select("doc_id", "rep", "n"))
     reps = members.where("doc_id = rep").select("doc_id", "n")
-    texts = stored(known.join(reps.select("doc_id"), "doc_id", "left_semi"))
+    # by merging at every size: the lists of documents grow with the input and are never broadcast
+    texts = stored(known.join(reps.select("doc_id").hint("merge"), "doc_id", "left_semi"))
 
-    grouped = components(prefix_edges(texts, k, percent, buckets)).select(F.col("node").alias("doc_id"), F.col("component").alias("g"))
+    rare = texts.join(gathered(frequencies(texts, k, buckets)).hint("merge"), "doc_id").select("doc_id", "text", "found")
+    grouped = components(prefix_edges(rare, k, percent, buckets)).select(F.col("node").alias("doc_id"), F.col("component").alias("g"))
     sized = reps.join(grouped, "doc_id")  # documents alone in their group have no link
     groups = sized.groupBy("g").agg(F.sum("n").alias("w"))
     total = groups.agg(F.sum("w")).first()[0] or 0
@@ -326,7 +389,7 @@ def similar_classes(documents: DataFrame, *, k: int = K, percent: int = PERCENT,
     pivots = pivots.select("doc_id", F.col("g").alias("x"), "part", F.explode(F.expr("sequence(0L, parts - 1)")).alias("y"))
     pivot_rows = pivots.select("doc_id", F.lit(2).alias("ask"), F.struct("x", "y", F.lit(0).cast("long").alias("z")).alias("task"))
     tasks = tasks.unionByName(pivot_rows).groupBy("doc_id", "task").agg(F.max("ask").alias("ask"))
-    links = stored(links_in_tasks(texts.join(tasks, "doc_id"), k, percent))
+    links = stored(links_in_tasks(texts.join(tasks.hint("merge"), "doc_id"), k, percent))
     classes = components(links)
 
     if not placed.where(split).isEmpty():
@@ -341,7 +404,7 @@ def similar_classes(documents: DataFrame, *, k: int = K, percent: int = PERCENT,
         told = now.join(weight, "g").select("doc_id", F.lit(0).alias("ask"), "g", F.col("part").alias("y"), F.explode(F.expr("sequence(0L, asks - 1)")).alias("z"))
         more = asked.unionByName(told).groupBy("doc_id", "g", "y", "z").agg(F.max("ask").alias("ask"))
         more = more.select("doc_id", "ask", F.struct(F.col("g").alias("x"), "y", "z").alias("task"))
-        links = links.unionByName(links_in_tasks(texts.join(more, "doc_id"), k, percent))
+        links = links.unionByName(links_in_tasks(texts.join(more.hint("merge"), "doc_id"), k, percent))
         classes = components(links)
 
     found = members.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left")
