@@ -72,7 +72,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(
-    edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 20, cut: int = 5, tolerance: float = 1e-6
+    edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 60, cut: int = 5, tolerance: float = 1e-6
 ) -> DataFrame:
     """host, kind, x: ranks of each kind ('trust' forwards, 'distrust' backwards), summing to 1.
 
