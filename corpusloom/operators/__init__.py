@@ -1 +1 @@
-
+"""Relational operators over documents, chunks and graphs."""

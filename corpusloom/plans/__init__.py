@@ -1 +1 @@
-
+"""Compositions of operators."""

@@ -1,15 +1,674 @@
-"""Queries of the document-graph operators and their SQL."""
+"""Queries of the document-graph operators and their SQL.
+
+Every query runs over its whole tables.  Lists are joined into strings where results are compared.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.operators import cues as C
+from corpusloom.operators import documents as D
+from corpusloom.operators import evaluation as E
+from corpusloom.operators import graphs as G
+from corpusloom.operators import paths as P
+from corpusloom.operators import retrieval as R
+from corpusloom.operators import structure as S
+from corpusloom.plans import base as B
+from corpusloom.plans.tables import stored
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def put(f):
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql:
+            _SQL[key] = sql
+        return f
+
+    return put
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _joined(c: str, sep: str = "|"):
+    return F.array_join(c, sep).alias(c)
+
+
+# --- retrieval flagship ---------------------------------------------------------------------------
+
+_WORDS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')"
+_BM25 = rf"""
+w as (select chunk_id id, unnest({_WORDS.format('content')}) token, len({_WORDS.format('content')}) dl from c),
+p as (select id, token, dl, count(*) tf from w group by all),
+z as (select count(*) n, avg(dl) avgdl from (select distinct id, dl from p)),
+q as (select item_id query_id, unnest({_WORDS.format('text')}) token from benchmark),
+qf as (select query_id, token, count(*) qtf from q group by all),
+f as (select token, count(*) df from p group by token),
+b0 as (select query_id, id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) score
+  from p join qf using (token) join f using (token) cross join z group by all),
+b as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from b0 qualify rank <= 10)"""
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return B.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _chunk_texts(spark: SparkSession, d: str) -> DataFrame:
+    return B.chunks(spark, d).select(F.col("chunk_id").alias("id"), F.col("content").alias("text"), "token_count", "doc_id", "start_line", "chunk_index")
+
+
+def _bm25_top(spark: SparkSession, d: str) -> DataFrame:
+    scored = R.bm25(R.postings(_chunk_texts(spark, d)), _questions(spark, d))
+    return R.top_k(scored, 10, order=[F.desc(F.round("score", 9)), F.col("id")])
+
+
+@query(f"with {B.CHUNKS}, {_BM25} select query_id, id, rank, round(score, 6) score from b")
+def bm25_top_k(spark, d):
+    return _bm25_top(spark, d).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+_TERMS = r"list_filter(regexp_extract_all(lower({0}), '[a-z0-9_]+|[一-鿿]{{2,}}'), lambda x: len(x) >= 2)"
+_KEYWORD = f"""
+kq as (select item_id query_id, unnest({_TERMS.format('text')}) term from benchmark),
+ks as (select query_id, chunk_id id, sum((len(content) - len(replace(lower(content), term, ''))) // len(term)) score from kq cross join c group by all having score > 0),
+k as (select query_id, id, cast(score as bigint) score, row_number() over (partition by query_id order by score desc, id) as rank from ks qualify rank <= 10)"""
+
+
+@query(f"with {B.CHUNKS}, {_KEYWORD} select * from k")
+def keyword_top_k(spark, d):
+    scored = R.keyword_scores(_chunk_texts(spark, d), _questions(spark, d))
+    return R.top_k(scored, 10).select("query_id", "id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    f"""with {B.CHUNKS}, {_BM25}, {_KEYWORD},
+u as (select query_id, id, rank, 0 list_no from b union all select query_id, id, rank, 1 from k),
+x as (select query_id, id, sum(1.0 / (60 + rank)) score, min(list_no * 1000 + rank) first_ from u group by all)
+select query_id, id, round(score, 9) score, row_number() over (partition by query_id order by round(score, 12) desc, first_, id) as rank from x qualify rank <= 5"""
+)
+def rank_fusion(spark, d):
+    keyword = R.top_k(R.keyword_scores(_chunk_texts(spark, d), _questions(spark, d)), 10)
+    fused = R.rrf([_bm25_top(spark, d), keyword], 5)
+    return fused.select("query_id", "id", F.round("score", 9).alias("score"), "rank")
+
+
+_DENSE = """
+v as (select vec_id id, list_transform(embedding, lambda x: x::double) x from embeddings),
+dq as (select id query_id, x q from v where id % 20 = 0),
+ds as (select query_id, id, list_cosine_similarity(q, x) score from dq cross join v),
+dt as (select query_id, id, score, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from ds qualify rank <= 5)"""
+
+
+@query(f"with {_DENSE} select query_id, id, rank, round(score, 6) score from dt")
+def dense_top_k(spark, d):
+    v = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    found = R.dense_top_k(v, asked, 10)
+    return R.top_k(found.drop("rank"), 5, order=[F.desc(F.round("score", 9)), F.col("id")]).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""with {_DENSE}, parts as (select query_id, id // 3 as parent, max(score) score from dt group by all)
+select query_id, parent id, round(score, 6) score, row_number() over (partition by query_id order by round(score, 9) desc, parent) as rank from parts qualify rank <= 3"""
+)
+def best_per_parent(spark, d):
+    v = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    hits = R.dense_top_k(v, v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), 10)
+    hits = R.top_k(hits.drop("rank"), 5, order=[F.desc(F.round("score", 9)), F.col("id")])
+    best = R.best_per_parent(hits.withColumn("parent_id", F.expr("id div 3")).withColumn("score", F.round("score", 9)), 3)
+    return best.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    f"""with {B.CHUNKS}, {_BM25}, t as (select b.*, token_count, sum(token_count) over (partition by query_id order by rank rows unbounded preceding) used
+from b join c on c.chunk_id = b.id) select query_id, id, rank, cast(used as bigint) used from t where used <= 800 or rank = 1"""
+)
+def context_packing(spark, d):
+    ranked = _bm25_top(spark, d).join(_chunk_texts(spark, d).select("id", "token_count"), "id")
+    return R.pack_context(ranked, 800).select("query_id", "id", "rank", "used")
+
+
+_EV = ", ".join(f"'{w}'" for w in T.EVIDENCE_STOPWORDS)
+_EVT = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9一-鿿]+'), lambda x: x not in (" + _EV + ")))"
+
+
+@query(
+    f"""with {B.CHUNKS}, a as (select chunk_id id, doc_id, chunk_index, {_EVT.format('content')} t from c), q as (select item_id query_id, {_EVT.format('text')} t from benchmark),
+ax as (select id, doc_id, chunk_index, len(t) n, unnest(t) tok from a), qx as (select query_id, len(t) m, unnest(t) tok from q),
+o as (select query_id, id, doc_id, chunk_index, n, m, count(*) o from ax join qx using (tok) group by all),
+s as (select query_id, id, o / sqrt(n + m - o) score, row_number() over (partition by query_id order by round(o / sqrt(n + m - o), 9) desc, doc_id * 100000 + chunk_index) as rank from o qualify rank <= 20)
+select query_id, id, rank, round(score, 6) score from s"""
+)
+def lexical_candidates(spark, d):
+    c = _chunk_texts(spark, d).withColumn("pos", F.col("doc_id") * 100000 + F.col("chunk_index"))
+    found = R.lexical_candidates(c, _questions(spark, d), 40)
+    return R.top_k(found.drop("rank"), 20, order=[F.desc(F.round("score", 9)), F.col("pos")]).select(
+        "query_id", "id", "rank", F.round("score", 6).alias("score")
+    )
+
+
+# --- text ------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""select doc_id, cast(len(regexp_extract_all(text, '{B.TOKEN_SQL}')) as integer) n_tokens,
+cast(len(regexp_extract_all(text, '[一-鿿]')) + ceil((len(text) - len(regexp_extract_all(text, '[一-鿿]'))) / 4) as integer) cost from documents"""
+)
+def token_counts(spark, d):
+    return B.table(spark, d, "documents").select("doc_id", T.count_tokens(F.col("text")).alias("n_tokens"), T.cue_cost(F.col("text")).alias("cost"))
+
+
+@query(
+    r"""select doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+|[一-鿿]{2,}'), lambda x: len(x) >= 2)) agent,
+len(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: len(x) > 1)) flat, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9一-鿿]+'), lambda x: len(x) >= 2)) iso,
+len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: len(x) > 1)) ascii, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: len(x) > 2))) clue,
+len("""
+    + _EVT.format("text")
+    + ") evidence from documents"
+)
+def tokenizers(spark, d):
+    t = F.col("text")
+    sizes = {"agent": T.agent_terms(t), "flat": T.flat_terms(t), "iso": T.iso_terms(t), "ascii": T.ascii_terms(t), "clue": T.clue_terms(t), "evidence": T.evidence_tokens(t)}
+    return B.table(spark, d, "documents").select("doc_id", *[F.size(c).cast("long").alias(k) for k, c in sizes.items()])
+
+
+@query(
+    r"""with t as (select item_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) tok from benchmark),
+h as (select item_id, cast('0x' || substr(sha256(tok), 1, 8) as bigint) % 16 i, case when cast('0x' || substr(sha256(tok), 9, 2) as bigint) % 2 = 0 then 1.0 else -1.0 end s from t),
+v as (select item_id, i, sum(s) s from h group by all), g as (select item_id, sqrt(sum(s * s)) n from v group by all)
+select item_id, cast(i as integer) i, round(s / n, 9) x from v join g using (item_id) where s <> 0"""
+)
+def hash_embeddings(spark, d):
+    v = B.table(spark, d, "benchmark").select("item_id", F.posexplode(T.hash_embedding(F.col("text"), 16)).alias("i", "x"))
+    return v.where("x <> 0").select("item_id", "i", F.round("x", 9).alias("x"))
+
+
+@query(
+    r"""select conv_id, turn, trim(regexp_replace(regexp_replace(translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '(^|\s)(a|an|the)(\s(a|an|the))*(\s|$)', ' ', 'g'), '\s+', ' ', 'g')) answer from conversations"""
+)
+def normalized_answers(spark, d):
+    return B.table(spark, d, "conversations").select("conv_id", "turn", T.normalize_answer(F.col("text")).alias("answer"))
+
+
+@query(
+    f"""with {B.CHUNKS}, t as (select chunk_id, file_name || ':L' || start_line || '-L' || end_line loc from c)
+select chunk_id, loc, regexp_extract(loc, '^(.+):L(\\d+)-L(\\d+)$', 1) file_name, cast(regexp_extract(loc, '^(.+):L(\\d+)-L(\\d+)$', 2) as integer) start_line,
+cast(regexp_extract(loc, '^(.+):L(\\d+)-L(\\d+)$', 3) as integer) end_line from t"""
+)
+def locates(spark, d):
+    c = B.chunks(spark, d).select("chunk_id", T.locate(F.col("file_name"), F.col("start_line"), F.col("end_line")).alias("loc"))
+    return c.withColumn("p", T.parse_locate(F.col("loc"))).select("chunk_id", "loc", "p.*")
+
+
+@query(
+    f"with {B.CHUNKS}, k as (select chunk_id, content, cast(ceil(len(content) / 3) as bigint) z from c) select chunk_id, cast(i as integer) part, substr(content, i * z + 1, z) as text"
+    " from (select *, unnest(range(0, cast(ceil(len(content) / z) as bigint))) i from k)"
+)
+def even_parts(spark, d):
+    return B.chunks(spark, d).select("chunk_id", F.posexplode(T.split_evenly(F.col("content"), F.lit(3))).alias("part", "text"))
+
+
+@query(
+    r"""select event_id, case when value >= 0.5 then 1.0 else 0.0 end judged, least(greatest(value, 0), 10) / 10 score, 1.0 / (1 + event_id % 5) zoom, 1.0 / (1 + abs(user_id % 7)) near,
+greatest(value, 1) * ln(1 + user_id % 9) jump, least(greatest(value / 100, 0), 1) verify from events"""
+)
+def weights(spark, d):
+    e = B.table(spark, d, "events")
+    v = F.col("value")
+    tagged = F.concat(F.lit("<score>"), F.format_string("%.12f", v), F.lit("</score>"))
+    return e.select(
+        "event_id", T.judge_value(v.cast("string")).alias("judged"), T.judge_score(tagged).alias("score"), T.omega_vertical(F.col("event_id") % 5).alias("zoom"),
+        T.omega_horizontal(F.col("user_id") % 7).alias("near"), T.omega_semantic(v, F.col("user_id") % 9).alias("jump"), T.omega_provenance(v / 100).alias("verify"),
+    )
+
+
+@query("select item_id, unnest(range(0, least(3, len(p)))) pos, unnest(p[1:3]) part from (select item_id, list_filter(list_transform(string_split_regex(text, '[？?。；;\\n]+'), lambda x: trim(x)), lambda x: x <> '') p from benchmark)")
+def subquestions(spark, d):
+    return B.table(spark, d, "benchmark").select("item_id", F.posexplode(T.decompose(F.col("text"))).alias("pos", "part")).select("item_id", F.col("pos").cast("long").alias("pos"), "part")
+
+
+@query(
+    """select page_id, unnest(range(1, 3)) i, unnest(['[image_' || page_id || '_1]', '[link_' || page_id || '_1]']) placeholder,
+unnest(['![i](' || url || ')', '[' || page_id || '](' || url || ')']) raw from pages"""
+)
+def placeholders(spark, d):
+    p = B.table(spark, d, "pages")
+    line = F.concat(F.lit("["), F.col("page_id").cast("string"), F.lit("]("), "url", F.lit(") ![i]("), "url", F.lit(")"))
+    found = p.select("page_id", F.posexplode(T.placeholders(line, F.col("page_id"))).alias("i", "p"))
+    return found.select("page_id", (F.col("i") + 1).cast("long").alias("i"), "p.placeholder", "p.raw")
+
+
+# --- documents --------------------------------------------------------------------------------------
+
+
+@query(f"with {B.LINES} select doc_id, line_no, text from l")
+def document_lines(spark, d):
+    return B.lines(spark, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "text")
+
+
+_HEADS = """
+h as (select doc_id, file_name, line_no, case when text like '### %' then 3 else 1 end as level, trim(regexp_replace(text, '^#+ ', '')) title from ml where regexp_matches(text, '^#{1,6}\\s+.')),
+hr as (select h.*, greatest(line_no, coalesce((select min(x.line_no) from h x where x.doc_id = h.doc_id and x.line_no > h.line_no and x.level <= h.level) - 1,
+  (select max(line_no) from ml where ml.doc_id = h.doc_id))) end_line from h)"""
+
+
+def _tree(spark, d):
+    lines = B.marked_lines(spark, d)
+    return D.heading_parents(D.content_ranges(D.headings(lines), lines))
+
+
+@query(f"with {B.MARKED}, {_HEADS} select doc_id, line_no, cast(level as integer) as level, title, end_line from hr")
+def heading_ranges(spark, d):
+    lines = B.marked_lines(spark, d)
+    return D.content_ranges(D.headings(lines), lines).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "level", "title", F.col("end_line").cast("long").alias("end_line"))
+
+
+@query(
+    f"""with {B.MARKED}, {_HEADS}, hp as (select a.doc_id, a.line_no, a.title, max(b.line_no) parent_line, max_by(b.title, b.line_no) parent from hr a
+left join hr b on b.doc_id = a.doc_id and b.level < a.level and b.line_no < a.line_no and b.end_line >= a.line_no group by all)
+select doc_id, line_no, parent_line, case when parent_line is null then title else parent || ' > ' || title end path from hp"""
+)
+def heading_tree(spark, d):
+    return _tree(spark, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("parent_line").cast("long").alias("parent_line"), F.array_join("section_path", " > ").alias("path"))
+
+
+@query(
+    f"""with {B.MARKED}, {_HEADS} select a.doc_id, count(*) n_nodes, cast(max(a.level) as integer) max_level,
+count(*) filter (where not exists (select 1 from hr b where b.doc_id = a.doc_id and b.level > a.level and b.line_no > a.line_no and b.line_no <= a.end_line)) n_leaves from hr a group by a.doc_id"""
+)
+def tree_statistics(spark, d):
+    return D.tree_stats(_tree(spark, d))
+
+
+@query(f"with {B.CHUNKS} select chunk_id, doc_id, chunk_index, content, start_line, end_line, cast(token_count as integer) token_count, prev_chunk_id, next_chunk_id from c")
+def line_chunks(spark, d):
+    return B.chunks(spark, d).select(
+        "chunk_id", "doc_id", "chunk_index", "content", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "token_count",
+        "prev_chunk_id", "next_chunk_id",
+    )
+
+
+@query()
+def tree_chunks(spark, d):
+    return D.chunk(B.marked_lines(spark, d), _tree(spark, d), max_tokens=256, overlap_tokens=32).select("chunk_id", "doc_id", "start_line", "end_line", "merge", "token_count", "section_path")
+
+
+@query(f"with {B.LINES}, x as (select doc_id, line_no, text from l where line_no between 2 and 6) select doc_id, line_no, lpad(cast(line_no as varchar), 6, ' ') || ' | ' || text as view from x")
+def read_window(spark, d):
+    window = B.lines(spark, d).where("line_no between greatest(1, 3 - 1) and 4 + 2")
+    return window.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.format_string("%6d | %s", "line_no", "text").alias("view"))
+
+
+# --- graphs ------------------------------------------------------------------------------------------
+
+
+@query(f"with {B.MENTIONS} select chunk_id, cast(pos as integer) pos, name, entity_id, entity_type, loc as locate from m")
+def entity_mentions(spark, d):
+    return G.mentions(B.named(spark, d)).select("chunk_id", "pos", "name", "entity_id", "entity_type", "locate")
+
+
+@query(
+    f"""with {B.MENTIONS}, a as (select entity_id, min_by(name, chunk_id || ':' || pos) as name, array_to_string(list_sort(list(distinct chunk_id)), '|') source_chunk_ids,
+array_to_string(list_sort(list(distinct loc)), '|') source_locates from m group by all),
+b as (select entity_id, entity_type, count(*) n, min(chunk_id || ':' || pos) f from m group by all),
+k as (select entity_id, entity_type from b qualify row_number() over (partition by entity_id order by n desc, f) = 1)
+select * from a join k using (entity_id)"""
+)
+def entities(spark, d):
+    e = G.merge_entities(G.mentions(B.named(spark, d)))
+    return e.select("entity_id", "name", _joined("source_chunk_ids"), _joined("source_locates"), "entity_type")
+
+
+@query(f"with {B.RELATIONS} select source, target, weight, 'co_occurs' relation_types, array_to_string(source_chunk_ids, '|') source_chunk_ids, array_to_string(source_locates, '|') source_locates from rel")
+def relations(spark, d):
+    r = G.merge_relations(G.co_occurrences(B.named(spark, d)))
+    return r.select("source", "target", "weight", _joined("relation_types"), _joined("source_chunk_ids"), _joined("source_locates"))
+
+
+@query(f"with {B.MENTIONS} select distinct entity_id as source, 'chunk:' || chunk_id as target, 'source' edge_type from m union select s, 'chunk:' || chunk_id, 'source' from re union select t, 'chunk:' || chunk_id, 'source' from re")
+def source_edges(spark, d):
+    n = B.named(spark, d)
+    return G.source_edges(G.mentions(n), G.co_occurrences(n))
+
+
+@query(
+    f"""with {B.RELATIONS} select source, target, 'edge:' || substr(sha1('{{"edge_type": "semantic", "relation_types": ["co_occurs"], "source": "' || source || '", "target": "' || target || '"}}'), 1, 16) id from rel"""
+)
+def edge_ids(spark, d):
+    r = G.merge_relations(G.co_occurrences(B.named(spark, d)))
+    return r.select("source", "target", T.edge_id(F.lit("semantic"), F.col("relation_types"), F.col("source"), F.col("target")).alias("id"))
+
+
+@query(
+    f"""with {B.CHUNKS} select 'chunk:' || chunk_id node_id, row_number() over (partition by doc_id order by start_line, end_line, chunk_id) - 1 doc_position,
+count(*) over (partition by doc_id) doc_chunk_count, prev_chunk_id, next_chunk_id from c"""
+)
+def sequence_nodes(spark, d):
+    n = G.sequence_nodes(B.chunks(spark, d))
+    return n.select("node_id", F.col("doc_position").cast("long").alias("doc_position"), "doc_chunk_count", "prev_chunk_id", "next_chunk_id")
+
+
+@query(
+    f"""with {B.CHUNKS} select 'chunk:' || chunk_id as source, 'chunk:' || next_chunk_id as target, 'next' direction from c where next_chunk_id is not null
+union all select 'chunk:' || next_chunk_id, 'chunk:' || chunk_id, 'prev' from c where next_chunk_id is not null"""
+)
+def sequence_edges(spark, d):
+    return G.sequence_edges(G.sequence_nodes(B.chunks(spark, d))).select("source", "target", "direction")
+
+
+@query(f"with {B.CHUNKS} select chunk_id, cast(chunk_index as integer) hop from c where chunk_index <= 2")
+def context_expansion(spark, d):
+    nodes = G.sequence_nodes(B.chunks(spark, d))
+    return G.expand_context(nodes, nodes.where("doc_position = 0").select("chunk_id"), before=1, after=2).select("chunk_id", "hop")
+
+
+_UNIFIED = f"""with {B.RELATIONS}, sn as (select 'chunk:' || chunk_id node_id, 'chunk' node_type from c), en as (select distinct entity_id node_id, 'entity' node_type from m),
+nodes as (select * from sn union all select * from en),
+e1 as (select source, target, 'semantic' edge_type from rel), e2 as (select distinct entity_id as source, 'chunk:' || chunk_id as target, 'source' edge_type from m),
+e3 as (select 'chunk:' || chunk_id as source, 'chunk:' || next_chunk_id as target, 'sequence' edge_type from c where next_chunk_id is not null),
+edges as (select * from e1 union all select * from e2 union all select * from e3)"""
+
+
+def _graph(spark, d):
+    n = B.named(spark, d)
+    ment, rel = G.mentions(n), G.merge_relations(G.co_occurrences(n))
+    seq = G.sequence_nodes(n)
+    nodes = seq.select("node_id", F.lit("chunk").alias("node_type")).unionByName(ment.select(F.col("entity_id").alias("node_id"), F.lit("entity").alias("node_type")).distinct())
+    edges = (
+        rel.select("source", "target", F.lit("semantic").alias("edge_type"), "weight")
+        .unionByName(G.source_edges(ment, G.co_occurrences(n)).withColumn("weight", F.lit(1.0)))
+        .unionByName(G.sequence_edges(seq).where("direction = 'next'").select("source", "target", "edge_type", F.lit(1.0).alias("weight")))
+    )
+    return nodes, edges
+
+
+@query(f"{_UNIFIED} select node_type kind, count(*) n from nodes group by all union all select edge_type, count(*) from edges group by all")
+def graph_counts(spark, d):
+    nodes, edges = _graph(spark, d)
+    return nodes.groupBy(F.col("node_type").alias("kind")).agg(F.count(F.lit(1)).alias("n")).unionByName(edges.groupBy(F.col("edge_type").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(
+    f"""{_UNIFIED}, a as (select source node_id, target o from edges union all select target, source from edges where source <> target), g as (select node_id, count(*) n from a group by all)
+select node_id, coalesce(n, 0) degree from nodes left join g using (node_id)"""
+)
+def degrees(spark, d):
+    return G.degree_profile(*_graph(spark, d))
+
+
+@query(
+    f"""{_UNIFIED.replace('with ', 'with recursive ', 1)}, x as (select distinct source a, target b from edges where edge_type <> 'semantic' and source not like 'entity:%'),
+y as (select a, b from x union select b, a from x), t as (select distinct a node_id, a component from y union select node_id, least(component, b) from t join y on y.a = component where b < component)
+select node_id, min(component) component from t group by node_id""".replace(
+        "union select node_id, least(component, b) from t join y on y.a = component where b < component", "union select y.b, component from t join y on y.a = t.node_id"
+    )
+)
+def sequence_components(spark, d):
+    _, edges = _graph(spark, d)
+    return G.components(edges.where("edge_type = 'sequence'"), stored)
+
+
+@query(
+    f"""{_UNIFIED} select 'semantic|' || least(source, target) || '|' || greatest(source, target) as key, source, target from edges where edge_type = 'semantic'
+union all select 'source|' || source || '|' || target, source, target from edges where edge_type = 'source' union all select 'sequence|' || source || '|' || target || '|next', source, target from edges where edge_type = 'sequence'"""
+)
+def edge_keys(spark, d):
+    _, e = _graph(spark, d)
+    direction = F.when(F.col("edge_type") == "sequence", "next")
+    return e.select(G.edge_key(F.col("edge_type"), F.col("source"), F.col("target"), direction).alias("key"), "source", "target")
+
+
+@query(
+    f"""with {B.MENTIONS}, s as (select 'chunk:' || chunk_id node_id, file_name title, [chunk_id] ids from c), q as (select 'chunk:' || chunk_id node_id, content title, [doc_id || '', chunk_id] ids from c),
+u as (select * from s union all select * from q) select s.node_id, s.title, array_to_string(list_sort(list_distinct(flatten([s.ids, q.ids]))), '|') ids, 'semantic|sequence' views from s join q using (node_id)"""
+)
+def merged_nodes(spark, d):
+    c = B.chunks(spark, d).withColumn("node_id", F.concat(F.lit("chunk:"), "chunk_id"))
+    first = c.select("node_id", F.col("file_name").alias("title"), F.array("chunk_id").alias("ids"))
+    second = c.select("node_id", F.col("content").alias("title"), F.array(F.col("doc_id").cast("string"), F.col("chunk_id")).alias("ids"))
+    m = G.merge_views({"semantic": first, "sequence": second}, ["node_id"], ["title"], ["ids"])
+    return m.select("node_id", "title", _joined("ids"), _joined("views"))
+
+
+def _ppr_sql(rounds: int) -> str:
+    steps = [
+        f"p{i} as (select a.node_id, 0.15 * r + 0.85 * coalesce(g.got, 0) + 0.85 * l.lost * r x from start_ a"
+        f" left join (select t.b node_id, sum(x * w / total) got from p{i - 1} p join adj t on t.a = p.node_id join deg using (a) group by t.b) g using (node_id)"
+        f" cross join (select coalesce(sum(x) filter (where node_id not in (select a from deg)), 0) lost from p{i - 1}) l)"
+        for i in range(1, rounds + 1)
+    ]
+    return f"""{_UNIFIED}, we as (select source, target, weight w from rel union all select source, target, 1.0 from e2 union all select source, target, 1.0 from e3),
+ab as (select source a, target b, w from we where source <> target union all select target, source, w from we where source <> target), adj as (select a, b, max(greatest(w, 1)) w from ab group by all),
+deg as (select a, sum(w) total from adj group by a), seeds as (select node_id from nodes where node_id like '%_c00000'),
+start_ as (select node_id, case when node_id in (select node_id from seeds) then 1.0 / (select count(*) from seeds) else 0.0 end r from nodes), p0 as (select node_id, r x from start_), {", ".join(steps)}
+select node_id, round(x, 12) x from p{rounds}"""
+
+
+@query(_ppr_sql(5))
+def personalized_pagerank(spark, d):
+    nodes, edges = _graph(spark, d)
+    scope = nodes.select(F.lit(0).alias("query_id"), "node_id")
+    seeds = scope.where(F.col("node_id").endswith("_c00000"))
+    seeds = seeds.join(F.broadcast(seeds.agg(F.count(F.lit(1)).alias("n")))).select("query_id", "node_id", (1.0 / F.col("n")).alias("r"))
+    x = P.pagerank(stored(P.adjacency(edges)), stored(scope), seeds, rounds=5, checkpoint=stored)
+    return x.select("node_id", F.round("x", 12).alias("x"))
+
+
+@query(
+    f"""{_UNIFIED.replace('with ', 'with recursive ', 1)}, se as (select source, target from edges where edge_type = 'sequence'), s as (select distinct source node_id from se where source like '%_c00000'),
+t as (select node_id, 0 depth from s union all select target, depth + 1 from t join se on source = node_id where depth < 3) select node_id, cast(min(depth) as integer) depth from t group by all"""
+)
+def reachability(spark, d):
+    _, edges = _graph(spark, d)
+    seq = edges.where("edge_type = 'sequence'").select("source", "target")
+    seeds = seq.where(F.col("source").endswith("_c00000")).select(F.lit(0).alias("query_id"), F.col("source").alias("node_id"))
+    return P.reach(seq, seeds, hops=3, checkpoint=stored).select("node_id", "depth")
+
+
+@query()
+def structure_summaries(spark, d):
+    lines, tree = B.marked_lines(spark, d), _tree(spark, d)
+    chunks = D.chunk(lines, tree, max_tokens=256, overlap_tokens=32)
+    return S.structure_nodes(chunks, tree, max_summary_tokens=64).select("node_id", "title", "level", "parent_node_id", _joined("child_node_ids"), _joined("source_locates"), "mode")
+
+
+# --- cues --------------------------------------------------------------------------------------------
+
+_ISLANDS = """
+mp as (select distinct entity_id object_id, regexp_extract(loc, '^(.+):L', 1) f, cast(regexp_extract(loc, ':L(\\d+)-', 1) as bigint) a, cast(regexp_extract(loc, '-L(\\d+)$', 1) as bigint) z from m),
+mo as (select *, max(z) over (partition by object_id, f order by a, z rows between unbounded preceding and 1 preceding) before from mp),
+mi as (select *, sum(case when before is null or a > before + 1 then 1 else 0 end) over (partition by object_id, f order by a, z rows unbounded preceding) g from mo),
+ml2 as (select object_id, f || ':L' || min(a) || '-L' || max(z) as locate from mi group by object_id, f, g)"""
+
+
+@query(f"with {B.MENTIONS}, {_ISLANDS} select * from ml2")
+def merged_locates(spark, d):
+    return C.merge_locates(G.mentions(B.named(spark, d)).select(F.col("entity_id").alias("object_id"), "locate"))
+
+
+@query(
+    f"""with {B.RELATIONS}, {_ISLANDS}, b as (select source object_id, target t, weight from rel where source <> target union all select target, source, weight from rel where source <> target)
+select object_id, 'semantic' family, row_number() over (partition by object_id order by t) - 1 pos, t as target_id, null as locate, weight from b
+union all select object_id, 'provenance', row_number() over (partition by object_id order by locate) - 1, null, locate, 1.0 from ml2"""
+)
+def entity_cues(spark, d):
+    n = B.named(spark, d)
+    cues = C.entity_cues(G.merge_entities(G.mentions(n)), G.merge_relations(G.co_occurrences(n)))
+    return cues.select("object_id", "family", F.col("pos").cast("long").alias("pos"), "target_id", "locate", "weight")
+
+
+@query(
+    f"""with {B.RELATIONS}, b as (select source object_id, target t from rel where source <> target union all select target, source from rel where source <> target),
+k as (select object_id, t, row_number() over (partition by object_id order by t) - 1 pos from b)
+select object_id, pos, t as target_id, round(1.0 / (1 + pos), 4) score from k where pos < 3"""
+)
+def cue_budget(spark, d):
+    n = B.named(spark, d)
+    cues = C.entity_cues(G.merge_entities(G.mentions(n)), G.merge_relations(G.co_occurrences(n)))
+    kept = C.enrich(C.top_b(C.apply_variant(cues, "no_provenance_cues"), {"semantic": 3}))
+    return kept.select("object_id", F.col("pos").cast("long").alias("pos"), "target_id", "score")
+
+
+@query(
+    f"""with {B.RELATIONS}, near as (select distinct source e, target t from rel union select target, source from rel)
+select source || '->' || target object_id, count(distinct t) n from rel join near on e in (source, target) where t <> source and t <> target group by all"""
+)
+def relation_neighbours(spark, d):
+    cues = C.relation_cues(G.merge_relations(G.co_occurrences(B.named(spark, d))))
+    return cues.where("family = 'semantic'").groupBy("object_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {B.MENTIONS}, u as (select entity_id object_id, chunk_id unit, max(1.0 / (1 + pos)) w from m group by all) select object_id, round(sum(w), 9) as value from u group by all")
+def cue_coverage(spark, d):
+    m = G.mentions(B.named(spark, d)).select(F.col("entity_id").alias("object_id"), F.array("chunk_id").alias("units"), T.omega_vertical(F.col("pos")).alias("weight"))
+    return C.coverage(m).select("object_id", F.round("value", 9).alias("value"))
+
+
+@query()
+def greedy_cues(spark, d):
+    m = G.mentions(B.named(spark, d))
+    cues = m.groupBy("doc_id", "entity_id").agg(F.collect_set("chunk_id").alias("units"), F.min("pos").alias("p"))
+    cues = cues.select(F.col("doc_id").cast("string").alias("object_id"), F.lit("semantic").alias("family"), F.col("entity_id").alias("cue_id"), (1.0 / (1 + F.col("p"))).alias("score"), F.lit(1.0).alias("weight"), "units")
+    return C.select_greedy(cues, 3)
+
+
+@query()
+def navigation(spark, d):
+    top = R.top_k(R.bm25(R.postings(_chunk_texts(spark, d)), _questions(spark, d)), 3)
+    front = top.groupBy(F.col("query_id").alias("question_id")).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.concat(F.lit("chunk:"), "id").alias("id")))).alias("f"))
+    front = front.select("question_id", F.transform("f", lambda x: F.struct((-x["s"]).alias("score"), x["id"].alias("id"))).alias("frontier"))
+    chunks = B.chunks(spark, d)
+    cues = C.chunk_cues(chunks, spark.createDataFrame([], "source string, target string"), spark.createDataFrame([], "node_id string, title string"))
+    seen = P.reach(
+        G.sequence_edges(G.sequence_nodes(chunks)).select("source", "target"),
+        top.select(F.col("query_id"), F.concat(F.lit("chunk:"), "id").alias("node_id")), hops=2, checkpoint=stored,
+    )
+    near = seen.join(cues, F.col("node_id") == F.col("object_id")).groupBy(F.col("query_id").alias("question_id")).agg(
+        F.collect_list(F.struct("object_id", "family", F.col("pos").cast("int").alias("pos"), "target_id", "locate")).alias("cues")
+    )
+    return C.chain(front.join(near, "question_id", "left"))
+
+
+# --- evaluation ----------------------------------------------------------------------------------------
+
+
+@query(
+    """with p as (select a.conv_id, a.turn, a.text g, b.text p from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1),
+n as (select conv_id, turn, """
+    + ", ".join(
+        "list_filter(string_split(trim(regexp_replace(regexp_replace(translate(lower(" + c + "), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''), "
+        "'(^|\\s)(a|an|the)(\\s(a|an|the))*(\\s|$)', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') " + c
+        for c in ("g", "p")
+    )
+    + """ from p),
+k as (select conv_id, turn, len(g) ng, len(p) np, list_sum(list_transform(list_distinct(g), lambda t: least(len(list_filter(g, lambda x: x = t)), len(list_filter(p, lambda x: x = t))))) c from n)
+select conv_id, turn, round(coalesce(c, 0) / np, 9) as precision, round(coalesce(c, 0) / ng, 9) recall from k"""
+)
+def answer_overlap(spark, d):
+    c = B.table(spark, d, "conversations")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("predicted"))
+    pairs = c.select("conv_id", "turn", F.col("text").alias("gold")).join(nxt, ["conv_id", "turn"])
+    return E.token_overlap(pairs, ["conv_id", "turn"]).select("conv_id", "turn", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+@query(
+    """select event_type, count(*) count, round(sum(value), 6) sum, round(avg(value), 9) mean, median(value) median, quantile_disc(value, 0.9) p90, quantile_disc(value, 0.95) p95, min(value) min, max(value) max
+from events where value is not null group by event_type"""
+)
+def value_summary(spark, d):
+    s = E.value_summary(B.table(spark, d, "events").select("event_type", "value"), ["event_type"], F.col("value"))
+    return s.withColumns({"sum": F.round("sum", 6), "mean": F.round("mean", 9)})
+
+
+@query(
+    """select l_linestatus, l_returnflag, count(*) count, round(avg(l_quantity), 9) mean, median(l_quantity) median, quantile_disc(l_quantity, 0.95) p95 from lineitem group by all"""
+)
+def cost_summary(spark, d):
+    s = E.value_summary(B.table(spark, d, "lineitem").select("l_linestatus", "l_returnflag", "l_quantity"), ["l_linestatus", "l_returnflag"], F.col("l_quantity"))
+    return s.select("l_linestatus", "l_returnflag", "count", F.round("mean", 9).alias("mean"), "median", "p95")
+
+
+_METHODS = "m as (select n_name as method, round(avg(c_acctbal), 6) quality, count(*) tokens, sum(c_custkey) offline from customer join nation on c_nationkey = n_nationkey group by all)"
+
+
+def _methods(spark, d):
+    c = B.table(spark, d, "customer").join(B.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.groupBy(F.col("n_name").alias("method")).agg(F.round(F.avg("c_acctbal"), 6).alias("quality"), F.count(F.lit(1)).alias("tokens"), F.sum("c_custkey").alias("offline"))
+
+
+@query(f"with {_METHODS} select method, quality, tokens from m where not exists (select 1 from m o where o.method <> m.method and o.quality >= m.quality and o.tokens <= m.tokens and (o.quality > m.quality or o.tokens < m.tokens))")
+def pareto_frontier(spark, d):
+    return E.pareto(_methods(spark, d)).select("method", "quality", "tokens")
+
+
+@query(f"with {_METHODS} select method, unnest([10, 100, 1000]) queries, round(offline / unnest([10, 100, 1000]) + tokens, 6) as cost from m")
+def amortized_cost(spark, d):
+    a = E.amortized(_methods(spark, d).withColumnRenamed("tokens", "online"), [10, 100, 1000])
+    return a.select("method", "queries", F.round("cost", 6).alias("cost"))
+
+
+@query(
+    f"""with {_METHODS} select a.method, b.method base, case when b.tokens - a.tokens > 0 then cast(ceil(greatest(a.offline - b.offline, 0) / (b.tokens - a.tokens)) as bigint) end break_even
+from m a cross join m b where a.method <> b.method"""
+)
+def break_even(spark, d):
+    m = _methods(spark, d)
+    a = m.select("method", "offline", F.col("tokens").alias("online"))
+    b = m.select(F.col("method").alias("base"), F.col("offline").alias("base_offline"), F.col("tokens").alias("base_online"))
+    return E.break_even(a.join(b, F.col("method") != F.col("base"))).select("method", "base", "break_even")
+
+
+@query()
+def bootstrap_intervals(spark, d):
+    return E.bootstrap(B.table(spark, d, "labels").select("toxic", F.col("quality").alias("value")), "toxic", n_boot=2000)
+
+
+_SILVER = """silver as (select doc_id question_id, chunk_id, file_name, start_line + 1 as s, end_line + 1 as e from c where chunk_index % 2 = 0),
+ev as (select doc_id question_id, file_name, start_line s, end_line e, row_number() over (partition by doc_id order by chunk_index desc) as rank from c),
+hits as (select distinct ev.question_id, rank, silver.chunk_id silver_id from ev join silver using (question_id, file_name) where ev.s <= silver.e and silver.s <= ev.e)"""
+
+
+def _hits(spark, d):
+    c = B.chunks(spark, d)
+    silver = c.where("chunk_index % 2 = 0").select(
+        F.col("doc_id").alias("question_id"), "chunk_id", "file_name", (F.col("start_line") + 1).alias("start_line"), (F.col("end_line") + 1).alias("end_line")
+    )
+    rank = F.expr("row_number() over (partition by doc_id order by chunk_index desc)")
+    ev = c.select(F.col("doc_id").alias("question_id"), F.lit("none").alias("chunk_id"), "file_name", "start_line", "end_line", rank.alias("rank"))
+    return E.span_hits(ev, silver), silver
+
+
+@query(f"with {B.CHUNKS}, {_SILVER} select question_id, rank, silver_id from hits")
+def span_hits(spark, d):
+    return _hits(spark, d)[0].select("question_id", F.col("rank").cast("long").alias("rank"), "silver_id")
+
+
+@query(
+    f"""with {B.CHUNKS}, {_SILVER}, t as (select question_id, count(distinct chunk_id) n from silver group by all), g as (select question_id, count(distinct silver_id) filter (where rank <= 5) h, min(rank) f from hits group by all)
+select question_id, case when coalesce(h, 0) > 0 then 1.0::double else 0.0::double end hit, coalesce(h, 0) / n recall, coalesce(1.0::double / f, 0.0) rr from t left join g using (question_id)"""
+)
+def silver_metrics(spark, d):
+    return E.silver_metrics(*_hits(spark, d))
+
+
+@query(
+    f"""with {B.CHUNKS} select chunk_id as key, 'link to nowhere' issue from c where next_chunk_id is not null and next_chunk_id not in (select chunk_id from c)
+union all select cast(doc_id as varchar), 'duplicate id' from documents group by all having count(*) > 1 union all select cast(doc_id as varchar), 'missing lang' from documents where coalesce(lang, '') = ''"""
+)
+def validation(spark, d):
+    docs = B.table(spark, d, "documents")
+    return E.broken_links(B.chunks(spark, d)).unionByName(E.duplicates(docs, "doc_id")).unionByName(E.missing(docs, "doc_id", ["lang", "source"]))

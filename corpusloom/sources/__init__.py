@@ -1 +1 @@
-
+"""Readers, writers and table maintenance."""
