@@ -296,7 +296,7 @@ def judge_value(c: Column) -> Column:
 
 def judge_score(c: Column) -> Column:
     n = F.regexp_extract(c, r"(?is)<score>\s*(-?\d+(?:\.\d+)?)\s*</score>", 1).try_cast("double")
-    return F.least(F.greatest(n, F.lit(0.0)), F.lit(10.0)) / 10
+    return F.when(n.isNotNull(), F.least(F.greatest(n, F.lit(0.0)), F.lit(10.0)) / 10)
 
 
 def split_sentences(c: Column, least: int = 20) -> Column:
