@@ -90,8 +90,7 @@ k as (select query_id, id, cast(score as bigint) score, row_number() over (parti
 
 @query(f"with {B.CHUNKS}, {_KEYWORD} select * from k")
 def keyword_top_k(spark, d):
-    scored = R.keyword_scores(_chunk_texts(spark, d), _questions(spark, d))
-    return R.top_k(scored, 10).select("query_id", "id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+    return R.keyword_top_k(_chunk_texts(spark, d), _questions(spark, d), 10).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -101,7 +100,7 @@ x as (select query_id, id, sum(1.0 / (60 + rank)) score, min(list_no * 1000 + ra
 select query_id, id, round(score, 9) score, row_number() over (partition by query_id order by round(score, 12) desc, first_, id) as rank from x qualify rank <= 5"""
 )
 def rank_fusion(spark, d):
-    keyword = R.top_k(R.keyword_scores(_chunk_texts(spark, d), _questions(spark, d)), 10)
+    keyword = R.keyword_top_k(_chunk_texts(spark, d), _questions(spark, d), 10)
     fused = R.rrf([_bm25_top(spark, d), keyword], 5)
     return fused.select("query_id", "id", F.round("score", 9).alias("score"), "rank")
 
