@@ -300,7 +300,7 @@ def judge_score(c: Column) -> Column:
 
 
 def split_sentences(c: Column, least: int = 20) -> Column:
-    parts = F.transform(F.split(c, r"(?U)(?<=[.!?])\s+"), F.trim)
+    parts = F.transform(F.split(c, r"(?U)(?<=[.!?])\s+"), lambda s: F.trim(s))
     return F.filter(parts, lambda s: F.length(s) >= least)
 
 
@@ -325,7 +325,7 @@ def guess_type(name: Column) -> Column:
 
 
 def decompose(question: Column, most: int = 3) -> Column:
-    parts = F.filter(F.transform(F.split(question, r"[？?。；;\n]+"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(question, r"[？?。；;\n]+"), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.size(parts) > 0, F.slice(parts, 1, most)).otherwise(F.array(F.trim(question)))
 
 

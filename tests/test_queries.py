@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pandas as pd
 import pytest
 
 DATA = "/root/testdata/sf0.001"
@@ -11,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 def rows(df):
     out = []
     for r in df.itertuples(index=False):
-        out.append(tuple(None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else v for v in r))
+        out.append(tuple(None if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r))
     return sorted(out, key=repr)
 
 
