@@ -20,6 +20,9 @@ from corpusloom.operators import retrieval as R
 from corpusloom.operators import structure as S
 from corpusloom.plans import base as B
 from corpusloom.plans.tables import stored
+from corpusloom.sources import files as S_files
+from corpusloom.sources import index as S_index
+from corpusloom.streaming import ingest
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -671,3 +674,69 @@ union all select cast(doc_id as varchar), 'duplicate id' from documents group by
 def validation(spark, d):
     docs = B.table(spark, d, "documents")
     return E.broken_links(B.chunks(spark, d)).unionByName(E.duplicates(docs, "doc_id")).unionByName(E.missing(docs, "doc_id", ["lang", "source"]))
+
+
+# --- sources and index documents -------------------------------------------------------------------------
+
+
+@query(
+    """select doc_id, text, 'new' stamp from documents where doc_id % 3 = 0 union all select doc_id, text, 'old' from documents where doc_id % 3 <> 0"""
+)
+def upsert(spark, d):
+    old = B.table(spark, d, "documents").select("doc_id", "text", F.lit("old").alias("stamp"))
+    return S_files.upsert(old, old.where("doc_id % 3 = 0").withColumn("stamp", F.lit("new")), ["doc_id"])
+
+
+@query("select doc_id, case when doc_id % 2 = 0 then 'src' || doc_id else source end as source, case when doc_id % 2 = 0 then 'p' end parent from documents")
+def partial_update(spark, d):
+    docs = B.table(spark, d, "documents").select("doc_id", "source")
+    change = docs.where("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("src"), F.col("doc_id").cast("string")).alias("source"), F.lit("p").alias("parent"))
+    return S_files.partial_update(docs, change, "doc_id")
+
+
+@query("select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
+def latest_rows(spark, d):
+    return S_files.latest(B.table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels where quality = 1 and doc_id is not null)")
+def pending_rows(spark, d):
+    done = B.table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "ok").otherwise("failed").alias("status"))
+    return S_files.pending(B.table(spark, d, "documents").select("doc_id"), done, "doc_id")
+
+
+@query(
+    f"""with {B.RELATIONS}, e as (select entity_id, min_by(name, chunk_id || ':' || pos) as name from m group by all),
+x as (select 'edge:' || substr(sha1('{{"edge_type": "semantic", "relation_types": ["co_occurs"], "source": "' || source || '", "target": "' || target || '"}}'), 1, 16) id,
+  coalesce(a.name, source) || ' -> ' || coalesce(b.name, target) label from rel left join e a on a.entity_id = source left join e b on b.entity_id = target)
+select id, label as name, label || chr(10) || 'co_occurs' as content from x"""
+)
+def relation_documents(spark, d):
+    n = B.named(spark, d)
+    summaries = spark.createDataFrame([], "node_id string, title string, content string")
+    docs = S_index.graph_documents(G.merge_entities(G.mentions(n)), G.merge_relations(G.co_occurrences(n)), summaries)
+    return docs.where("object_type = 'relation'").select("id", "name", "content")
+
+
+@query(
+    f"""with {B.CHUNKS}, p as (select chunk_id, content, case when len(content) > 600 then 2 else 1 end n, cast(ceil(len(content) / 2) as bigint) z from c)
+select chunk_id id, content, null as parent_id, n = 1 vector_searchable, true text_searchable from p
+union all select chunk_id || '#' || i, substr(content, i * z + 1, z), chunk_id, true, false from (select *, unnest([0, 1]) i from p where n = 2)"""
+)
+def vector_parts(spark, d):
+    c = B.chunks(spark, d).select(F.col("chunk_id").alias("id"), "content")
+    parts = c.where(F.length("content") > 600).select("id", F.lit(2).alias("n"))
+    return S_index.vector_parts(c, parts).select("id", "content", "parent_id", "vector_searchable", "text_searchable")
+
+
+@query("select item_id, unnest(range(0, 2)) pos, unnest([text, '7']) answer from benchmark")
+def answer_lists(spark, d):
+    b = B.table(spark, d, "benchmark").select("item_id", F.to_json(F.array("text", F.lit("7"))).alias("j"))
+    return b.select("item_id", F.posexplode(S_files.normalize_answers(F.col("j"))).alias("pos", "answer")).select("item_id", F.col("pos").cast("long").alias("pos"), "answer")
+
+
+@query("select user_id, epoch_us(min(ts)) start_us, count(*) n_events, round(sum(value), 6) as value from (select *, sum(case when before is null or epoch_us(ts) - epoch_us(before) >= 1800000000 then 1 else 0 end) over (partition by user_id order by ts, event_id) s"
+       " from (select *, lag(ts) over (partition by user_id order by ts, event_id) before from events)) group by user_id, s")
+def event_sessions(spark, d):
+    s = ingest.sessions(B.table(spark, d, "events"))
+    return s.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), "n_events", F.round("value", 6).alias("value"))
