@@ -314,10 +314,11 @@ def content_with_path(path: Column, text: Column) -> Column:
     return F.when(F.size(path) > 0, F.concat(F.array_join(path, " > "), F.lit("\n\n[CONTENT]\n\n"), text)).otherwise(text)
 
 
-def guess_type(name: Column) -> Column:
+def guess_type(name: Column, concepts: str = "cancer|graph|ppr|retrieval") -> Column:
+    """CONCEPT by keyword (a corpus adds its own), ORG by short capitals, CONCEPT by Chinese cue, else OTHER."""
     caps = (F.upper(name) == name) & (F.lower(name) != name) & (F.length(name) <= 8)
     return (
-        F.when(name.rlike("(?i)cancer|signpost|graph|ppr|retrieval"), "CONCEPT")
+        F.when(name.rlike(f"(?i){concepts}"), "CONCEPT")
         .when(caps, "ORG")
         .when(name.rlike("章|节|条|款|图|结构|检索|推荐"), "CONCEPT")
         .otherwise("OTHER")

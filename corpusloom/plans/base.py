@@ -63,7 +63,7 @@ n as (select * exclude (every), list_filter(every, lambda x, i: list_position(ev
   file_name || ':L' || start_line || '-L' || end_line as loc from n0)"""
 MENTIONS = NAMED + """,
 m as (select chunk_id, doc_id, loc, unnest(range(0, len(names))) pos, unnest(names) as name, 'entity:' || substr(sha1(lower(unnest(names))), 1, 12) entity_id,
-  case when regexp_matches(unnest(names), '(?i)cancer|signpost|graph|ppr|retrieval') then 'CONCEPT' else 'OTHER' end entity_type from n),
+  case when regexp_matches(unnest(names), '(?i)cancer|graph|ppr|retrieval') then 'CONCEPT' else 'OTHER' end entity_type from n),
 r as (select chunk_id, doc_id, loc, unnest(range(0, len(names) - 1)) pos, unnest(names[1:len(names) - 1]) as source, unnest(names[2:]) as target from n where len(names) > 1),
 re as (select *, 'entity:' || substr(sha1(lower(source)), 1, 12) s, 'entity:' || substr(sha1(lower(target)), 1, 12) t from r)"""
 RELATIONS = MENTIONS + """,
