@@ -24,12 +24,13 @@ def lines(documents: DataFrame, *, max_line_tokens: int = 384, normalize: bool =
     """
     raw = documents.select("doc_id", "file_name", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("pos", "raw"))
     clean = T.normalize_line(F.col("raw")) if normalize else T.squeeze_line(F.col("raw"))
-    kept = raw.select("doc_id", "file_name", (F.col("pos") + 1).alias("original_line_no"), clean.alias("text")).where("text <> ''")
+    # exploded, so that the filter is not moved below and cleaning done once per use
+    kept = raw.select("doc_id", "file_name", (F.col("pos") + 1).alias("original_line_no"), F.explode(F.array(clean)).alias("text")).where("text <> ''")
     if max_line_tokens <= 0:
         return kept.withColumnRenamed("original_line_no", "line_no")
-    long = T.count_tokens(F.col("text")) > max_line_tokens
+    long = (F.length("text") > max_line_tokens) & (T.count_tokens(F.col("text")) > max_line_tokens)
     cut = split_line_udf(max_line_tokens)
-    parts = kept.withColumn("parts", F.when(long, cut("text")).otherwise(F.array("text")))
+    parts = kept.withColumn("parts", F.coalesce(cut(F.when(long, F.col("text"))), F.array("text")))
     by_doc = Window.partitionBy("doc_id", "file_name")
     parts = parts.select(
         "doc_id", "file_name", "original_line_no", F.max(F.size("parts") > 1).over(by_doc).alias("split"), F.posexplode("parts").alias("segment", "text")
@@ -82,7 +83,7 @@ def split_line_udf(budget: int):
     @F.pandas_udf("array<string>")
     def cut(text: pd.Series) -> pd.Series:
         count = token_counter()
-        return text.map(lambda s: list(pack_words(s.split(), budget, count)) or [s])
+        return text.map(lambda s: None if s is None else list(pack_words(s.split(), budget, count)) or [s])
 
     return cut
 

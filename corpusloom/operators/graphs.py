@@ -184,10 +184,19 @@ def components(edges: DataFrame, checkpoint) -> DataFrame:
         return ends.toDF("node_id", "component")
     out = moves[0].withColumnRenamed("to", "component")
     for move in moves[1:]:
-        out = out.join(move.toDF("component", "to"), "component", "left").select("node_id", F.coalesce("to", "component").alias("component"))
+        out = checkpoint(out.join(move.toDF("component", "to"), "component", "left").select("node_id", F.coalesce("to", "component").alias("component")))
     return out
 
 
+def all_components(nodes: DataFrame, edges: DataFrame, checkpoint) -> DataFrame:
+    """components over all nodes: a node without edges is one by itself, edges that leave the nodes do not count."""
+    ids = nodes.select("node_id").distinct()
+    inside = edges.select("source", "target").join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi")
+    inside = inside.join(ids.withColumnRenamed("node_id", "target"), "target", "left_semi")
+    linked = components(inside, checkpoint)
+    return ids.join(linked, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
+
+
 def subset(nodes: DataFrame, edges: DataFrame, chunk_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges with provenance in the chunks, nodes they need or that are supported, and edges whose ends remain."""
     picked = chunk_ids.select("chunk_id").distinct()

@@ -28,6 +28,11 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return D.lines(documents(spark, d), max_line_tokens=0, normalize=False)
 
 
+def whole_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as the operator makes them by default: normalised, long ones split.  No SQL has these."""
+    return D.lines(documents(spark, d))
+
+
 def marked_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of which every seventh is a heading and the third after it a smaller one."""
     mark = F.when(F.col("line_no") % 7 == 1, "# ").when(F.col("line_no") % 7 == 4, "### ").otherwise("")
@@ -42,6 +47,11 @@ def named(spark: SparkSession, d: str) -> DataFrame:
     return G.extract(chunks(spark, d), pattern=NAME)
 
 
+def whole_named(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of whole_lines with the operator's own entity pattern."""
+    return G.extract(D.line_windows(whole_lines(spark, d), 4))
+
+
 DOCUMENTS = "d as (select doc_id, 'doc_' || doc_id || '.txt' file_name, text from documents)"
 _SPLIT = r"string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))"
 LINES = DOCUMENTS + rf""",

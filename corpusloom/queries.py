@@ -385,8 +385,8 @@ e3 as (select 'chunk:' || chunk_id as source, 'chunk:' || next_chunk_id as targe
 edges as (select * from e1 union all select * from e2 union all select * from e3)"""
 
 
-def _graph(spark, d):
-    n = B.named(spark, d)
+def _graph(spark, d, named=B.named):
+    n = named(spark, d)
     ment, rel = G.mentions(n), G.merge_relations(G.co_occurrences(n))
     seq = G.sequence_nodes(n)
     nodes = seq.select("node_id", F.lit("chunk").alias("node_type")).unionByName(ment.select(F.col("entity_id").alias("node_id"), F.lit("entity").alias("node_type")).distinct())
@@ -424,6 +424,14 @@ def sequence_components(spark, d):
     return G.components(edges.where("edge_type = 'sequence'"), stored)
 
 
+@query()
+def graph_components(spark, d):
+    """All nodes over edges of every type."""
+    named = stored(B.whole_named(spark, d))
+    nodes, edges = _graph(spark, d, lambda *_: named)
+    return G.all_components(stored(nodes), edges, stored)
+
+
 @query(
     f"""{_UNIFIED} select 'semantic|' || least(source, target) || '|' || greatest(source, target) as key, source, target from edges where edge_type = 'semantic'
 union all select 'source|' || source || '|' || target, source, target from edges where edge_type = 'source' union all select 'sequence|' || source || '|' || target || '|next', source, target from edges where edge_type = 'sequence'"""
