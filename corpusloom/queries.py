@@ -468,16 +468,26 @@ start_ as (select node_id, case when node_id in (select node_id from seeds) then
 select node_id, round(x, 12) x from p{rounds}"""
 
 
-@query(_ppr_sql(5))
-def personalized_pagerank(spark, d):
-    nodes, edges = _graph(spark, d)
+def _pagerank(nodes, edges, **how):
     scope = nodes.select(F.lit(0).alias("query_id"), "node_id")
     seeds = scope.where(F.col("node_id").endswith("_c00000"))
     seeds = seeds.join(F.broadcast(seeds.agg(F.count(F.lit(1)).alias("n")))).select("query_id", "node_id", (1.0 / F.col("n")).alias("r"))
-    x = P.pagerank(stored(P.adjacency(edges)), stored(scope), seeds, rounds=5, checkpoint=stored)
+    x = P.pagerank(stored(P.adjacency(edges)), stored(scope), seeds, checkpoint=stored, **how)
     return x.select("node_id", F.round("x", 12).alias("x"))
 
 
+@query(_ppr_sql(5))
+def personalized_pagerank(spark, d):
+    return _pagerank(*_graph(spark, d), rounds=5)
+
+
+@query()
+def converged_pagerank(spark, d):
+    """From a uniform start until the ranks move less than 1e-8 in sum, at most 100 rounds."""
+    named = stored(B.whole_named(spark, d))
+    return _pagerank(*_graph(spark, d, lambda *_: named), rounds=100, tolerance=1e-8, uniform_start=True)
+
+
 @query(
     f"""{_UNIFIED.replace('with ', 'with recursive ', 1)}, se as (select source, target from edges where edge_type = 'sequence'), s as (select distinct source node_id from se where source like '%_c00000'),
 t as (select node_id, 0 depth from s union all select target, depth + 1 from t join se on source = node_id where depth < 3) select node_id, cast(min(depth) as integer) depth from t group by all"""

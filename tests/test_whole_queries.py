@@ -46,3 +46,27 @@ def test_components_of_the_whole_graph(spark, corpus):
     assert got == {n: root(n) for n in nodes}
     assert got["chunk:2_c00000"] == "chunk:2_c00000"  # no edge at all
     assert got["chunk:0_c00009"] == got["chunk:1_c00000"] == got["chunk:3_c00000"] and len(set(got.values())) == 3
+
+
+def test_pagerank_until_it_converges(spark, tmp_path):
+    d = tables(spark, tmp_path / "t", ["\n".join(["Ann saw Bob"] + [f"plain {i}" for i in range(30)]), "Bob", "none"])
+    nodes, edges = graph(spark, d)
+    w = {}
+    for a, b, kind, x in edges:
+        x = max(x, 1.0) if kind == "semantic" else 1.0
+        w[a, b] = w[b, a] = max(w.get((a, b), 0.0), x)
+    out = {n: sum(x for (a, _), x in w.items() if a == n) for n in nodes}
+    seeds = [n for n in nodes if n.endswith("_c00000")]
+    r = {n: (n in seeds) / len(seeds) for n in nodes}
+    x = {n: 1 / len(nodes) for n in nodes}
+    for _ in range(100):
+        lost = sum(x[n] for n in nodes if not out[n])
+        new = {n: 0.15 * r[n] + 0.85 * lost * r[n] for n in nodes}
+        for (a, b), v in w.items():
+            new[b] += 0.85 * x[a] * v / out[a]
+        moved, x = sum(abs(new[n] - x[n]) for n in nodes), new
+        if moved < 1e-8:
+            break
+    got = {row["node_id"]: row["x"] for row in Q.queries()["converged_pagerank"](spark, d).collect()}
+    assert got == pytest.approx(x, abs=1e-9)
+    assert got["chunk:0_c00007"] > 0  # seven edges from the only seed of its document
