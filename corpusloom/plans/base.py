@@ -33,10 +33,10 @@ def whole_lines(spark: SparkSession, d: str) -> DataFrame:
     return D.lines(documents(spark, d))
 
 
-def marked_lines(spark: SparkSession, d: str) -> DataFrame:
+def marked_lines(spark: SparkSession, d: str, source=lines) -> DataFrame:
     """Lines of which every seventh is a heading and the third after it a smaller one."""
     mark = F.when(F.col("line_no") % 7 == 1, "# ").when(F.col("line_no") % 7 == 4, "### ").otherwise("")
-    return lines(spark, d).withColumn("text", F.concat(mark, "text"))
+    return source(spark, d).withColumn("text", F.concat(mark, "text"))
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:

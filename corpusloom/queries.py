@@ -262,14 +262,20 @@ def document_lines(spark, d):
     return B.lines(spark, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "text")
 
 
+@query()
+def normalized_lines(spark, d):
+    """With the operator's defaults: normalised, lines above 384 tokens split."""
+    return B.whole_lines(spark, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "text")
+
+
 _HEADS = """
 h as (select doc_id, file_name, line_no, case when text like '### %' then 3 else 1 end as level, trim(regexp_replace(text, '^#+ ', '')) title from ml where regexp_matches(text, '^#{1,6}\\s+.')),
 hr as (select h.*, greatest(line_no, coalesce((select min(x.line_no) from h x where x.doc_id = h.doc_id and x.line_no > h.line_no and x.level <= h.level) - 1,
   (select max(line_no) from ml where ml.doc_id = h.doc_id))) end_line from h)"""
 
 
-def _tree(spark, d):
-    lines = B.marked_lines(spark, d)
+def _tree(spark, d, source=B.lines):
+    lines = B.marked_lines(spark, d, source)
     return D.heading_parents(D.content_ranges(D.headings(lines), lines))
 
 
@@ -306,7 +312,8 @@ def line_chunks(spark, d):
 
 @query()
 def tree_chunks(spark, d):
-    return D.chunk(B.marked_lines(spark, d), _tree(spark, d), max_tokens=256, overlap_tokens=32).select("chunk_id", "doc_id", "start_line", "end_line", "merge", "token_count", "section_path")
+    lines, tree = B.marked_lines(spark, d, B.whole_lines), _tree(spark, d, B.whole_lines)
+    return D.chunk(lines, tree, max_tokens=256, overlap_tokens=32).select("chunk_id", "doc_id", "start_line", "end_line", "merge", "token_count", "section_path")
 
 
 @query(f"with {B.LINES}, x as (select doc_id, line_no, text from l where line_no between 2 and 6) select doc_id, line_no, lpad(cast(line_no as varchar), 6, ' ') || ' | ' || text as view from x")
@@ -315,6 +322,16 @@ def read_window(spark, d):
     return window.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.format_string("%6d | %s", "line_no", "text").alias("view"))
 
 
+def _entities(named):
+    e = G.merge_entities(G.mentions(named))
+    return e.select("entity_id", "name", _joined("source_chunk_ids"), _joined("source_locates"), "entity_type")
+
+
+def _relations(named):
+    r = G.merge_relations(G.co_occurrences(named))
+    return r.select("source", "target", "weight", _joined("relation_types"), _joined("source_chunk_ids"), _joined("source_locates"))
+
+
 # --- graphs ------------------------------------------------------------------------------------------
 
 
@@ -331,14 +348,23 @@ k as (select entity_id, entity_type from b qualify row_number() over (partition
 select * from a join k using (entity_id)"""
 )
 def entities(spark, d):
-    e = G.merge_entities(G.mentions(B.named(spark, d)))
-    return e.select("entity_id", "name", _joined("source_chunk_ids"), _joined("source_locates"), "entity_type")
+    return _entities(B.named(spark, d))
+
+
+@query()
+def phrase_entities(spark, d):
+    """Names by the operator's own pattern, of several words or Chinese, over whole lines."""
+    return _entities(B.whole_named(spark, d))
 
 
 @query(f"with {B.RELATIONS} select source, target, weight, 'co_occurs' relation_types, array_to_string(source_chunk_ids, '|') source_chunk_ids, array_to_string(source_locates, '|') source_locates from rel")
 def relations(spark, d):
-    r = G.merge_relations(G.co_occurrences(B.named(spark, d)))
-    return r.select("source", "target", "weight", _joined("relation_types"), _joined("source_chunk_ids"), _joined("source_locates"))
+    return _relations(B.named(spark, d))
+
+
+@query()
+def phrase_relations(spark, d):
+    return _relations(B.whole_named(spark, d))
 
 
 @query(f"with {B.MENTIONS} select distinct entity_id as source, 'chunk:' || chunk_id as target, 'source' edge_type from m union select s, 'chunk:' || chunk_id, 'source' from re union select t, 'chunk:' || chunk_id, 'source' from re")
@@ -501,7 +527,7 @@ def reachability(spark, d):
 
 @query()
 def structure_summaries(spark, d):
-    lines, tree = B.marked_lines(spark, d), _tree(spark, d)
+    lines, tree = B.marked_lines(spark, d, B.whole_lines), _tree(spark, d, B.whole_lines)
     chunks = D.chunk(lines, tree, max_tokens=256, overlap_tokens=32)
     return S.structure_nodes(chunks, tree, max_summary_tokens=64).select("node_id", "title", "level", "parent_node_id", _joined("child_node_ids"), _joined("source_locates"), "mode")
 
@@ -560,7 +586,7 @@ def cue_coverage(spark, d):
 
 @query()
 def greedy_cues(spark, d):
-    m = G.mentions(B.named(spark, d))
+    m = G.mentions(B.whole_named(spark, d))
     cues = m.groupBy("doc_id", "entity_id").agg(F.collect_set("chunk_id").alias("units"), F.min("pos").alias("p"))
     cues = cues.select(F.col("doc_id").cast("string").alias("object_id"), F.lit("semantic").alias("family"), F.col("entity_id").alias("cue_id"), (1.0 / (1 + F.col("p"))).alias("score"), F.lit(1.0).alias("weight"), "units")
     return C.select_greedy(cues, 3)

@@ -1,5 +1,8 @@
 """Queries without SQL, run from tables, against brute force."""
 
+import re
+import unicodedata
+
 import pytest
 
 from corpusloom import queries as Q
@@ -70,3 +73,37 @@ def test_pagerank_until_it_converges(spark, tmp_path):
     got = {row["node_id"]: row["x"] for row in Q.queries()["converged_pagerank"](spark, d).collect()}
     assert got == pytest.approx(x, abs=1e-9)
     assert got["chunk:0_c00007"] > 0  # seven edges from the only seed of its document
+
+
+def test_lines_and_names_with_the_defaults(spark, tmp_path):
+    texts = [
+        "Marie Curie met  McDonald\u00a0and \u201cVi\u00e8le\u201d\r\n\r\n\uff21cme\u2014Corp \u2026 end",
+        "first\n\n" + " ".join(f"w{i}" for i in range(1000)) + "\n\u4e2d\u6587\u540d\u5b57 saw AT&T Labs",
+    ]
+    d = tables(spark, tmp_path / "t", texts)
+    lines, want = {}, set()
+    for doc, text in enumerate(texts):
+        rows = []
+        for n, raw in enumerate(re.split("\r\n?|\n", text), 1):
+            t = unicodedata.normalize("NFKC", raw).translate(str.maketrans("\u2018\u2019\u201c\u201d\u2013\u2014\u2212", "''\"\"---")).replace("\u2026", "...")
+            words = re.sub("[ \t]{2,}", " ", t).strip().split(" ")
+            parts = [" ".join(words[i : i + 384]) for i in range(0, len(words), 384)] if len(words) > 384 else [" ".join(words)]
+            rows += [(n, p) for p in parts if p]
+        if len(rows) > len({n for n, _ in rows}):
+            rows = [(i, p) for i, (_, p) in enumerate(rows, 1)]
+        lines[doc] = rows
+        want |= {(doc, n, p) for n, p in rows}
+    got = {tuple(r) for r in Q.queries()["normalized_lines"](spark, d).collect()}
+    assert got == want and max(n for doc, n, _ in got if doc == 1) == 5
+    pattern = re.compile(r"\b[A-Z][A-Za-z0-9&.\-]*(?:\s+[A-Z][A-Za-z0-9&.\-]*){0,4}\b|[\u4e00-\u9fff]{2,12}")
+    names, pairs = set(), set()
+    for rows in lines.values():
+        for i in range(0, len(rows), 4):
+            found = [x.strip(" .,:;!?()[]{}") for x in pattern.findall("\n".join(t for _, t in rows[i : i + 4]))]
+            found = list(dict.fromkeys(x for x in found if len(x) >= 2))[:8]
+            names |= set(found)
+            pairs |= {frozenset(p) for p in zip(found, found[1:])}
+    rows = Q.queries()["phrase_entities"](spark, d).collect()
+    by_id = {r["entity_id"]: r["name"] for r in rows}
+    assert set(by_id.values()) == names >= {"Marie Curie", "McDonald", "AT&T Labs", "\u4e2d\u6587\u540d\u5b57"} and not names & {"Vi", "Mc", "Donald"}
+    assert {frozenset((by_id[r["source"]], by_id[r["target"]])) for r in Q.queries()["phrase_relations"](spark, d).collect()} == pairs
