@@ -1,9 +1,9 @@
 """Quality classifier by importance resampling (hashed n-gram models, Gumbel top-k).
 
 Two generative models count hashed unigrams and bigrams of words in ``buckets`` buckets: the raw model
-over all documents, the target model over documents labelled good and not toxic, of which it takes at
-most ``target_rows``, the smallest by hash of doc_id (so the broadcast list of them is bounded).  A document's
-weight is the mean over its n-grams of log target - log raw, times ``sharpness``, so that long and
+over all documents, the target model over all documents labelled good and not toxic.  Their ids come to
+the documents in blocks of about ``block_rows``, each a broadcast of bounded size, and texts are not
+shuffled; every block after the first reads the documents once more.  A document's weight is the mean over its n-grams of log target - log raw, times ``sharpness``, so that long and
 short documents compete alike.  Adding Gumbel noise seeded by doc_id and text and keeping the k largest samples k
 documents without replacement in proportion to exp(weight).  k is ``fraction`` of all documents, by
 default the share of good ones among the labelled.
@@ -120,7 +120,7 @@ def resample(
     labels: DataFrame,
     *,
     fraction: float | None = None,
-    target_rows: int = 20_000,
+    block_rows: int = 1 << 20,
     buckets: int = BUCKETS,
     sharpness: float = SHARPNESS,
     seed: int = SEED,
@@ -129,13 +129,18 @@ def resample(
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         (F.min(F.coalesce("quality", F.lit(0))) == 1).alias("good"), (F.max(F.coalesce("toxic", F.lit(0))) == 1).alias("bad")
     )
-    seen, good = marks.agg(F.count(F.lit(1)), F.count_if(F.col("good"))).first()
-    flags = marks.where(F.col("good") & ~F.col("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows)
-    flags = F.broadcast(flags.select("doc_id", F.lit(True).alias("target")))
+    marks = stored(marks)
+    wanted = F.col("good") & ~F.col("bad")
+    seen, good, n = marks.agg(F.count(F.lit(1)), F.count_if(F.col("good")), F.count_if(wanted)).first()
+    flags = marks.where(wanted).select("doc_id", F.lit(True).alias("target"))
+    blocks = max(1, -(-n // block_rows))
+    block = [F.broadcast(flags.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == i)) for i in range(blocks)]
     if fraction is None:
         fraction = good / seen if seen and good else 1.0
     docs = documents.select("doc_id", "text")
-    raw, target = counted(docs.join(flags, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")), "target", buckets)
+    raw, target = counted(docs.join(block[0], "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")), "target", buckets)
+    for more in block[1:]:
+        target = target + counted(docs.join(more, "doc_id").select("text", "target"), "target", buckets)[1]
     rows = stored(weigh(docs, ratios(raw, target), sharpness, seed))
     return top_k(rows, int(round(fraction * rows.count())))
 

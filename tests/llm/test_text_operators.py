@@ -225,3 +225,13 @@ def test_resampling(spark):
     assert np.mean([out[i]["kept"] for i in range(150)]) > 0.9 and np.mean([out[i]["kept"] for i in range(150, 200)]) < 0.2
     assert all(r["kept"] for r in resampling.resample(df, labels.limit(0)).collect())
     assert resampling.resample(df.limit(0), labels).count() == 0
+
+
+def test_resampling_counts_every_good_document(spark):
+    n = 20_300  # more than the 20000 the target model once held
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "alpha beta").otherwise("gamma delta").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    for block_rows in (1 << 20, 6000):
+        out = resampling.resample(docs, labels, fraction=1.0, block_rows=block_rows)
+        # target and raw are the same documents, so no document has any weight
+        assert out.agg(F.max(F.abs("weight"))).first()[0] == 0
