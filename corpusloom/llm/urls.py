@@ -2,14 +2,17 @@
 
 A url a rule fits takes the longest rule's verdict.  Every other url takes its host's verdict from
 two personalised PageRanks over the directed, weighted graph of links between hosts: trust starts at
-hosts whose pages the rules mostly allow and follows links; distrust starts at hosts whose pages the
-rules mostly block and follows links backwards (a page that links to a blocked host is suspect).
+hosts of which the rules allow some pages and block no more, and follows links; distrust starts at
+hosts of which the rules block over half of all pages, and follows links backwards (a page that links
+to a blocked host is suspect).  Pages no rule fits count among all pages, and a host's seed is in
+proportion to its share of allowed or blocked pages among them.
 A host is blocked if its share of all distrust exceeds ``ratio`` times its share of all trust.
 
 Both ranks run in one loop: an iteration is one join of the ranks with the transition rows and one
 sum.  Mass that reaches a host without links would restart at the seeds, which only scales the
 ranks, so it is left out and the ranks are normalised at the end.  The lineage is cut every few
-iterations in the shared folder; the loop ends when the ranks move less than ``tolerance``.
+iterations in the shared folder; the loop ends when the ranks move less than ``tolerance``, or
+after ``rounds`` if given.
 
 Defined results: a null url or one without ``://`` has empty host and path, no rule and the verdict
 allow; a host that no mass reaches is allowed; links inside a host, null html and html without
@@ -18,6 +21,7 @@ absolute links add no edges; no rows give no rows; repeated rows stay; extra col
 
 from __future__ import annotations
 
+import itertools
 import string
 from collections.abc import Sequence
 
@@ -72,7 +76,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(
-    edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 60, cut: int = 5, tolerance: float = 1e-6
+    edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int | None = None, cut: int = 5, tolerance: float = 1e-6
 ) -> DataFrame:
     """host, kind, x: ranks of each kind ('trust' forwards, 'distrust' backwards), summing to 1.
 
@@ -93,7 +97,7 @@ def propagate(
     if steps.isEmpty():
         return ranks
     restart = start.select("host", "kind", (F.col("x") * (1 - damping)).alias("x"))
-    for done in range(cut, rounds + cut, cut):
+    for done in itertools.count(cut, cut):
         before = ranks
         for _ in range(cut):
             moved = steps.join(ranks, ["host", "kind"]).select(
@@ -101,11 +105,12 @@ def propagate(
             )
             ranks = moved.unionByName(restart).groupBy("host", "kind").agg(F.sum("x").alias("x"))
         ranks = stored(ranks)
-        if done < rounds:
-            change = ranks.unionByName(before.select("host", "kind", (-F.col("x")).alias("x")))
-            change = change.groupBy("host", "kind").agg(F.abs(F.sum("x")).alias("x")).agg(F.sum("x")).first()[0]
-            if change is None or change < tolerance:
-                break
+        if rounds is not None and done >= rounds:
+            break
+        change = ranks.unionByName(before.select("host", "kind", (-F.col("x")).alias("x")))
+        change = change.groupBy("host", "kind").agg(F.abs(F.sum("x")).alias("x")).agg(F.sum("x")).first()[0]
+        if change is None or change < tolerance:
+            break
     sums = ranks.groupBy("kind").agg(F.sum("x").alias("all"))
     return ranks.join(F.broadcast(sums), "kind").select("host", "kind", (F.col("x") / F.col("all")).alias("x"))
 
@@ -117,14 +122,16 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, *, ra
     seen = seen.withColumn("hit", rule_for(F.col("host"), F.col("path"), rules))
     verdict = F.col("hit.verdict")
     votes = (
-        seen.where(verdict.isNotNull() & (F.col("host") != ""))
+        seen.where(F.col("host") != "")
         .groupBy("host")
-        .agg(F.count_if(verdict == "allow").alias("a"), F.count_if(verdict == "block").alias("b"))
-        .select("host", F.when(F.col("a") >= F.col("b"), "trust").otherwise("distrust").alias("kind"))
+        .agg(F.count_if(verdict == "allow").alias("a"), F.count_if(verdict == "block").alias("b"), F.count(F.lit(1)).alias("n"))
+        .withColumn("kind", F.when((F.col("a") > 0) & (F.col("a") >= F.col("b")), "trust").when(2 * F.col("b") > F.col("n"), "distrust"))
+        .where("kind is not null")
+        .select("host", "kind", (F.when(F.col("kind") == "trust", F.col("a")).otherwise(F.col("b")) / F.col("n")).alias("share"))
     )
     votes = stored(votes)
-    sizes = votes.groupBy("kind").agg(F.count(F.lit(1)).alias("m"))
-    seeds = votes.join(F.broadcast(sizes), "kind").select("host", "kind", (1.0 / F.col("m")).alias("s"))
+    sizes = votes.groupBy("kind").agg(F.sum("share").alias("m"))
+    seeds = votes.join(F.broadcast(sizes), "kind").select("host", "kind", (F.col("share") / F.col("m")).alias("s"))
     ranks = propagate(host_edges(pages.select("url", "html")), seeds, **ppr)
     ranks = ranks.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("x")).otherwise(0.0)).alias("trust"),

@@ -72,6 +72,24 @@ def test_link_propagation_against_power_iteration(spark):
     assert verdicts["farm.org"] == "block" and verdicts["near.org"] == "allow" and verdicts["lone.org"] == "allow"
 
 
+def test_url_seeds_count_pages_without_a_rule(spark):
+    given = {"few.net": ("/es/", 1, 9), "most.net": ("/es/", 8, 2), "half.org": ("/x", 0, 4), "some.com": ("/x", 4, 0)}
+    urls_ = [f"http://{h}{p if i < n else '/z'}" for h, (p, n, m) in given.items() for i in range(n + m)]
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls_)], "page_id long, url string, html string")
+    verdicts = {(r["host"], r["path"]): r["verdict"] for r in urls.judge(df).collect()}
+    assert verdicts["few.net", "/es/"] == "block" and verdicts["few.net", "/z"] == "allow"
+    assert verdicts["most.net", "/es/"] == verdicts["most.net", "/z"] == "block"
+    assert verdicts["half.org", "/z"] == verdicts["some.com", "/x"] == "allow"
+
+
+def test_url_ranks_move_until_tolerance(spark):
+    # two hosts that link to each other: the ranks' change shrinks by 0.85 a round
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("a", "trust", 1.0)], "host string, kind string, s double")
+    x = {r["host"]: r["x"] for r in urls.propagate(edges, seeds, tolerance=1e-7).collect()}
+    assert x == pytest.approx({"a": 1 / 1.85, "b": 0.85 / 1.85}, abs=1e-6)
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
