@@ -88,6 +88,13 @@ def split_line_udf(budget: int):
     return cut
 
 
+def read(line_rows: DataFrame, locates: DataFrame, *, before: int = 0, after: int = 0) -> DataFrame:
+    """locate, file_name, line_no, text: the lines each locate names, with some lines around it."""
+    at = locates.select("locate").distinct().withColumn("_p", T.parse_locate(F.col("locate")))
+    at = at.select("locate", "_p.file_name", F.explode(F.sequence(F.col("_p.start_line") - before, F.col("_p.end_line") + after)).alias("line_no"))
+    return at.join(line_rows.select("file_name", "line_no", "text"), ["file_name", "line_no"]).select("locate", "file_name", "line_no", "text")
+
+
 def placeholder_rows(line_rows: DataFrame) -> DataFrame:
     found = line_rows.select("doc_id", F.explode(T.placeholders(F.col("text"), F.col("line_no"))).alias("p"))
     return found.select("doc_id", "p.*")

@@ -332,6 +332,14 @@ def _relations(named):
     return r.select("source", "target", "weight", _joined("relation_types"), _joined("source_chunk_ids"), _joined("source_locates"))
 
 
+@query()
+def read_locates(spark, d):
+    """The lines of every chunk, read by its locate."""
+    lines = B.whole_lines(spark, d)
+    at = D.line_windows(lines, 4).select(T.locate(F.col("file_name"), F.col("start_line"), F.col("end_line")).alias("locate"))
+    return D.read(lines, at).select("locate", F.col("line_no").cast("long").alias("line_no"), F.format_string("%6d | %s", "line_no", "text").alias("view"))
+
+
 # --- graphs ------------------------------------------------------------------------------------------
 
 
@@ -404,6 +412,14 @@ def context_expansion(spark, d):
     return G.expand_context(nodes, nodes.where("doc_position = 0").select("chunk_id"), before=1, after=2).select("chunk_id", "hop")
 
 
+@query()
+def hit_context(spark, d):
+    """Neighbours of hits anywhere in documents: chunks found by BM25."""
+    nodes = G.sequence_nodes(B.chunks(spark, d))
+    hits = _bm25_top(spark, d).select(F.col("id").alias("chunk_id")).distinct()
+    return G.expand_context(nodes, hits, before=1, after=2).select("chunk_id", "hop")
+
+
 _UNIFIED = f"""with {B.RELATIONS}, sn as (select 'chunk:' || chunk_id node_id, 'chunk' node_type from c), en as (select distinct entity_id node_id, 'entity' node_type from m),
 nodes as (select * from sn union all select * from en),
 e1 as (select source, target, 'semantic' edge_type from rel), e2 as (select distinct entity_id as source, 'chunk:' || chunk_id as target, 'source' edge_type from m),
@@ -525,6 +541,15 @@ def reachability(spark, d):
     return P.reach(seq, seeds, hops=3, checkpoint=stored).select("node_id", "depth")
 
 
+@query()
+def whole_reachability(spark, d):
+    """From first chunks along sequence edges until nothing new is reached."""
+    seq = G.sequence_edges(G.sequence_nodes(D.line_windows(B.whole_lines(spark, d), 4))).where("direction = 'next'")
+    seq = stored(seq.select("source", "target"))
+    seeds = seq.where(F.col("source").endswith("_c00000")).select(F.lit(0).alias("query_id"), F.col("source").alias("node_id"))
+    return P.reach(seq, seeds, hops=None, checkpoint=stored).select("node_id", "depth")
+
+
 @query()
 def structure_summaries(spark, d):
     lines, tree = B.marked_lines(spark, d, B.whole_lines), _tree(spark, d, B.whole_lines)

@@ -107,3 +107,15 @@ def test_lines_and_names_with_the_defaults(spark, tmp_path):
     by_id = {r["entity_id"]: r["name"] for r in rows}
     assert set(by_id.values()) == names >= {"Marie Curie", "McDonald", "AT&T Labs", "\u4e2d\u6587\u540d\u5b57"} and not names & {"Vi", "Mc", "Donald"}
     assert {frozenset((by_id[r["source"]], by_id[r["target"]])) for r in Q.queries()["phrase_relations"](spark, d).collect()} == pairs
+
+
+def test_reach_context_and_read(spark, tmp_path):
+    texts = ["\n".join(f"plain {i}" for i in range(32)) + "\nneedle", "short"]
+    asked = spark.createDataFrame([(0, "needle")], "item_id long, text string")
+    d = tables(spark, tmp_path / "t", texts, benchmark=asked)
+    q = Q.queries()
+    assert {tuple(r) for r in q["whole_reachability"](spark, d).collect()} == {(f"chunk:0_c{i:05d}", i) for i in range(9)}
+    assert {tuple(r) for r in q["hit_context"](spark, d).collect()} == {("0_c00007", -1), ("0_c00008", 0)}
+    rows = texts[0].split("\n")
+    want = {(f"doc_0.txt:L{4 * (i // 4) + 1}-L{min(4 * (i // 4) + 4, 33)}", i + 1, f"{i + 1:6d} | {t}") for i, t in enumerate(rows)}
+    assert {tuple(r) for r in q["read_locates"](spark, d).collect()} == want | {("doc_1.txt:L1-L1", 1, "     1 | short")}
