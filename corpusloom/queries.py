@@ -199,6 +199,13 @@ def hash_embeddings(spark, d):
     return v.where("x <> 0").select("item_id", "i", F.round("x", 9).alias("x"))
 
 
+@query()
+def text_embeddings(spark, d):
+    """Whole documents in the reference's 128 dimensions."""
+    v = B.table(spark, d, "documents").select("doc_id", F.posexplode(T.hash_embedding(F.col("text"), 128)).alias("i", "x"))
+    return v.where("x <> 0").select("doc_id", "i", "x")
+
+
 @query(
     r"""select conv_id, turn, trim(regexp_replace(regexp_replace(translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '(^|\s)(a|an|the)(\s(a|an|the))*(\s|$)', ' ', 'g'), '\s+', ' ', 'g')) answer from conversations"""
 )
@@ -705,7 +712,7 @@ def break_even(spark, d):
 
 @query()
 def bootstrap_intervals(spark, d):
-    return E.bootstrap(B.table(spark, d, "labels").select("toxic", F.col("quality").alias("value")), "toxic", n_boot=2000)
+    return E.bootstrap(B.table(spark, d, "labels").select("toxic", F.col("quality").alias("value")), "toxic")
 
 
 _SILVER = """silver as (select doc_id question_id, chunk_id, file_name, start_line + 1 as s, end_line + 1 as e from c where chunk_index % 2 = 0),

@@ -1,11 +1,15 @@
 """Queries without SQL, run from tables, against brute force."""
 
+import hashlib
 import re
 import unicodedata
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom import queries as Q
+from corpusloom.operators import evaluation as E
 from corpusloom.plans import base as B
 
 TEXTS = [
@@ -119,3 +123,23 @@ def test_reach_context_and_read(spark, tmp_path):
     rows = texts[0].split("\n")
     want = {(f"doc_0.txt:L{4 * (i // 4) + 1}-L{min(4 * (i // 4) + 4, 33)}", i + 1, f"{i + 1:6d} | {t}") for i, t in enumerate(rows)}
     assert {tuple(r) for r in q["read_locates"](spark, d).collect()} == want | {("doc_1.txt:L1-L1", 1, "     1 | short")}
+
+
+def test_embeddings_and_bootstrap_in_full(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    labels = spark.createDataFrame([(i % 2, int(x)) for i, x in enumerate(rng.integers(0, 2, 400))], "toxic int, quality int")
+    d = tables(spark, tmp_path / "t", [" ".join(f"w{i}" for i in range(300)), "one Two two"], labels=labels)
+    want = np.zeros((2, 128))
+    for doc, text in enumerate([" ".join(f"w{i}" for i in range(300)), "one Two two"]):
+        for tok in text.lower().split():
+            h = hashlib.sha256(tok.encode()).hexdigest()
+            want[doc, int(h[:8], 16) % 128] += 1 if int(h[8:10], 16) % 2 == 0 else -1
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    got = np.zeros((2, 128))
+    for r in Q.queries()["text_embeddings"](spark, d).collect():
+        got[r["doc_id"], r["i"]] = r["x"]
+    assert got == pytest.approx(want)
+    pairs = labels.select("toxic", F.col("quality").alias("value"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    full, few = rows(E.bootstrap(pairs, "toxic", n_boot=10_000)), rows(E.bootstrap(pairs, "toxic", n_boot=2000))
+    assert rows(Q.queries()["bootstrap_intervals"](spark, d)) == full != few
