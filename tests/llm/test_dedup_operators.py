@@ -117,7 +117,7 @@ def test_neighbours(spark):
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     rows += [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [1.0]), (2004, [None] * 16), (None, rows[0][1]), (20, rows[20][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash"))
-    out = hilbert.nearest(df, F.col("vec_id") % 20 == 0, rows=256).toPandas()
+    out = hilbert.nearest(df, F.col("vec_id") % 20 == 0, task_rows=256).toPandas()
     y = x.astype(float)
     hits = 0
     for q in range(0, 1500, 20):
