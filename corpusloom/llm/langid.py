@@ -7,13 +7,14 @@ false positives, (hits - n * fp) / (1 - fp) with fp = fill ** hashes, and the la
 
 A language's n-grams are those found in its training texts at least ``least`` times and at least
 ``share`` times as often, per n-gram read, as in the language where they are most frequent; so a few
-mislabelled texts or shared n-grams do not blur the filters.  At most ``grams`` per language are kept,
-the most frequent.  Training reads at most ``sample`` documents per language, those with the smallest
-hashes of doc_id; the filters' size is fixed, so what is broadcast is bounded.
+mislabelled texts or shared n-grams do not blur the filters.  Training reads about ``sample`` documents
+per language: those whose hash of doc_id, as a share of all hashes, is below sample / their number.
+The filters' size is fixed, so what is collected and broadcast is bounded, and grows by a bit a row
+with each language.
 
 Defined results: ``und`` with score 0 for null text, text without a letter and a model without
-languages; ties go to the first language; unlabelled rows are only predicted; no rows give no rows;
-repeated rows stay; extra columns are ignored.
+languages; ties go to the first language by code point; unlabelled rows are only predicted; no rows give
+no rows; repeated rows stay, and each counts in training; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table
+from corpusloom.llm.common import stored, table
 from corpusloom.llm.words import U, Texts, mixed, slices
 
 N = 5
@@ -122,22 +123,39 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
-def train(documents: DataFrame, *, sample: int = 3000, share: float = 0.2, least: int = 3, grams_kept: int = 60_000, **size) -> Filters:
-    """documents: doc_id, text (any case), lang."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+def _slots(gram: Column, k: int, slots: int) -> Column:
+    """``Filters.probe``'s k-th row, for a power of two of rows."""
+    h = F.shiftrightunsigned(gram, 21 * k) + F.lit(k) * F.shiftrightunsigned(gram, 40)
+    return h.bitwiseAND(F.lit(slots - 1))
+
+
+def kept_grams(documents: DataFrame, *, sample: int = 3000, share: float = 0.2, least: int = 3) -> DataFrame:
+    """lang, gram: the n-grams of every language.  documents: doc_id, text (any case), lang."""
     rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = rows.select("doc_id", "lang").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample)
-    rows = rows.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    unit = F.xxhash64(F.lit(17), "doc_id").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+    rows = rows.join(F.broadcast(sizes), "lang").where(unit * F.col("size") < sample)
     counts = rows.select(F.lower("text").alias("text"), "lang").mapInArrow(_counts, "lang string, gram long, n long")
-    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
-    counts = counts.withColumn("top", F.max("rate").over(Window.partitionBy("gram")))
-    good = counts.where((F.col("n") >= least) & (F.col("rate") >= share * F.col("top")))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    good = good.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= grams_kept)
-    found = good.select("lang", "gram").toPandas()
-    lists = {lang: g["gram"].to_numpy().view(np.uint64) for lang, g in found.groupby("lang")}
-    return build(lists, **size)
+    counts = stored(counts.groupBy("gram", "lang").agg(F.sum("n").alias("n")))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    counts = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
+    top = F.max("rate").over(Window.partitionBy("gram"))  # a row per language
+    return counts.withColumn("top", top).where((F.col("n") >= least) & (F.col("rate") >= share * F.col("top"))).select("lang", "gram")
+
+
+def train(documents: DataFrame, *, slots: int = 1 << 20, hashes: int = 2, **kept) -> Filters:
+    """Filters of all languages; rows of the table are made by the executors and only they are collected."""
+    grams = stored(kept_grams(documents, **kept))
+    langs = sorted(r["lang"] for r in grams.select("lang").distinct().collect())
+    rows = np.zeros((slots, max(1, -(-len(langs) // 64))), dtype=np.uint64)
+    if langs:
+        number = F.create_map(*[c for i, lang in enumerate(langs) for c in (F.lit(lang), F.lit(i))])[F.col("lang")]
+        probes = F.explode(F.array(*[_slots(F.col("gram"), k, slots) for k in range(hashes)]))
+        bits = grams.select(number.alias("i"), probes.alias("slot"))
+        bits = bits.groupBy("slot", F.floor(F.col("i") / 64).cast("int").alias("word"))
+        found = bits.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i") % 64)).alias("mask")).toArrow()
+        rows[found["slot"].to_numpy(), found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
+    return Filters(langs, rows, hashes)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])

@@ -140,10 +140,66 @@ def test_language_identification(spark):
     assert langid.predict(df.limit(0), empty).count() == 0
 
 
+def byte_grams(text):
+    """5-grams of lower-case bytes, other characters than letters one space."""
+    raw = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in f" {text.lower()} ".encode())
+    raw = b" ".join(p for p in raw.split(b" ")) if raw.strip() else b" "
+    while b"  " in raw:
+        raw = raw.replace(b"  ", b" ")
+    return [raw[i : i + 5] for i in range(len(raw) - 4)]
+
+
+def test_language_counts_against_exact_sets(spark):
+    """Filters hold the grams of a brute-force count, and decide as exact sets do."""
+    import zlib
+
+    rng = random.Random(8)
+    parts = {"aa": ["ka", "lo", "mi", "zu"], "bb": ["zu", "ter", "ñi", "lo"], "cc": ["qué", "sta", "lo", "ka"]}
+    make = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    data = [(i, make(lang, rng.randrange(1, 40)), lang) for i, lang in enumerate(list(parts) * 40)]
+    data += data[:6] + [(300, "lo " * 200_000, "aa"), (301, make("aa", 20) + " " + make("bb", 20), None)]  # repeated rows, a very long text
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    counts = {lang: collections.Counter() for lang in parts}
+    for i, t, lang in data:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[lang].update(byte_grams(t))
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    top = {g: max(r.get(g, 0) for r in rate.values()) for c in counts.values() for g in c}
+    want = {lang: {g for g, n in c.items() if n >= 3 and rate[lang][g] >= 0.2 * top[g]} for lang, c in counts.items()}
+    got = langid.kept_grams(df).groupBy("lang").agg(F.countDistinct("gram").alias("n")).collect()
+    assert {r["lang"]: r["n"] for r in got} == {lang: len(g) for lang, g in want.items()}
+    out = langid.predict(df, langid.train(df))
+    assert out.count() == len(data)
+    found = {r["doc_id"]: r for r in out.collect()}
+    for i, t, _ in data:
+        hits = {lang: sum(g in want[lang] for g in byte_grams(t)) for lang in parts}
+        best = max(sorted(hits), key=hits.get)
+        if hits[best] > 1.02 * sorted(hits.values())[-2] + 1:
+            assert found[i]["lang_pred"] == best
+            assert found[i]["score"] == pytest.approx(hits[best] / sum(hits.values()), abs=0.02)
+
+
+def test_language_ties_go_to_the_first(spark):
+    data = [(i, "same words in both", lang) for i, lang in enumerate(["zz", "yy"] * 30)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in langid.predict(df, langid.train(df, share=0.0)).collect()} == {"yy"}
+
+
+def build(lists, slots, hashes=2):
+    """Filters made slot by slot, as the executors make them."""
+    langs = sorted(lists)
+    table = np.zeros((slots, -(-len(langs) // 64)), dtype=np.uint64)
+    for i, lang in enumerate(langs):
+        for k in range(hashes):
+            for h in lists[lang].tolist():
+                table[((h >> 21 * k) + k * (h >> 40)) % slots, i // 64] |= np.uint64(1 << i % 64)
+    return langid.Filters(langs, table, hashes)
+
+
 def test_filters_have_no_false_negatives():
     rng = np.random.default_rng(1)
     lists = {f"l{i}": rng.integers(0, 2**63, 500, dtype=np.int64).view(np.uint64) for i in range(70)}
-    f = langid.build(lists, slots=1 << 14)
+    f = build(lists, 1 << 14)
     for i, lang in enumerate(f.langs):
         assert ((f.probe(lists[lang])[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).all()
     other = rng.integers(0, 2**63, 20_000, dtype=np.int64).view(np.uint64)
