@@ -301,6 +301,62 @@ def test_resampling(spark):
     assert resampling.resample(df.limit(0), labels).count() == 0
 
 
+def spark_xxhash64(seed, doc_id, text):
+    """xxhash64 over an int, a long and a string, each the next one's seed; nulls are passed over."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)
+    h = xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little"), h)
+    return h if text is None else xxhash.xxh64_intdigest(text.encode(), h)
+
+
+def test_resampling_against_brute_force(spark):
+    """Ratios by counting word n-grams in dictionaries, noise by another hash, top-k by sorting."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"][: 2 + i % 4]) for _ in range(rng.randrange(1, 30))) for i in range(90)]
+    texts += ["beta " * 150_000, "x" * 700_000, None, "", " \n"]  # longer than a slice, one word, no words
+    data = rows(texts) + rows(texts)[:5]  # repeated rows
+    df = spark.createDataFrame(data, DOCS)
+    labels = [(i, int(i % 3 > 0), int(i % 5 == 0)) for i in range(0, 80, 2)] + [(4, 0, 0), (None, 1, 0), (6, None, 0), (8, 1, None), (999, 1, 0)]
+    marks = {}
+    for i, q, x in labels:
+        if i is not None:
+            a, b = marks.get(i, (1, 0))
+            marks[i] = (min(a, q or 0), max(b, x or 0))
+    good = {i for i, (q, x) in marks.items() if q == 1 and x != 1}
+    grams = lambda t: [*words(t), *zip(words(t), words(t)[1:], strict=False)]
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t, *_ in data:
+        raw.update(grams(t))
+        if i in good:
+            target.update(grams(t))
+    size = resampling.BUCKETS
+    ratio = {g: np.log((target[g] + 1) / (target.total() + size)) - np.log((raw[g] + 1) / (raw.total() + size)) for g in raw}
+    want = []
+    for i, t, *_ in data:
+        w = sum(ratio[g] for g in grams(t)) if words(t) else resampling.LOWEST
+        unit = ((spark_xxhash64(resampling.SEED, i, t) & ((1 << 52) - 1)) + 0.5) / (1 << 52)
+        want.append((i, w, w - np.log(-np.log(unit))))
+    for fraction in (0.4, 0.97, 1.0):
+        out = resampling.resample(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), fraction=fraction).collect()
+        found = sorted((r["doc_id"], r["weight"]) for r in out)
+        assert [f[0] for f in found] == sorted(w[0] for w in want)
+        assert [f[1] for f in found] == pytest.approx([w[1] for w in sorted(want)], rel=1e-9, abs=1e-6)
+        last = sorted((w[2] for w in want), reverse=True)[round(fraction * len(want)) - 1]
+        kept = collections.Counter(r["doc_id"] for r in out if r["kept"])
+        assert kept == collections.Counter(w[0] for w in want if w[2] >= last)
+
+
+def test_top_k_cuts_bins_until_few_rows_are_left(spark):
+    rng = random.Random(2)
+    for values in ([rng.gauss(0, 1) for _ in range(500)], [1.0] * 40 + [2.0] * 40, [rng.choice([0.0, 1e-9, 5.0, 1e6]) for _ in range(200)] + [resampling.LOWEST] * 50):
+        df = spark.createDataFrame([(v,) for v in values], "key double")
+        for k in (0, 1, 39, 41, len(values) - 3, len(values), len(values) + 9):
+            kept = sorted(r["key"] for r in resampling.top_k(df, k, bins=8, few=4).where("kept").collect())
+            last = sorted(values, reverse=True)[min(k, len(values)) - 1] if k else np.inf
+            assert kept == sorted(v for v in values if v >= last)
+
+
 def test_resampling_counts_every_good_document(spark):
     n = 20_300  # more than the 20000 the target model once held
     docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "alpha beta").otherwise("gamma delta").alias("text"))
