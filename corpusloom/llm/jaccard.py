@@ -6,20 +6,26 @@ threshold t.  The result is exact (to 64-bit hashes) and gives connected classes
 1. Sharing.  Every document sends its shingles, packed by hash bucket (about 5 bytes each); a bucket
    counts for each document the shingles that another document has too.  A link needs a common part
    of t times either set, so documents with fewer shared shingles are out.  Documents with equal sets
-   become one representative, the smallest doc_id.
+   become one representative, the smallest doc_id.  A task settles both among its own documents first
+   and sends a shingle or a set that many of them have once.
 2. Groups.  Two linked sets share a shingle among the first n - ceil(t n) + 1 of each in any common
    order.  Buckets count the representatives with each shingle, documents order theirs by frequency and
    hash, and joining documents on prefixes gives groups outside of which no link exists; a passage
    common to many documents joins only those made of such passages.
 3. Matrix.  Groups are dealt to tasks of bounded size (``task_shingles``); a larger group is split by
-   hash and its parts share a few pivots.  A task divides its documents by first shingle, stores the
-   union of each division's shingles as a sparse token-group matrix, counts each query's overlap with
+   set size (linked sets differ by a factor 1 / t at most, so only neighbouring classes of sizes meet)
+   and hash, and the parts share a few pivots.  A task divides its documents by first shingle, stores
+   the union of each division's shingles as a sparse token-group matrix, counts each query's overlap with
    every union, and opens only divisions whose overlap reaches t times the query's size.  Documents
    already joined to the largest class need no query: links among them add nothing.
 4. Rest.  In a split group whose parts did not come together, the documents outside its largest class
-   are compared, in tasks of bounded size, with every part.
+   are compared, in tasks of bounded size, with every part of neighbouring sizes.  Such a group of many
+   small classes costs tasks in the square of its size over ``task_shingles``.
 5. Classes.  Connected components of the links.
 
+Buckets compare 32 bits beside the bucket's number, which can only let more documents through steps 1
+and 2; links are decided by all 64.
+
 Defined results: null and empty text have no shingles and link with nothing; fewer than k words are
 one shingle, the whole sequence; rows with equal doc_id are one document; null doc_id gives a row
 with its shingle count of 0 and no component; no rows give no rows; extra columns are ignored.
@@ -27,6 +33,7 @@ with its shingle count of 0 and no component; no rows give no rows; extra column
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +41,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import long_id, partitions, stored, table
+from corpusloom.llm.common import long_id, stored, table, text_bytes
 from corpusloom.llm.graphs import components
-from corpusloom.llm.words import PACKED, Packer, Texts, U, answers, found_values, gathered, mixed, packed_rows, run_hashes, share_of, slices, to_batch, unpacked
+from corpusloom.llm.words import (
+    PACKED, Gathered, Texts, U, answers, bucket_count, by_bucket, flush_size, found_values, gathered, mixed, of_kind, packed_rows, run_hashes, share_of,
+    slices, sorted_pairs, to_batch, unpacked,
+)
 
 K = 5
 PERCENT = 75
@@ -67,83 +77,113 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U(32)) % U(buckets)).astype(np.int32)
 
 
-#: Size and digest of a set, sent to the bucket of its first shingle.
+def _low(h: np.ndarray) -> np.ndarray:
+    return (h & U(0xFFFFFFFF)).astype(np.uint32)
+
+
+#: Size and digest of a set, sent to the bucket of its first shingle; size and representative.
 _HEAD = np.dtype([("n", "u8"), ("k1", "u8"), ("k2", "u8")])
+_REP = np.dtype([("n", "i8"), ("rep", "i8")])
+#: Kinds of rows: a shingle of one document, a set, a shingle that a task found in several documents;
+#: and to shares of the documents: shared shingles, a size and representative.
+_ONE, _SET, _MANY, _SHARED, _FOUND = range(5)
 
 # --- 1. sharing -----------------------------------------------------------------------------------
 
 
+def _representatives(doc: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by set and document, and for each in it the smallest document with the same set."""
+    order = np.lexsort((doc, head["n"], head["k2"], head["k1"]))
+    doc, head = doc[order], head[order]
+    first = np.concatenate([[True], head[1:] != head[:-1]])[: len(doc)]
+    return order, doc[np.flatnonzero(first)][np.cumsum(first) - 1]
+
+
+def _rep_rows(doc: np.ndarray, n: np.ndarray, rep: np.ndarray, shares: int) -> list[tuple]:
+    value = np.zeros(len(doc), dtype=_REP)
+    value["n"], value["rep"] = n, rep
+    return packed_rows(doc, share_of(doc, shares), value, _FOUND)
+
+
 def sent_shingles(docs: DataFrame, k: int, buckets: int) -> DataFrame:
-    """Packed shingles (kind 0) and, in one bucket each, sizes and digests of the sets (kind 1)."""
+    """Packed shingles and sets, and what a task knows already."""
+
+    def told(doc: np.ndarray, h: np.ndarray) -> list[tuple]:
+        doc, h, start, end = sorted_pairs(doc, h)
+        several = end - start > 1
+        alone = np.repeat(~several, end - start)
+        rows = packed_rows(doc[alone], _bucket(h[alone], buckets), _low(h[alone]), _ONE)
+        many = h[start[several]]
+        rows += packed_rows(np.zeros(len(many), np.int64), _bucket(many, buckets), _low(many), _MANY)
+        found, n = np.unique(doc[~alone], return_counts=True)
+        return rows + packed_rows(found, share_of(found, buckets), n.astype(np.uint32), _SHARED)
+
+    def sets(doc: np.ndarray, bucket: np.ndarray, head: np.ndarray) -> list[tuple]:
+        order, rep = _representatives(doc, head)
+        doc, bucket, head = doc[order], bucket[order], head[order]
+        own = doc == rep
+        rows = packed_rows(doc[own], bucket[own], head[own], _SET)
+        return rows + _rep_rows(doc[~own], head["n"][~own], rep[~own], buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, heads = Packer(0), Packer(1)
+        held, heads = Gathered(2, flush_size(buckets)), Gathered(3, 0)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for t in slices(batch, lower=True):
                 doc, h = shingle_sets(t, k)
-                bucket = _bucket(h, buckets)
-                rows = out.add(ids[t.first + doc], bucket, h.astype(np.uint32))
                 n = np.bincount(doc, minlength=t.n)
                 some = np.flatnonzero(n)
                 first = np.concatenate([[0], np.cumsum(n)])[some]
                 sums = [np.add.reduceat(x, first) if len(first) else x[:0] for x in (mixed(h), mixed(h * U(_BASE) + U(1)))]
                 head = np.zeros(len(some), dtype=_HEAD)
                 head["n"], head["k1"], head["k2"] = n[some], *sums
-                rows += heads.add(ids[t.first + some], bucket[first], head)
-                if rows:
-                    yield to_batch(rows)
-        yield to_batch(out.flush() + heads.flush())
+                heads.add(ids[t.first + some], _bucket(h[first], buckets), head)
+                if held.add(ids[t.first + doc], h):
+                    yield to_batch(told(*held.take()) + sets(*heads.take()))
+        if rest := held.take():
+            yield to_batch(told(*rest) + sets(*heads.take()))
 
     return docs.mapInArrow(run, PACKED)
 
 
-_COUNTED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("shared", pa.int64())])
+_COUNTED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("shared", pa.int64())])
 
 
-def shared_counts(packed: DataFrame, shares: int) -> DataFrame:
-    """doc_id, n, k1, k2, shared: sizes and digests of the sets, and how many shingles others have.
+def shared_counts(packed: DataFrame, buckets: int) -> DataFrame:
+    """doc_id, n, rep, shared: size of the set, a smaller document with the same set (or itself; its own
+    rep is the smallest of all), and how many shingles others have, at least.
 
     Buckets answer in packed rows per share of the documents, and a share adds them up.
     """
 
     def run(t: pa.Table) -> pa.Table:
-        kinds = t["kind"].to_numpy()
-        doc, h = unpacked(t.filter(pa.array(kinds == 0)), np.uint32)
-        doc, h = _distinct(doc, h)
-        found, n = np.unique(doc[_repeated(h)], return_counts=True)
-        hdoc, head = unpacked(t.filter(pa.array(kinds == 1)), _HEAD)
-        rows = packed_rows(found, share_of(found, shares), n.astype(np.uint32), 0) + packed_rows(hdoc, share_of(hdoc, shares), head, 1)
-        return pa.Table.from_batches([to_batch(rows)])
+        doc, h = unpacked(of_kind(t, _ONE), np.uint32)
+        _, many = unpacked(of_kind(t, _MANY), np.uint32)
+        order = np.lexsort((doc, h))
+        doc, h = doc[order], h[order]
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+        size = np.diff(np.concatenate([start, [len(h)]]))
+        # two documents have it (two shingles of one may look equal), or a task found several
+        shared = (doc[start] != doc[start + size - 1]) | np.isin(h[start], many)
+        found, n = np.unique(doc[np.repeat(shared, size)], return_counts=True)
+        rows = packed_rows(found, share_of(found, buckets), n.astype(np.uint32), _SHARED)
+        hdoc, head = unpacked(of_kind(t, _SET), _HEAD)
+        order, rep = _representatives(hdoc, head)
+        rows += _rep_rows(hdoc[order], head["n"][order], rep, buckets)
+        return pa.concat_tables([of_kind(t, _SHARED), of_kind(t, _FOUND), pa.Table.from_batches([to_batch(rows)])])
 
     def add(t: pa.Table) -> pa.Table:
-        kinds = t["kind"].to_numpy()
-        hdoc, head = unpacked(t.filter(pa.array(kinds == 1)), _HEAD)
+        hdoc, found = unpacked(of_kind(t, _FOUND), _REP)
+        order = np.lexsort((found["rep"], found["n"], hdoc))
+        hdoc, found = hdoc[order], found[order]
         ids, first = np.unique(hdoc, return_index=True)
-        doc, n = unpacked(t.filter(pa.array(kinds == 0)), np.uint32)
+        doc, n = unpacked(of_kind(t, _SHARED), np.uint32)
         shared = np.bincount(np.searchsorted(ids, doc), weights=n, minlength=len(ids)).astype(np.int64)
-        values = [np.ascontiguousarray(head[c][first]).view(np.int64) for c in ("n", "k1", "k2")]
-        return pa.Table.from_arrays([pa.array(x) for x in (ids, *values, shared)], schema=_COUNTED)
+        values = (ids, np.ascontiguousarray(found["n"][first]), np.ascontiguousarray(found["rep"][first]), shared)
+        return pa.Table.from_arrays([pa.array(x) for x in values], schema=_COUNTED)
 
-    out = packed.groupBy("bucket").applyInArrow(run, PACKED)
-    return out.groupBy("bucket").applyInArrow(add, "doc_id long, n long, k1 long, k2 long, shared long")
-
-
-def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs, by hash and document."""
-    order = np.lexsort((doc, h))
-    doc, h = doc[order], h[order]
-    new = np.ones(len(doc), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-    return doc[new], h[new]
-
-
-def _repeated(h: np.ndarray) -> np.ndarray:
-    """Which entries of a sorted array have an equal neighbour."""
-    many = np.zeros(len(h), dtype=bool)
-    many[1:] = h[1:] == h[:-1]
-    many[:-1] |= h[1:] == h[:-1]
-    return many
+    out = by_bucket(packed, buckets).applyInArrow(run, PACKED)
+    return by_bucket(out, buckets).applyInArrow(add, "doc_id long, n long, rep long, shared long")
 
 
 # --- 2. groups ------------------------------------------------------------------------------------
@@ -185,25 +225,24 @@ def frequencies(docs: DataFrame, k: int, buckets: int) -> DataFrame:
     number of documents with it, in one value."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Packer()
+        held = Gathered(3, flush_size(buckets))
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for t in slices(batch, lower=True):
                 doc, h = shingle_sets(t, k)
-                rows = out.add(ids[t.first + doc], _bucket(h, buckets), h.astype(np.uint32))
-                if rows:
-                    yield to_batch(rows)
-        yield to_batch(out.flush())
+                if held.add(ids[t.first + doc], _bucket(h, buckets), _low(h)):
+                    yield to_batch(packed_rows(*held.take(), 0))
+        if rest := held.take():
+            yield to_batch(packed_rows(*rest, 0))
 
     def count(t: pa.Table) -> pa.Table:
-        doc, h = _distinct(*unpacked(t, np.uint32))
-        _, where, n = np.unique(h, return_inverse=True, return_counts=True)
-        level = np.log2(n).astype(np.uint64)[where]
+        doc, h, start, end = sorted_pairs(*unpacked(t, np.uint32))
+        level = np.repeat(np.log2(end - start).astype(np.uint64), end - start)
         many = level > 0
         key = (np.uint64(t["bucket"][0].as_py()) << U(32)) | h[many].astype(np.uint64)
         return answers(doc[many], (key << U(6)) | level[many], buckets)
 
-    return docs.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(count, PACKED)
+    return by_bucket(docs.mapInArrow(send, PACKED), buckets).applyInArrow(count, PACKED)
 
 
 def prefix_edges(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
@@ -214,14 +253,14 @@ def prefix_edges(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFra
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Packer()
+        held = Gathered(3, flush_size(buckets))
         for batch in batches:
             ids, found = batch.column(0).to_numpy(), found_values(batch.column(2))
             for t in slices(batch, lower=True):
                 doc, h = shingle_sets(t, k)
                 n = np.bincount(doc, minlength=t.n)
                 first = np.concatenate([[0], np.cumsum(n)])
-                key = (_bucket(h, buckets).astype(np.uint64) << U(32)) | (h & U(0xFFFFFFFF))
+                key = (_bucket(h, buckets).astype(np.uint64) << U(32)) | _low(h).astype(np.uint64)
                 level = np.zeros(len(h), dtype=np.int64)
                 for d, f in enumerate(found[t.first : t.last]):
                     mine = slice(first[d], first[d + 1])
@@ -231,10 +270,10 @@ def prefix_edges(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFra
                 order = np.lexsort((h, level, doc))
                 doc, h, level = doc[order], h[order], level[order]
                 early = (np.arange(len(doc)) - first[doc] < prefix_length(n, percent)[doc]) & (level > 0)
-                rows = out.add(ids[t.first + doc[early]], _bucket(h[early], buckets), h[early].astype(np.uint32))
-                if rows:
-                    yield to_batch(rows)
-        yield to_batch(out.flush())
+                if held.add(ids[t.first + doc[early]], _bucket(h[early], buckets), _low(h[early])):
+                    yield to_batch(packed_rows(*held.take(), 0))
+        if rest := held.take():
+            yield to_batch(packed_rows(*rest, 0))
 
     def meet(t: pa.Table) -> pa.Table:
         doc, h = unpacked(t, np.uint32)
@@ -250,7 +289,7 @@ def prefix_edges(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFra
             forest.join(a, b)
         return pa.Table.from_batches([_forest_edges(ids, forest)])
 
-    return docs.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return by_bucket(docs.mapInArrow(send, PACKED), buckets).applyInArrow(meet, "a long, b long")
 
 
 # --- 3. matrix ------------------------------------------------------------------------------------
@@ -353,65 +392,81 @@ def links_in_tasks(rows: DataFrame, k: int, percent: int) -> DataFrame:
 # --- the join -------------------------------------------------------------------------------------
 
 
+def _size_class(n, percent: int):
+    """Linked sets are in the same class or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / percent)) + 1e-9).cast("long")
+
+
 def similar_classes(documents: DataFrame, *, k: int = K, percent: int = PERCENT, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id (null without doc_id), one row per row of documents."""
-    spark = documents.sparkSession
-    buckets = max(8, partitions(spark))
     docs = documents.select(long_id(documents), F.coalesce("text", F.lit("")).alias("text"))
     known = docs.where(F.col("doc_id").isNotNull())
+    buckets = bucket_count(text_bytes(known))
     counts = stored(shared_counts(sent_shingles(known, k, buckets), buckets))
-    able = counts.where(F.col("n").isNotNull() & (100 * F.col("shared") >= percent * F.col("n")))
-    same = able.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    members = stored(able.join(same, ["n", "k1", "k2"]).select("doc_id", "rep", "n"))
+    able = counts.where(100 * F.col("shared") >= percent * F.col("n")).select("doc_id", F.col("rep").alias("near"), "n")
+    # a representative among a task's documents, then that one's among all: no key has all of a class
+    onward = able.select(F.col("doc_id").alias("near"), F.col("near").alias("rep"))
+    members = stored(able.join(onward, "near").select("doc_id", "near", "rep", "n"))
     reps = members.where("doc_id = rep").select("doc_id", "n")
     # by merging at every size: the lists of documents grow with the input and are never broadcast
     texts = stored(known.join(reps.select("doc_id").hint("merge"), "doc_id", "left_semi"))
 
-    rare = texts.join(gathered(frequencies(texts, k, buckets)).hint("merge"), "doc_id").select("doc_id", "text", "found")
+    rare = texts.join(gathered(frequencies(texts, k, buckets), buckets).hint("merge"), "doc_id").select("doc_id", "text", "found")
     grouped = components(prefix_edges(rare, k, percent, buckets)).select(F.col("node").alias("doc_id"), F.col("component").alias("g"))
-    sized = reps.join(grouped, "doc_id")  # documents alone in their group have no link
-    groups = sized.groupBy("g").agg(F.sum("n").alias("w"))
-    total = groups.agg(F.sum("w")).first()[0] or 0
+    sized = stored(reps.join(grouped, "doc_id").withColumn("c", _size_class(F.col("n"), percent)))  # alone in its group: no link
+    total = sized.agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-total // task_shingles))
-    parts = F.greatest(F.ceil(F.col("w") / task_shingles), F.lit(1)).cast("long")
-    groups = groups.select("g", parts.alias("parts"))
-    placed = sized.join(groups, "g")
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(F.lit(0))
-    placed = stored(placed.withColumn("part", part))
-    split = F.col("parts") > 1
+    # only groups above a task's size have rows here: at most ``bins`` times the classes of sizes in one
+    large = sized.groupBy("g").agg(F.sum("n").alias("w")).where(F.col("w") > task_shingles).select("g")
+    large = stored(large)
+    blocks = stored(
+        sized.join(large, "g", "left_semi").groupBy("g", "c").agg(F.greatest(F.ceil(F.sum("n") / task_shingles), F.lit(1)).cast("long").alias("parts"))
+    )
+    zero = F.lit(0).cast("long")
+    home = lambda x, c, y, z: F.struct(x.alias("x"), c.alias("c"), y.alias("y"), z.alias("z")).alias("task")
     # a small group is dealt to a bin with others; negative groups are bins
-    home = F.struct(
-        F.when(split, F.col("g")).otherwise(-1 - F.pmod(F.xxhash64("g"), F.lit(bins))).alias("x"), F.col("part").alias("y"), F.lit(0).cast("long").alias("z")
-    ).alias("task")
-    tasks = placed.select("doc_id", F.lit(0).alias("ask"), home)
-    rank = F.row_number().over(Window.partitionBy("g").orderBy("doc_id"))
-    pivots = placed.where(split).withColumn("r", rank).where(F.col("r") <= PIVOTS)
-    pivots = pivots.select("doc_id", F.col("g").alias("x"), "part", F.explode(F.expr("sequence(0L, parts - 1)")).alias("y"))
-    pivot_rows = pivots.select("doc_id", F.lit(2).alias("ask"), F.struct("x", "y", F.lit(0).cast("long").alias("z")).alias("task"))
-    tasks = tasks.unionByName(pivot_rows).groupBy("doc_id", "task").agg(F.max("ask").alias("ask"))
+    small = sized.join(large, "g", "left_anti")
+    tasks = small.select("doc_id", F.lit(0).alias("ask"), home(-1 - F.pmod(F.xxhash64("g"), F.lit(bins)), zero, zero, zero))
+    split = stored(sized.join(blocks, ["g", "c"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts")))
+    some = not large.isEmpty()
+    if some:
+        rank = F.row_number().over(Window.partitionBy("g", "c").orderBy("doc_id"))
+        pivots = split.withColumn("r", rank).where(F.col("r") <= PIVOTS).select("doc_id", "g", _neighbours("c"))
+        pivots = pivots.join(blocks, ["g", "c"]).select("doc_id", "g", "c", F.explode(F.expr("sequence(0L, parts - 1)")).alias("y"))
+        told = split.select("doc_id", F.lit(0).alias("ask"), home(F.col("g"), F.col("c"), F.col("part"), zero))
+        asked = pivots.select("doc_id", F.lit(2).alias("ask"), home(F.col("g"), F.col("c"), F.col("y"), zero))
+        tasks = tasks.unionByName(told.unionByName(asked).groupBy("doc_id", "task").agg(F.max("ask").alias("ask")))
     links = stored(links_in_tasks(texts.join(tasks.hint("merge"), "doc_id"), k, percent))
     classes = components(links)
 
-    if not placed.where(split).isEmpty():
-        now = placed.where(split).join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    if some:
+        now = split.join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
         now = stored(now.withColumn("component", F.coalesce("component", "doc_id")))
         held = now.groupBy("g", "component").agg(F.count(F.lit(1)).alias("m"))
-        largest = held.groupBy("g").agg(F.max_by("component", F.struct("m", -F.col("component"))).alias("main"))
-        rest = now.join(largest, "g").where(F.col("component") != F.col("main"))
-        weight = rest.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / task_shingles), F.lit(1)).cast("long").alias("asks"))
-        rest = rest.join(weight, "g").withColumn("z", F.pmod(F.xxhash64("doc_id"), "asks"))
-        asked = rest.select("doc_id", F.lit(1).alias("ask"), "g", F.explode(F.expr("sequence(0L, parts - 1)")).alias("y"), "z")
-        told = now.join(weight, "g").select("doc_id", F.lit(0).alias("ask"), "g", F.col("part").alias("y"), F.explode(F.expr("sequence(0L, asks - 1)")).alias("z"))
-        more = asked.unionByName(told).groupBy("doc_id", "g", "y", "z").agg(F.max("ask").alias("ask"))
-        more = more.select("doc_id", "ask", F.struct(F.col("g").alias("x"), "y", "z").alias("task"))
+        largest = stored(held.groupBy("g").agg(F.max_by("component", F.struct("m", -F.col("component"))).alias("main")))
+        rest = now.join(largest, "g").where(F.col("component") != F.col("main")).select("doc_id", "g", "n", _neighbours("c"))
+        rest = stored(rest.join(blocks, ["g", "c"]))
+        asks = stored(rest.groupBy("g", "c").agg(F.greatest(F.ceil(F.sum("n") / task_shingles), F.lit(1)).cast("long").alias("asks")))
+        rest = rest.join(asks, ["g", "c"]).withColumn("z", F.pmod(F.xxhash64("doc_id"), "asks"))
+        asked = rest.select("doc_id", F.lit(1).alias("ask"), "g", "c", F.explode(F.expr("sequence(0L, parts - 1)")).alias("y"), "z")
+        told = now.join(asks, ["g", "c"]).select("doc_id", F.lit(0).alias("ask"), "g", "c", F.col("part").alias("y"), F.explode(F.expr("sequence(0L, asks - 1)")).alias("z"))
+        more = asked.unionByName(told).groupBy("doc_id", "g", "c", "y", "z").agg(F.max("ask").alias("ask"))
+        more = more.select("doc_id", "ask", home(F.col("g"), F.col("c"), F.col("y"), F.col("z")))
         links = links.unionByName(links_in_tasks(texts.join(more.hint("merge"), "doc_id"), k, percent))
         classes = components(links)
 
-    found = members.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    found = found.select("doc_id", F.coalesce("component", "rep").alias("component"))
+    onward = members.select("near", "rep").distinct()
+    onward = onward.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    onward = stored(onward.select("near", F.coalesce("component", "rep").alias("component")))
+    found = members.select("doc_id", "near").join(onward, "near", "left").select("doc_id", "component")
     out = docs.select("doc_id").join(counts.select("doc_id", "n"), "doc_id", "left").join(found, "doc_id", "left")
     return out.select("doc_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _neighbours(c: str):
+    """A row for each class of sizes that may link with this one."""
+    return F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)).alias(c)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -12,9 +12,10 @@ also starts in a document with a smaller doc_id.
    alignment, and sends those; a bucket keeps the smallest document of each and answers the others.
    The union of a document's answered windows are its maximal repeats, whose words go.
 
-No pair of documents is ever formed, so a passage in n documents costs n messages.  Messages of one
-hot passage go to as many buckets as it has windows, and are cut into ``salts`` more by document in
-step 1, where the small index is repeated; step 2 combines within a run of documents first.
+No pair of documents is ever formed, so a passage in n documents costs n messages.  A task answers what
+its own documents settle among themselves and sends a bucket only the smallest and the largest document
+of each hash (``settled``), so a hot passage costs a bucket one message per task and flush, not one per
+document.  The number of buckets follows the bytes of text (``bucket_count``).
 
 Defined results: null and empty text have no words, keep nothing and remove nothing; rows with null
 doc_id have no order, so they neither remove nor lose words; rows with equal doc_id do not remove
@@ -31,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import long_id, partitions, table
-from corpusloom.llm.words import PACKED, Packer, Texts, U, answers, found_values, gathered, slices, to_batch, unpacked
+from corpusloom.llm.common import long_id, table, text_bytes
+from corpusloom.llm.words import (
+    PACKED, PASS, Gathered, Texts, U, answers, bucket_count, by_bucket, flush_size, found_values, gathered, of_kind, packed_rows, share_of, slices,
+    sorted_pairs, to_batch, unpacked,
+)
 
 WINDOW = 50
-SALTS = 2
 _ANCHOR_BASE, _WINDOW_BASE = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
@@ -48,39 +51,73 @@ def _anchor_keys(h: np.ndarray, buckets: int) -> np.ndarray:
     return (_bucket(h, buckets).astype(np.uint64) << U(32)) | (h & U(0xFFFFFFFF))
 
 
-def anchors(docs: DataFrame, block: int, buckets: int, salts: int) -> DataFrame:
-    """Packed index rows (kind 0) and probe rows (kind 1)."""
+def _passed(doc: np.ndarray, value: np.ndarray, shares: int) -> list[tuple]:
+    return packed_rows(doc, share_of(doc, shares), value, PASS)
+
+
+def settled(idoc: np.ndarray, ih: np.ndarray, pdoc: np.ndarray, ph: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows of one flush: index (kind 0), probes (kind 1) and answers known already.
+
+    A probe is answered by a smaller document's index entry, an entry by a larger document's probe.
+    Each hash's smallest entry and largest probe go to its bucket, and so does whatever has no answer.
+    """
+    idoc, ih, first, _ = sorted_pairs(idoc, ih)
+    pdoc, ph, start, end = sorted_pairs(pdoc, ph)
+    top = np.iinfo(np.int64)
+    if len(ih):
+        pos = np.minimum(np.searchsorted(ih[first], ph), len(first) - 1)
+        least = np.where(ih[first][pos] == ph, idoc[first][pos], top.max)
+    else:
+        least = np.full(len(ph), top.max)
+    later = pdoc > least
+    largest = np.zeros(len(ph), dtype=bool)
+    largest[end - 1] = True
+    ask = ~later | largest
+    if len(ph):
+        pos = np.minimum(np.searchsorted(ph[start], ih), len(start) - 1)
+        most = np.where(ph[start][pos] == ih, pdoc[end - 1][pos], top.min)
+    else:
+        most = np.full(len(ih), top.min)
+    earlier = most > idoc
+    smallest = np.zeros(len(ih), dtype=bool)
+    smallest[first] = True
+    tell = ~earlier | smallest
+    low = lambda h: (h & U(0xFFFFFFFF)).astype(np.uint32)
+    rows = packed_rows(idoc[tell], _bucket(ih[tell], buckets), low(ih[tell]), 0)
+    rows += packed_rows(pdoc[ask], _bucket(ph[ask], buckets), low(ph[ask]), 1)
+    return rows + _passed(np.concatenate([pdoc[later], idoc[earlier]]), _anchor_keys(np.concatenate([ph[later], ih[earlier]]), buckets), buckets)
+
+
+def anchors(docs: DataFrame, block: int, buckets: int) -> DataFrame:
+    """Packed index rows, probe rows and answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, probes = Packer(0), Packer(1)
+        held = Gathered(4, flush_size(buckets))
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for t in slices(batch):
                 t.hash_words()
                 at, h = t.windows(block, _ANCHOR_BASE)
-                doc, low = ids[t.first + t.doc[at]], (h & U(0xFFFFFFFF)).astype(np.uint32)
-                bucket = _bucket(h, buckets) * salts
+                doc = ids[t.first + t.doc[at]]
                 whole = (at - t.word_at[t.doc[at]]) % block == 0
-                rows = probes.add(doc, bucket + (doc % salts).astype(np.int32), low)
-                for s in range(salts):
-                    rows += index.add(doc[whole], bucket[whole] + np.int32(s), low[whole])
-                if rows:
-                    yield to_batch(rows)
-        yield to_batch(index.flush() + probes.flush())
+                if held.add(doc[whole], h[whole], doc, h):
+                    yield to_batch(settled(*held.take(), buckets))
+        if rest := held.take():
+            yield to_batch(settled(*rest, buckets))
 
     return docs.mapInArrow(run, PACKED)
 
 
-def shared_anchors(packed: DataFrame, salts: int, shares: int) -> DataFrame:
+def shared_anchors(packed: DataFrame, buckets: int) -> DataFrame:
     """Answers: anchors of a document that a smaller or a larger document also has."""
 
     def run(t: pa.Table) -> pa.Table:
-        bucket = t["bucket"][0].as_py() // salts
-        kinds = t["kind"].to_numpy()
-        idoc, ih = unpacked(t.filter(pa.array(kinds == 0)), np.uint32)
-        pdoc, ph = unpacked(t.filter(pa.array(kinds == 1)), np.uint32)
+        known = of_kind(t, PASS)
+        idoc, ih = unpacked(of_kind(t, 0), np.uint32)
+        pdoc, ph = unpacked(of_kind(t, 1), np.uint32)
         if not len(ih):
-            return answers(idoc, ih.astype(np.uint64), shares)
+            return known
+        bucket = np.uint64(t["bucket"][0].as_py())
         u, where = np.unique(ih, return_inverse=True)
         least = np.full(len(u), np.iinfo(np.int64).max)
         np.minimum.at(least, where, idoc)
@@ -92,10 +129,10 @@ def shared_anchors(packed: DataFrame, salts: int, shares: int) -> DataFrame:
         later = pdoc > least[at]
         earlier = most[where] > idoc
         doc = np.concatenate([pdoc[later], idoc[earlier]])
-        key = (np.uint64(bucket) << U(32)) | np.concatenate([ph[later], ih[earlier]]).astype(np.uint64)
-        return answers(doc, key, shares)
+        key = (bucket << U(32)) | np.concatenate([ph[later], ih[earlier]]).astype(np.uint64)
+        return pa.concat_tables([known, answers(doc, key, buckets)])
 
-    return packed.groupBy("bucket").applyInArrow(run, PACKED)
+    return by_bucket(packed, buckets).applyInArrow(run, PACKED)
 
 
 def _member(found: list[np.ndarray | None], t: Texts, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -112,10 +149,18 @@ def _member(found: list[np.ndarray | None], t: Texts, at: np.ndarray, keys: np.n
 
 
 def extensions(docs: DataFrame, window: int, block: int, buckets: int) -> DataFrame:
-    """Packed windows around shared anchors.  docs: doc_id, text, found."""
+    """Packed windows around shared anchors, each flush's smallest document of each; the others are
+    answered.  docs: doc_id, text, found."""
+
+    def told(doc: np.ndarray, h: np.ndarray) -> list[tuple]:
+        doc, h, first, _ = sorted_pairs(doc, h)
+        smallest = np.zeros(len(h), dtype=bool)
+        smallest[first] = True
+        rows = packed_rows(doc[smallest], _bucket(h[smallest], buckets), h[smallest], 0)
+        return rows + _passed(doc[~smallest], h[~smallest], buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Packer()
+        held = Gathered(2, flush_size(buckets))
         for batch in batches:
             ids, found = batch.column(0).to_numpy(), found_values(batch.column(2))
             for t in slices(batch):
@@ -127,27 +172,26 @@ def extensions(docs: DataFrame, window: int, block: int, buckets: int) -> DataFr
                 seen = np.cumsum(seen)  # hits before a word
                 at, h = t.windows(window, _WINDOW_BASE)
                 near = seen[at + window - block + 1] > seen[at]
-                doc, h = ids[t.first + t.doc[at[near]]], h[near]
-                rows = out.add(doc, _bucket(h, buckets), h)
-                if rows:
-                    yield to_batch(rows)
-        yield to_batch(out.flush())
+                if held.add(ids[t.first + t.doc[at[near]]], h[near]):
+                    yield to_batch(told(*held.take()))
+        if rest := held.take():
+            yield to_batch(told(*rest))
 
     return docs.mapInArrow(run, PACKED)
 
 
-def repeats(packed: DataFrame, shares: int) -> DataFrame:
+def repeats(packed: DataFrame, buckets: int) -> DataFrame:
     """Answers: windows of a document that a smaller document also has."""
 
     def run(t: pa.Table) -> pa.Table:
-        doc, h = unpacked(t, np.uint64)
+        doc, h = unpacked(of_kind(t, 0), np.uint64)
         u, where = np.unique(h, return_inverse=True)
         least = np.full(len(u), np.iinfo(np.int64).max)
         np.minimum.at(least, where, doc)
         later = doc > least[where]
-        return answers(doc[later], h[later], shares)
+        return pa.concat_tables([of_kind(t, PASS), answers(doc[later], h[later], buckets)])
 
-    return packed.groupBy("bucket").applyInArrow(run, PACKED)
+    return by_bucket(packed, buckets).applyInArrow(run, PACKED)
 
 
 def _removal(window: int, n_keep: int, digest: bool, source: bool):
@@ -189,20 +233,20 @@ def _removal(window: int, n_keep: int, digest: bool, source: bool):
 
 
 def remove_repeats(
-    documents: DataFrame, *, window: int = WINDOW, salts: int = SALTS, keep: Sequence[str] = (), digest: bool = False, source: bool = False
+    documents: DataFrame, *, window: int = WINDOW, keep: Sequence[str] = (), digest: bool = False, source: bool = False
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words joined by one space, or their sha256),
     source_text if asked for, and the columns in ``keep``, named kept_*."""
     block = window // 2
-    buckets = max(8, partitions(documents.sparkSession))
     fields = [documents.schema[c] for c in keep]
     docs = documents.select(
         long_id(documents), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
     )
     known = docs.where(F.col("doc_id").isNotNull())
-    shared = gathered(shared_anchors(anchors(known.select("doc_id", "text"), block, buckets, salts), salts, buckets))
+    buckets = bucket_count(text_bytes(known))
+    shared = gathered(shared_anchors(anchors(known.select("doc_id", "text"), block, buckets), buckets), buckets)
     near = known.select("doc_id", "text").join(shared, "doc_id").select("doc_id", "text", "found")
-    found = gathered(repeats(extensions(near, window, block, buckets), buckets))
+    found = gathered(repeats(extensions(near, window, block, buckets), buckets), buckets)
     kept = [f"_keep_{i}" for i in range(len(keep))]
     whole = known.join(found, "doc_id", "left").select("doc_id", "text", "found", *kept)
     whole = whole.unionByName(docs.where(F.col("doc_id").isNull()).withColumn("found", F.lit(None).cast("binary")))

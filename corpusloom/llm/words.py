@@ -124,8 +124,33 @@ PACKED = "bucket int, kind int, docs binary, counts binary, vals binary"
 PACKED_ARROW = pa.schema(
     [("bucket", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("vals", pa.binary())]
 )
-#: Values gathered before rows are sent.
-FLUSH = 1 << 20
+#: Bytes of text whose messages make up a bucket, the least number of buckets, and the number from which
+#: it grows with the square root only, so that a task still has many values for each.
+BUCKET_BYTES, BUCKETS, MANY_BUCKETS = 1 << 24, 8, 1 << 15
+#: Kind of the rows that are answers already: their bucket is a share, and buckets pass them on.
+PASS = 9
+
+
+def bucket_count(text_bytes: int) -> int:
+    """Buckets follow the input, so the memory of one does not (16 MB of text each up to 512 GB)."""
+    n = max(BUCKETS, -(-text_bytes // BUCKET_BYTES))
+    return n if n <= MANY_BUCKETS else int((n * MANY_BUCKETS) ** 0.5)
+
+
+def flush_size(buckets: int) -> int:
+    """Values gathered before rows are sent."""
+    return min(1 << 23, max(1 << 20, 32 * buckets))
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Non-negative numbers in the fewest bytes each that hold them all, after that number."""
+    top = int(x.max(initial=0))
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _widened(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
 
 
 def packed_rows(doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, kind: int) -> list[tuple]:
@@ -136,14 +161,15 @@ def packed_rows(doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, kind: in
         return []
     new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])])
     at = np.flatnonzero(new)
-    runs = np.diff(np.concatenate([at, [len(doc)]])).astype(np.uint32)
+    runs = np.diff(np.concatenate([at, [len(doc)]]))
     heads, head_bucket = doc[at].astype(np.int64), bucket[at]
     cut = np.concatenate([[0], np.flatnonzero(head_bucket[1:] != head_bucket[:-1]) + 1, [len(at)]])
     ends = np.concatenate([at, [len(doc)]])
     out = []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
-        ids = np.diff(heads[a:b], prepend=0)  # small numbers compress well
-        out.append((int(head_bucket[a]), kind, ids.tobytes(), runs[a:b].tobytes(), value[ends[a] : ends[b]].tobytes()))
+        gaps = (heads[a + 1 : b].view(np.uint64) - heads[a : b - 1].view(np.uint64)).astype(np.uint64)
+        ids = heads[a : a + 1].tobytes() + _narrow(gaps)
+        out.append((int(head_bucket[a]), kind, ids, _narrow(runs[a:b]), value[ends[a] : ends[b]].tobytes()))
     return out
 
 
@@ -152,31 +178,55 @@ def to_batch(rows: list[tuple], schema: pa.Schema = PACKED_ARROW) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-class Packer:
-    """Gathers (doc, bucket, value) and gives packed rows once there are many."""
-
-    def __init__(self, kind: int = 0):
-        self.kind, self.held, self.size = kind, [], 0
-
-    def add(self, doc: np.ndarray, bucket: np.ndarray, value: np.ndarray) -> list[tuple]:
-        self.held.append((doc, bucket, value))
-        self.size += len(doc)
-        return self.flush() if self.size >= FLUSH else []
-
-    def flush(self) -> list[tuple]:
-        held, self.held, self.size = self.held, [], 0
-        return packed_rows(*(np.concatenate([h[i] for h in held]) for i in range(3)), self.kind) if held else []
-
-
 def unpacked(table: pa.Table, dtype) -> tuple[np.ndarray, np.ndarray]:
     """doc and value of all rows of a bucket."""
     docs, values = [np.zeros(0, np.int64)], [np.zeros(0, dtype)]
     for d, c, v in zip(table["docs"].to_pylist(), table["counts"].to_pylist(), table["vals"].to_pylist(), strict=True):
-        docs.append(np.repeat(np.cumsum(np.frombuffer(d, np.int64)), np.frombuffer(c, np.uint32)))
+        ids = np.cumsum(np.concatenate([np.frombuffer(d, np.int64, count=1), _widened(d[8:])]))
+        docs.append(np.repeat(ids, _widened(c)))
         values.append(np.frombuffer(v, dtype))
     return np.concatenate(docs), np.concatenate(values)
 
 
+def of_kind(table: pa.Table, kind: int) -> pa.Table:
+    return table.filter(pa.array(table["kind"].to_numpy() == kind))
+
+
+def by_bucket(packed, buckets: int):
+    """Packed rows grouped by bucket, in as many tasks as there are buckets."""
+    return packed.repartitionById(buckets, "bucket").groupBy("bucket")
+
+
+def sorted_pairs(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs by hash and document, and where each hash's pairs begin and end."""
+    order = np.lexsort((doc, h))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    doc, h = doc[new], h[new]
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+    return doc, h, at, np.concatenate([at[1:], [len(h)]])[: len(at)]
+
+
+class Gathered:
+    """Columns of values held until there are enough of them."""
+
+    def __init__(self, n: int, enough: int):
+        self.enough, self.columns, self.size = enough, [[] for _ in range(n)], 0
+
+    def add(self, *columns: np.ndarray) -> bool:
+        """Whether it is time to take them."""
+        for held, c in zip(self.columns, columns, strict=True):
+            held.append(c)
+        self.size += max(map(len, columns))
+        return self.size >= self.enough
+
+    def take(self) -> list[np.ndarray] | None:
+        out = [np.concatenate(c) for c in self.columns] if self.columns[0] else None
+        self.columns, self.size = [[] for _ in self.columns], 0
+        return out
+
+
 # --- answers to documents -------------------------------------------------------------------------
 
 
@@ -190,7 +240,7 @@ def answers(doc: np.ndarray, value: np.ndarray, shares: int) -> pa.Table:
     return pa.Table.from_batches([to_batch(packed_rows(doc, share_of(doc, shares), value, 0))])
 
 
-def gathered(packed):
+def gathered(packed, shares: int):
     """doc_id, found: the distinct values sent to each document, sorted, in one binary."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -204,7 +254,7 @@ def gathered(packed):
         found = [value[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a]
         return pa.table({"doc_id": pa.array(doc[cut[:-1]] if len(doc) else doc, pa.int64()), "found": pa.array(found, pa.binary())})
 
-    return packed.groupBy("bucket").applyInArrow(run, "doc_id long, found binary")
+    return by_bucket(packed, shares).applyInArrow(run, "doc_id long, found binary")
 
 
 def found_values(column: pa.Array) -> list[np.ndarray | None]:

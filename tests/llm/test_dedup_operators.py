@@ -51,6 +51,20 @@ def test_substring_against_brute_force(spark, seed):
     assert digest["kept"] == hashlib.sha256(out[100]["kept"].encode()).hexdigest()
 
 
+def test_texts_longer_than_a_slice(spark):
+    """A text above the bytes handled at once, and one whose table of powers is not kept."""
+    rng = random.Random(12)
+    big = prose(rng, 150_000, 100_000)
+    huge = prose(rng, 400_000, 100_000)
+    assert len(big) > 1 << 19 and len(huge) > 1 << 21
+    texts = [big, prose(rng, 100) + " " + " ".join(big.split()[:60_000]), huge, huge + " tail", prose(rng, 80)]
+    out = {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(frame(spark, texts)).collect()}
+    assert out == {0: 0, 1: 60_000, 2: 0, 3: 400_000, 4: 0}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_classes(frame(spark, texts)).collect()}
+    sets, roots = all_pairs(texts)
+    assert got == {i: (len(s), r) for i, (s, r) in enumerate(zip(sets, roots, strict=True))}
+
+
 def test_substring_odd_tables(spark):
     long = " ".join(f"v{i}" for i in range(120))
     df = spark.createDataFrame([(None, long), (5, long), (5, long), (None, None), (7, long)], "doc_id long, text string")
@@ -59,11 +73,8 @@ def test_substring_odd_tables(spark):
     assert substring.remove_repeats(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("seed,task", [(1, 1_500_000), (2, 2_000)])
-def test_jaccard_against_all_pairs(spark, seed, task):
-    texts = corpus(seed)
-    df = frame(spark, texts, first=7, n="clash", component="clash")
-    out = {r["doc_id"]: r for r in jaccard.similar_classes(df, task_shingles=task).collect()}
+def all_pairs(texts):
+    """Shingle sets and the smallest linked number of each text, by comparing every pair."""
     sets = []
     for t in texts:
         w = words((t or "").translate(LOWER))
@@ -80,9 +91,43 @@ def test_jaccard_against_all_pairs(spark, seed, task):
             if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
                 x, y = root(i), root(j)
                 up[max(x, y)] = min(x, y)
+    return sets, [root(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("seed,task", [(1, 1_500_000), (2, 2_000)])
+def test_jaccard_against_all_pairs(spark, seed, task):
+    texts = corpus(seed)
+    df = frame(spark, texts, first=7, n="clash", component="clash")
+    out = {r["doc_id"]: r for r in jaccard.similar_classes(df, task_shingles=task).collect()}
+    sets, roots = all_pairs(texts)
     for i, s in enumerate(sets):
         assert out[7 + i]["n_shingles"] == len(s)
-        assert out[7 + i]["component_id"] == 7 + root(i)
+        assert out[7 + i]["component_id"] == 7 + roots[i]
+
+
+def test_jaccard_split_group_of_many_small_classes(spark):
+    """Documents put together from few passages: one group by prefixes, of many classes and sizes."""
+    rng = random.Random(4)
+    passages = [prose(rng, rng.randrange(20, 60), 2000) for _ in range(14)]
+    texts = [" ".join(rng.sample(passages, rng.randrange(2, 8))) for _ in range(120)]
+    texts += [t + " " + prose(rng, 6) for t in texts[:40]]
+    sets, roots = all_pairs(texts)
+    classes = len(set(roots))
+    assert 20 < classes < 140
+    for task in (600, 5_000, 1_500_000):
+        out = {r["doc_id"]: r["component_id"] for r in jaccard.similar_classes(frame(spark, texts), task_shingles=task).collect()}
+        assert out == dict(enumerate(roots))
+
+
+def test_jaccard_equal_low_hash_bits_lose_no_share(spark):
+    """Two shingles of one document that look equal in a bucket both count, if another document has one."""
+    from corpusloom.llm.words import PACKED, packed_rows
+
+    doc, h = np.array([1, 1, 2, 3, 3, 4]), np.array([5, 5, 5, 6, 6, 7], dtype=np.uint32)
+    rows = packed_rows(doc, np.zeros(6, int), h, jaccard._ONE) + packed_rows(np.zeros(1, int), np.zeros(1, int), h[-1:], jaccard._MANY)
+    rows += jaccard._rep_rows(np.arange(1, 5), np.array([2, 1, 2, 1]), np.arange(1, 5), 8)
+    got = {r["doc_id"]: r["shared"] for r in jaccard.shared_counts(spark.createDataFrame(rows, PACKED), 8).collect()}
+    assert got == {1: 2, 2: 1, 3: 0, 4: 1}
 
 
 def test_jaccard_odd_tables(spark):
