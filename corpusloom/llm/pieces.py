@@ -2,24 +2,30 @@
 
 Compiling a model file gives three transducers, composed with each input string:
 
-* the normaliser: optional dummy prefix, spaces to the meta symbol (and, where the model asks, extra
-  spaces dropped); models with a character map are refused;
-* the pieces: an arc per piece from the state "position, last piece"; and
-* byte fallback: a character that begins no piece is a run of byte pieces (or the unknown piece).
-
-The path of least weight in the tropical semiring (min, +) is the encoding.  In a unigram model an
-arc weighs minus the piece's score.  In a BPE model the merge order decides, which sums of scores do
-not express; there the transducer is composed with the acceptor of neighbouring pieces: a pair weighs
-nothing if merging its characters by score gives the pair back, and infinity otherwise.  A sequence
-of pieces is the BPE encoding of its string exactly if every neighbouring pair passes, so a state has
-one last piece at most and the shortest path is the only one of finite weight.
+* the normaliser (``Normaliser``): a dummy prefix, spaces to the meta symbol, and a state for runs of
+  spaces where the model drops extra ones.  It is deterministic, so composing it is applying its table of
+  arcs.  Models with a character map are refused;
+* the pieces: a trie whose paths from the root to a piece are the arcs that a string allows; and
+* byte fallback: a character that is no piece is a run of byte pieces (or the unknown piece).
+
+The path of least weight in the tropical semiring (min, +) is the encoding; one search over positions
+serves both kinds of models and only their weights differ.  In a unigram model an arc weighs minus the
+piece's score.  In a BPE model the merge order decides, which sums of scores do not express; there the
+lattice is composed with the acceptor of neighbouring pieces: an arc weighs nothing if merging the
+characters of the last piece and its own by score, leftmost first, gives the two back, and infinity
+otherwise.  Merges never cross the bounds of final pieces and follow one order of scores and places, so
+the merges inside two neighbours are the same alone as in the whole string: a sequence of pieces is the
+encoding exactly if each neighbouring pair passes, scores equal or not.  A prefix has one encoding, so a
+position has one state of finite weight, and the search needs no other.
 
 Where no piece of the model can span (as a rule before the meta symbol, around line feeds and between
 letters and other characters) the input is cut, and each cut is composed alone, with results kept per
 process in a table of bounded size.
 
 Defined results: null and empty text have no ids; text longer than a batch is one row like any other;
-no rows give no rows; repeated rows stay; extra columns are ignored.
+equal scores merge leftmost first (BPE) and prefer the shorter last piece (unigram); models with pieces
+that are user defined or unused are refused; no rows give no rows; repeated rows stay; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +45,7 @@ from corpusloom.llm.common import table
 META = "▁"
 #: Segments whose result is kept by a process, in each of two generations.
 KEPT = 250_000
+INF = float("inf")
 
 
 def default_model() -> str:
@@ -50,19 +57,40 @@ def default_model() -> str:
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
+class Normaliser:
+    """From text to the characters pieces are made of: arcs, and a state after a space."""
+
+    def __init__(self, spec):
+        if spec.precompiled_charsmap:
+            raise ValueError("models with a character map are not supported")
+        space = META if spec.escape_whitespaces else " "
+        self.arcs = {" ": space}  # any other character gives itself
+        self.start = space if spec.add_dummy_prefix else ""
+        #: In the state after a space (and at the start), another space has no output.
+        self.runs = re.compile("^ +| +$|(?<= ) +") if spec.remove_extra_whitespaces else None
+
+    def __call__(self, text: str) -> str:
+        if self.runs is not None:
+            text = self.runs.sub("", text)
+        for read, written in self.arcs.items():
+            text = text.replace(read, written)
+        return self.start + text if text else ""
+
+
 class Transducer:
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
         m.ParseFromString(model)
-        norm, kind = m.normalizer_spec, pb.ModelProto.SentencePiece
-        if norm.precompiled_charsmap:
-            raise ValueError("models with a character map are not supported")
+        kind = pb.ModelProto.SentencePiece
         if m.trainer_spec.model_type not in (pb.TrainerSpec.BPE, pb.TrainerSpec.UNIGRAM):
             raise ValueError("the model is neither BPE nor unigram")
+        if any(p.type in (kind.USER_DEFINED, kind.UNUSED) for p in m.pieces):
+            raise ValueError("models with user defined or unused pieces are not supported")
         self.bpe = m.trainer_spec.model_type == pb.TrainerSpec.BPE
-        self.prefix, self.squeeze, self.escape = norm.add_dummy_prefix, norm.remove_extra_whitespaces, norm.escape_whitespaces
+        self.normalised = Normaliser(m.normalizer_spec)
+        self.prefix = m.normalizer_spec.add_dummy_prefix
         self.surface = [p.piece for p in m.pieces]
         self.score = [p.score for p in m.pieces]
         self.ids: dict[str, int] = {}
@@ -74,7 +102,7 @@ class Transducer:
             if p.type == kind.BYTE:
                 self.bytes[int(p.piece[1:-1], 16)] = i
                 raw = bytes([int(p.piece[1:-1], 16)])
-            elif p.type in (kind.NORMAL, kind.USER_DEFINED):
+            elif p.type == kind.NORMAL:
                 self.ids[p.piece] = i
             elif p.type == kind.UNKNOWN:
                 self.unknown, raw = i, m.trainer_spec.unk_surface.encode()
@@ -82,11 +110,21 @@ class Transducer:
                 raw = b""
             self.out.append(raw)
         self.fallback = all(b >= 0 for b in self.bytes)
-        self.starts = {s[:k] for s in self.ids for k in range(1, len(s) + 1)}
         self.chars = {c for s in self.ids for c in s}
-        self.unknown_cost = 10.0 - min(self.score)
+        #: Arcs: a node maps the next character to a node, and "" to the piece that ends there.
+        self.trie: dict = {}
+        for piece, i in self.ids.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = i
+        #: A character that is no piece has a number behind all pieces.
+        self.n = len(self.surface)
+        self.span = self.n + 0x110000
+        self.missing = 0.0 if self.bpe else 10.0 - min(self.score)
+        #: Weight of an arc after a last piece (BPE), or of the arc alone.
+        self.weights: dict[int, float] = {} if self.bpe else {i: -self.score[i] for i in self.ids.values()}
         self.segments = self._cutter()
-        self.pairs: dict[int, bool] = {}
         self.kept: dict[str, bytes] = _Kept(self)
 
     def _cutter(self):
@@ -105,9 +143,9 @@ class Transducer:
             parts = [f"{META}*[^\\W\\d_{odd}]+", f"{META}*{other}", f"{META}+"]
         return re.compile("|".join(parts + ([f"[{alone}]"] if alone else []))).findall
 
-    # -- compilation of the pair acceptor ----------------------------------------------------------
+    # -- the acceptor of neighbouring pieces -------------------------------------------------------
     def merged(self, s: str) -> list[str]:
-        """Characters of a short string merged by score, highest and leftmost first."""
+        """Characters of one or two pieces merged by score, highest and leftmost first."""
         parts = list(s)
         while len(parts) > 1:
             best, at = None, -1
@@ -120,98 +158,65 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def passes(self, a: int, b: int) -> bool:
-        key = a * len(self.surface) + b
-        ok = self.pairs.get(key)
-        if ok is None:
-            x, y = self.surface[a], self.surface[b]
-            ok = self.pairs[key] = self.merged(x + y) == [x, y]
-        return ok
-
-    def single(self, a: int) -> bool:
-        """A piece that merging gives back whole."""
-        ok = self.pairs.get(-a - 1)
-        if ok is None:
-            ok = self.pairs[-a - 1] = self.merged(self.surface[a]) == [self.surface[a]]
-        return ok
+    def _text(self, i: int) -> str:
+        return self.surface[i] if i < self.n else chr(i - self.n)
+
+    def _weigh(self, last: int, i: int) -> float:
+        """0 if the pair stays as it is; a piece after no piece must be what its characters give."""
+        pair = [self._text(last), self._text(i)] if last >= 0 else [self._text(i)]
+        w = self.weights[last * self.span + i] = 0.0 if self.merged("".join(pair)) == pair else INF
+        return w
 
     def _missing(self, c: str) -> list[int]:
         return [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")] if self.fallback else [self.unknown]
 
     # -- composition with one segment and its shortest path ----------------------------------------
     def shortest(self, s: str) -> list[int]:
-        return self._bpe(s) if self.bpe else self._unigram(s)
-
-    def _bpe(self, s: str) -> list[int]:
-        whole = self.ids.get(s)
-        if whole is not None and self.single(whole):
-            return [whole]
-        n, ids, starts = len(s), self.ids, self.starts
-        free = -1  # the state before the first piece, and after a character without a piece
-        last: list[int | None] = [None] * (n + 1)
-        back = [0] * (n + 1)
-        last[0] = free
+        n, trie, weights, bpe = len(s), self.trie, self.weights, self.bpe
+        cost, last, back = [0.0] + [INF] * n, [-1] * (n + 1), [0] * (n + 1)
+        base = 0
         for j in range(n):
-            p = last[j]
-            if p is None:
+            here = cost[j]
+            if here == INF:
                 continue
-            if s[j] not in self.chars:
-                last[j + 1], back[j + 1] = free, j
-                continue
-            k = j + 1
-            while k <= n and (t := s[j:k]) in starts:
-                i = ids.get(t)
-                if i is not None and last[k] is None and (self.single(i) if p == free else self.passes(p, i)):
-                    last[k], back[k] = i, j
+            if bpe:
+                base = last[j] * self.span
+            node, k, alone = trie.get(s[j]), j + 1, False
+            while node is not None:
+                i = node.get("")
+                if i is not None:
+                    alone = alone or k == j + 1
+                    w = weights.get(base + i)
+                    if w is None:
+                        w = self._weigh(last[j], i)
+                    if here + w < cost[k]:
+                        cost[k], last[k], back[k] = here + w, i, j
+                if k == n:
+                    break
+                node = node.get(s[k])
                 k += 1
-        if last[n] is None:  # equal scores can break the pair rule: merge the segment itself
-            out: list[int] = []
-            for t in self.merged(s):
-                out += [ids[t]] if t in ids else [i for c in t for i in self._missing(c)]
-            return self._joined(out)
+            if not alone:
+                c = s[j]
+                i, w = (self.n + ord(c) if c in self.chars else -1), self.missing
+                if bpe and i >= 0:
+                    w = weights.get(base + i)
+                    if w is None:
+                        w = self._weigh(last[j], i)
+                if here + w < cost[j + 1]:
+                    cost[j + 1], last[j + 1], back[j + 1] = here + w, i, j
         path, j = [], n
         while j:
             i = last[j]
-            path.append(self._missing(s[back[j]]) if i == free else [i])
+            path.append([i] if 0 <= i < self.n else self._missing(s[back[j]]))
             j = back[j]
         return self._joined([i for part in reversed(path) for i in part])
 
-    def _unigram(self, s: str) -> list[int]:
-        n = len(s)
-        cost, arc = [0.0] + [float("inf")] * n, [(0, -1)] * (n + 1)
-        for j in range(n):
-            k = j + 1
-            one = False
-            while k <= n and (t := s[j:k]) in self.starts:
-                i = self.ids.get(t)
-                if i is not None:
-                    one = one or k == j + 1
-                    if cost[j] - self.score[i] < cost[k]:
-                        cost[k], arc[k] = cost[j] - self.score[i], (j, i)
-                k += 1
-            if not one and cost[j] + self.unknown_cost < cost[j + 1]:
-                cost[j + 1], arc[j + 1] = cost[j] + self.unknown_cost, (j, -1)
-        path, j = [], n
-        while j:
-            j, i, end = arc[j][0], arc[j][1], j
-            path.append([i] if i >= 0 else [x for c in s[j:end] for x in self._missing(c)])
-        return self._joined([i for part in reversed(path) for i in part])
-
     def _joined(self, ids: list[int]) -> list[int]:
         """A run of unknown characters is one unknown piece."""
         if self.fallback or self.unknown not in ids:
             return ids
         return [i for k, i in enumerate(ids) if i != self.unknown or not k or ids[k - 1] != self.unknown]
 
-    def normalised(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        if self.prefix:
-            text = " " + text
-        return text.replace(" ", META) if self.escape else text
-
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian int32."""
         return b"".join(map(self.kept.__getitem__, self.segments(self.normalised(text)))) if text else b""

@@ -107,6 +107,62 @@ def test_pieces_equal_the_library(spark):
     assert {r["doc_id"]: r["text"] for r in back} == {i: m.decode(m.encode(t)) for i, t in enumerate(texts)}
 
 
+def bpe_model(pieces_, **normalizer):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.trainer_spec.model_type = pb.TrainerSpec.BPE
+    m.normalizer_spec.add_dummy_prefix = False
+    m.normalizer_spec.remove_extra_whitespaces = False
+    m.normalizer_spec.name = "identity"
+    for k, v in normalizer.items():
+        setattr(m.normalizer_spec, k, v)
+    m.pieces.add(piece="<unk>", score=0, type=2)
+    for piece, score in pieces_:
+        m.pieces.add(piece=piece, score=score, type=1)
+    return m.SerializeToString()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bpe_equals_the_library_on_equal_scores(seed):
+    """Random merges of few scores, so that ties and overlapping merges decide everywhere."""
+    import sentencepiece
+
+    rng = random.Random(seed)
+    known = ["a", "b", "c", "▁"]
+    for _ in range(25):
+        known.append(rng.choice(known) + rng.choice(known))
+    known = list(dict.fromkeys(known))
+    flags = {"add_dummy_prefix": seed % 2 == 0, "remove_extra_whitespaces": seed > 1}
+    model = bpe_model([(p, -float(rng.randrange(4)) if len(p) > 1 else -20.0) for p in known if p != "b" or seed < 3], **flags)
+    m, t = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.Transducer(model)
+    for _ in range(600):
+        s = "".join(rng.choice("aaabbcd  é") for _ in range(rng.randrange(24)))
+        assert np.frombuffer(t.encode(s), "<i4").tolist() == m.encode(s), s
+
+
+def test_models_that_cannot_be_compiled_are_refused():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.ParseFromString(bpe_model([("a", -1.0)]))
+    m.pieces.add(piece="<x>", score=0, type=4)
+    with pytest.raises(ValueError):
+        pieces.Transducer(m.SerializeToString())
+
+
+def test_pieces_of_long_texts_and_odd_tables(spark):
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    rng = random.Random(4)
+    texts = [prose(rng, 150_000), "ab" * 300_000, "é漢 " * 2000, "same", "same"]
+    df = frame(spark, texts).unionByName(frame(spark, texts[-1:], first=4)).withColumn("n_ids", F.lit("clash"))  # a repeated row
+    out = [(r["doc_id"], r["ids"]) for r in pieces.encode(df).collect()]
+    assert sorted(out) == sorted((i, m.encode(t)) for i, t in [*enumerate(texts), (4, "same")])
+    assert pieces.encode(df.limit(0)).count() == 0 and pieces.decode(pieces.encode(df.limit(0))).count() == 0
+
+
 def test_unigram_shortest_path():
     """A unigram model needs no pair acceptor: the least sum of minus scores wins."""
     from sentencepiece import sentencepiece_model_pb2 as pb
