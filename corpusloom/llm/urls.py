@@ -12,7 +12,9 @@ Both ranks run in one loop: an iteration is one join of the ranks with the trans
 sum.  Mass that reaches a host without links would restart at the seeds, which only scales the
 ranks, so it is left out and the ranks are normalised at the end.  The lineage is cut every few
 iterations in the shared folder; the loop ends when the ranks move less than ``tolerance``, or
-after ``rounds`` if given.
+after ``rounds`` if given.  A host with more than ``hub`` transitions is dealt to several keys by the
+other end, and its rank is repeated for each; joins of links and pages with one row per host read
+stored tables on both sides, so that Spark may split a hot host.
 
 Defined results: a null url or one without ``://`` has empty host and path, no rule and the verdict
 allow; a host that no mass reaches is allowed; links inside a host, null html and html without
@@ -76,31 +78,41 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(
-    edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int | None = None, cut: int = 5, tolerance: float = 1e-6
+    edges: DataFrame,
+    seeds: DataFrame,
+    *,
+    damping: float = 0.85,
+    rounds: int | None = None,
+    cut: int = 5,
+    tolerance: float = 1e-6,
+    hub: int = 100_000,
 ) -> DataFrame:
     """host, kind, x: ranks of each kind ('trust' forwards, 'distrust' backwards), summing to 1.
 
     seeds: host, kind, s with s summing to 1 in each kind.
     """
-    out_n = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    in_n = edges.groupBy("dst").agg(F.sum("n").alias("total"))
-    steps = edges.join(out_n, "src").select(
-        F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("total")).alias("p")
-    ).unionByName(
-        edges.join(in_n, "dst").select(
-            F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("n") / F.col("total")).alias("p")
-        )
+    both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").unionByName(
+        edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "n")
     )
-    steps = stored(steps)
+    both = stored(both)
     start = stored(seeds.select("host", "kind", F.col("s").alias("x")))
     ranks = start
-    if steps.isEmpty():
+    if both.isEmpty():
         return ranks
+    out = both.groupBy("host", "kind").agg(F.sum("n").alias("total"), F.ceil(F.count(F.lit(1)) / hub).cast("long").alias("salts"))
+    out = stored(out)
+    steps = both.join(out, ["host", "kind"]).select(
+        "host", "kind", F.pmod(F.xxhash64("to"), "salts").alias("salt"), "to", (F.col("n") / F.col("total")).alias("p")
+    )
+    steps = stored(steps)
+    hubs = stored(out.where("salts > 1").select("host", "kind", "salts"))  # one row in ``hub`` transitions at most
     restart = start.select("host", "kind", (F.col("x") * (1 - damping)).alias("x"))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))
     for done in itertools.count(cut, cut):
         before = ranks
         for _ in range(cut):
-            moved = steps.join(ranks, ["host", "kind"]).select(
+            spread = ranks.join(hubs, ["host", "kind"], "left").select("host", "kind", "x", salts.alias("salt"))
+            moved = steps.join(spread, ["host", "kind", "salt"]).select(
                 F.col("to").alias("host"), "kind", (F.col("x") * F.col("p") * damping).alias("x")
             )
             ranks = moved.unionByName(restart).groupBy("host", "kind").agg(F.sum("x").alias("x"))
@@ -137,7 +149,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, *, ra
         F.sum(F.when(F.col("kind") == "trust", F.col("x")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("x")).otherwise(0.0)).alias("distrust"),
     )
-    out = seen.join(ranks, "host", "left")
+    out = seen.join(stored(ranks), "host", "left")
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     return out.select(
         "page_id",
