@@ -10,9 +10,13 @@ first line feed that is not escaped, and undo the escapes.  An escape is a backs
 character, so a backslash itself is written twice and a control string is broken after its first
 character.
 
-Formatting is a loop of two passes: first every turn is rendered as it is and the rendered form is
-parsed; turns that do not come back identical, or in which a control string of any known template
-is found, are escaped; then the final form is parsed again and compared once more (``round_trip``).
+Formatting is a loop until identical: a turn is rendered as it is and the rendered form is parsed; if it
+does not come back, or a control string of any known template is found in it, its strings are escaped and
+it is parsed again; a turn that still differs has every character escaped, which the grammar always gives
+back.  The whole output is parsed once more and compared (``round_trip``).
+
+``loss_spans`` marks the assistants' texts in the output, as code point numbers (start, one past the
+end); ``loss_text`` is what they cut from it, unescaped.
 
 Defined results: a null text or role is empty; turns are ordered by (turn, role, text), nulls first;
 repeated rows stay repeated; a conversation is one row however long, because its digest covers all
@@ -23,7 +27,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table
@@ -57,16 +61,31 @@ def escaped_role(role: Column) -> Column:
     return F.replace(escaped(role), F.lit("\n"), F.lit("\\\n"))
 
 
-def rendered(turn: Column, hard: Column) -> Column:
-    """One turn; ``hard`` says whether its strings are escaped."""
-    role, text = turn["role"], turn["text"]
-    return F.concat(
-        F.lit(START),
-        F.when(hard, escaped_role(role)).otherwise(role),
-        F.lit("\n"),
-        F.when(hard, escaped(text)).otherwise(text),
-        F.lit(END + "\n"),
-    )
+def every_escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?s)(.)", r"\\$1")
+
+
+#: How the strings of a turn are written: as they are, with escapes, with an escape each character.
+PLAIN, ESCAPED, EVERY = range(3)
+
+
+def _written(c: Column, level: Column, some) -> Column:
+    return F.when(level == PLAIN, c).when(level == ESCAPED, some(c)).otherwise(every_escaped(c))
+
+
+def rendered(turn: Column, level: Column) -> Column:
+    """struct(line, start, end) of one turn: the text is line[start:end]."""
+    head = F.concat(F.lit(START), _written(turn["role"], level, escaped_role), F.lit("\n"))
+    text = _written(turn["text"], level, escaped)
+    parts = F.array(F.struct(head.alias("h"), text.alias("t")))
+    return F.transform(
+        parts,
+        lambda p: F.struct(
+            F.concat(p["h"], p["t"], F.lit(END + "\n")).alias("line"),
+            F.char_length(p["h"]).alias("start"),
+            (F.char_length(p["h"]) + F.char_length(p["t"])).alias("end"),
+        ),
+    )[0]
 
 
 def _header(block: Column) -> Column:
@@ -92,17 +111,23 @@ def parsed(formatted: Column) -> Column:
     return F.transform(blocks, turn)
 
 
-def conflicts(turn: Column) -> Column:
-    """The grammar does not give the turn back when it is rendered as it is, or it holds a control."""
-    role, text = turn["role"], turn["text"]
-    back = parsed(rendered(turn, F.lit(False)))
+def _conflicts(turn: Column, level: int) -> Column:
+    """The grammar does not give the turn back from this rendering, or it holds a control."""
+    line = rendered(turn, F.lit(level))["line"]
+    back = parsed(line)
     one = F.get(back, F.lit(0))
-    same = (F.size(back) == 1) & (one["role"] == role) & (one["text"] == text)
-    return ~F.coalesce(same, F.lit(False)) | text.rlike(_CONTROL) | role.rlike(_CONTROL)
+    same = (F.size(back) == 1) & (one["role"] == turn["role"]) & (one["text"] == turn["text"])
+    inner = F.substr(line, F.lit(len(START) + 1), F.char_length(line) - len(START) - len(END) - 1)
+    return ~F.coalesce(same, F.lit(False)) | inner.rlike(_CONTROL)
+
+
+def level_of(turn: Column) -> Column:
+    """The first way of writing a turn that comes back identical."""
+    return F.when(~_conflicts(turn, PLAIN), PLAIN).when(~_conflicts(turn, ESCAPED), ESCAPED).otherwise(EVERY)
 
 
 def format_chat(conversations: DataFrame) -> DataFrame:
-    """conv_id, source turns, formatted text, turns read back, loss spans text, round_trip flag."""
+    """conv_id, formatted text, turns read back, loss spans and their text, round_trip flag."""
     clean = conversations.select(
         "conv_id",
         F.struct(
@@ -112,23 +137,31 @@ def format_chat(conversations: DataFrame) -> DataFrame:
         ).alias("t"),
     )
     # each turn is rendered, parsed and escaped if need be before turns are brought together
-    tried = clean.select("conv_id", "t", conflicts(F.col("t")).alias("hard"))
-    lined = tried.select(
-        "conv_id",
-        F.struct("t.turn", "t.role", "t.text", rendered(F.col("t"), F.col("hard")).alias("line")).alias("t"),
-    )
+    tried = clean.select("conv_id", "t", level_of(F.col("t")).alias("level"))
+    lined = tried.select("conv_id", "t", rendered(F.col("t"), F.col("level")).alias("r"))
+    lined = lined.select("conv_id", "t.*", "r.*")
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    lined = lined.withColumn("at", F.coalesce(F.sum(F.char_length("line")).over(before), F.lit(0)))
+    lined = lined.select("conv_id", F.struct("turn", "role", "text", "line", "at", "start", "end").alias("t"))
     whole = lined.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     whole = whole.withColumn("formatted", F.array_join(F.transform("turns", lambda t: t["line"]), ""))
     whole = whole.withColumn("back", parsed(F.col("formatted")))
-    loss = F.array_join(
-        F.transform(F.filter("back", lambda t: t["role"] == "assistant"), lambda t: t["text"]), ""
+    spans = F.transform(
+        F.filter("turns", lambda t: t["role"] == "assistant"),
+        lambda t: F.struct((t["at"] + t["start"]).alias("start"), (t["at"] + t["end"]).alias("end")),
     )
+    # a span is cut from its line of the output, so that cutting takes one pass
+    whole = whole.withColumn("lines", F.split("formatted", re.escape(END + "\n")))
+    cuts = F.zip_with("turns", F.slice("lines", F.lit(1), F.size("turns")), lambda t, line: F.struct(t.alias("t"), line.alias("line")))
+    cuts = F.filter(cuts, lambda c: c["t"]["role"] == "assistant")
+    loss = F.transform(cuts, lambda c: unescaped(F.substr(c["line"], c["t"]["start"] + 1, c["t"]["end"] - c["t"]["start"])))
     strip = lambda c: F.transform(c, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return whole.select(
         "conv_id",
         "formatted",
         "back",
-        loss.alias("loss_text"),
+        spans.alias("loss_spans"),
+        F.array_join(loss, "").alias("loss_text"),
         (strip(F.col("turns")) == strip(F.col("back"))).alias("round_trip"),
     )
 
@@ -155,7 +188,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The digests follow from the rows alone; the formatted length follows from the template: marks of
 #: 24 characters and one line feed for the header and the end, plus one per escape.
-_RE2 = "|".join(re.escape(c).replace("/", "/") for c in CONTROLS)
+_RE2 = "|".join(re.escape(c) for c in CONTROLS)
 OP5_SQL = f"""
 with c as (
   select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations
