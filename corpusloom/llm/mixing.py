@@ -4,12 +4,14 @@
    a target stops at ``CAP`` times its source's size and the excess is shared by weight again.  With
    sources sorted by cap over weight, the common level is the largest of (T - caps before) over
    (weights from here on), so the whole water-filling is one pass over one row per source.
-2. Blocks.  The total is cut into blocks of ``block`` tokens, allotted to sources by highest quotients
-   target / (2k - 1), then within each source to its shards by the same rule.  A shard is a hashed
-   share of a source of about ``shard_docs`` documents, so that a hot source spreads over many tasks.
-3. Selection.  A shard's documents stand in seeded order and form one token stream of nb blocks.  A
-   quota of Q blocks takes the whole stream Q div nb times and, of one more pass, the Q mod nb blocks
-   that a seeded affine permutation of the block numbers puts first.
+2. Quotas.  The total, in equal blocks of one token, is allotted to sources by highest quotients
+   target / (2k - 1), then within each source to its shards by the same rule, so that the smallest source
+   meets its target too.  A shard is a hashed share of a source of about ``shard_docs`` documents, so that
+   a hot source spreads over many tasks; one task ranks the shards of a source, a row per 2048 documents.
+3. Selection.  A shard's documents stand in seeded order and form one token stream of S tokens, cut in nb
+   blocks of ``block``.  A quota of Q tokens takes the whole stream Q div S times and, of one more pass,
+   the blocks that a seeded affine permutation of the block numbers puts first, until Q mod S are taken;
+   of the last one only the first tokens.
 
 Only rows per source, per shard and per document exist; blocks are numbers inside a document's row.
 
@@ -113,8 +115,7 @@ def mix(
     key = ["_null", "_src"]
     sources = rows.groupBy(*key).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
     sources = targets(sources, weights, cap)
-    sources = sources.withColumn("_blocks", F.expr(f"_total div {block}"))
-    sources = sainte_lague(sources, [], key, "target", "_blocks", "_quota")
+    sources = sainte_lague(sources, [], key, "target", "_total", "_quota")
     sources = stored(
         sources.select(*key, "source_size", "target", "_quota", F.ceil(F.col("_docs") / shard_docs).cast("long").alias("_shards"))
     )
@@ -123,24 +124,25 @@ def mix(
     shards = placed.groupBy(*shard_key).agg(F.sum("size").alias("_s"), F.first("_quota").alias("_quota"))
     shards = sainte_lague(shards, key, ["_shard"], "_s", "_quota", "_q")
     nb = F.ceil(F.col("_s") / block).cast("long")
-    shards = shards.select(*shard_key, nb.alias("_nb"), "_q")
-    shards = shards.withColumn("_full", F.when(F.col("_nb") > 0, F.least(F.expr("_q div _nb"), F.lit(cap))).otherwise(0).cast("long"))
-    shards = shards.withColumn("_rest", F.when(F.col("_full") < cap, F.col("_q") - F.col("_full") * F.col("_nb")).otherwise(0))
+    shards = shards.select(*shard_key, nb.alias("_nb"), "_s", "_q")
+    shards = shards.withColumn("_full", F.when(F.col("_s") > 0, F.least(F.expr("_q div _s"), F.lit(cap))).otherwise(0).cast("long"))
+    shards = shards.withColumn("_rest", F.when(F.col("_full") < cap, F.col("_q") - F.col("_full") * F.col("_s")).otherwise(0))
     shards = shards.withColumn("_shift", F.when(F.col("_nb") > 0, hashed(F.lit(seed), *[F.col(c) for c in shard_key]) % F.col("_nb")))
+    # place of the last block in the permutation, and the tokens it lacks
+    shards = shards.withColumn("_last", F.when(F.col("_nb") > 0, F.expr(f"((_nb - 1) * ({PRIME}L % _nb) + _shift) % _nb")))
+    shards = shards.withColumn("_short", F.col("_nb") * block - F.col("_s")).drop("_s")
     stream = Window.partitionBy(*shard_key).orderBy("_hash", "doc_id", "size")
     stream = stream.rowsBetween(Window.unboundedPreceding, 0)
     out = placed.drop("_quota").withColumn("_hi", F.sum("size").over(stream)).join(shards, shard_key)
     out = out.withColumn("_lo", F.col("_hi") - F.col("size"))
-    numbers = F.when(
-        (F.col("size") > 0) & (F.col("_rest") > 0),
-        F.expr(
-            f"filter(sequence(_lo div {block}, (_hi - 1) div {block}),"
-            f" j -> (j * ({PRIME}L % _nb) + _shift) % _nb < _rest)"
-        ),
-    ).otherwise(F.expr("array()").cast("array<bigint>"))
+    place = f"((j * ({PRIME}L % _nb) + _shift) % _nb)"
+    before = f"({place} * {block} - if({place} > _last, _short, 0L))"  # tokens of the blocks placed earlier
+    some = F.expr(f"filter(sequence(_lo div {block}, (_hi - 1) div {block}), j -> {before} < _rest)")
+    numbers = F.when((F.col("size") > 0) & (F.col("_rest") > 0), some).otherwise(F.expr("array()").cast("array<bigint>"))
+    taken = f"least({block} - if(j = _nb - 1, _short, 0L), _rest - {before})"
     span = F.expr(
-        f"transform(_chosen, j -> struct(greatest(j * {block} - _lo, 0L) AS start,"
-        f" least((j + 1) * {block} - _lo, size) AS end))"
+        f"filter(transform(_chosen, j -> struct(greatest(j * {block} - _lo, 0L) AS start,"
+        f" least(j * {block} + {taken} - _lo, size) AS end)), s -> s.end > s.start)"
     )
     out = out.withColumn("_chosen", numbers).withColumn("spans", span)
     partial = F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)")
@@ -190,21 +192,24 @@ s1 as (select *, [{", ".join(f"{w}.0::double" for w in WEIGHTS)}][(row_number()
   cast(source_size * {CAP} as double) cap_, cast(sum(source_size) over () as bigint) total_ from s0),
 s2 as (select *, (total_ - coalesce(sum(cap_) over (order by cap_ / weight_, null_, src_ rows between unbounded preceding and 1 preceding), 0.0))
   / sum(weight_) over (order by cap_ / weight_, null_, src_ rows between current row and unbounded following) level_ from s1),
-s3 as (select null_, src_, source_size, docs_, least(cap_, weight_ * max(level_) over ()) target, total_ // {BLOCK} blocks_ from s2),
-{_lague_sql("s4", "s3", "", "null_, src_", "target", "blocks_", "quota_")},
+s3 as (select null_, src_, source_size, docs_, least(cap_, weight_ * max(level_) over ()) target, total_ from s2),
+{_lague_sql("s4", "s3", "", "null_, src_", "target", "total_", "quota_")},
 placed as (select r.*, s.source_size, s.target, s.quota_, hash_ % cast(ceil(docs_ / {SHARD_DOCS}) as bigint) shard_
   from rows_ r join s4 s using (null_, src_)),
 h0 as (select null_, src_, shard_, cast(sum(size) as bigint) s_, first(quota_) quota_ from placed group by all),
 {_lague_sql("h1", "h0", "null_, src_", "shard_", "s_", "quota_", "q_")},
-h2 as (select null_, src_, shard_, q_, cast(ceil(s_ / {BLOCK}) as bigint) nb_ from h1),
-h3 as (select *, case when nb_ > 0 then least(q_ // nb_, {CAP}) else 0 end full_ from h2),
-h4 as (select *, case when full_ < {CAP} then q_ - full_ * nb_ else 0 end rest_,
+h2 as (select null_, src_, shard_, s_, q_, cast(ceil(s_ / {BLOCK}) as bigint) nb_ from h1),
+h3 as (select *, case when s_ > 0 then least(q_ // s_, {CAP}) else 0 end full_ from h2),
+h4 as (select *, case when full_ < {CAP} then q_ - full_ * s_ else 0 end rest_,
   case when nb_ > 0 then {_hash_sql(f"'{SEED}'", "cast(null_ as varchar)", "src_", "cast(shard_ as varchar)")} % nb_ end shift_ from h3),
+h5 as (select *, case when nb_ > 0 then ((nb_ - 1) * ({PRIME} % nb_) + shift_) % nb_ end last_, nb_ * {BLOCK} - s_ short_ from h4),
 d0 as (select *, cast(sum(size) over (partition by null_, src_, shard_ order by hash_, doc_id, size rows unbounded preceding) as bigint) hi_ from placed),
-d1 as (select d.*, hi_ - size lo_, nb_, full_, rest_, shift_ from d0 d join h4 using (null_, src_, shard_))
+d1 as (select d.*, hi_ - size lo_, nb_, full_, rest_, shift_, last_, short_ from d0 d join h5 using (null_, src_, shard_))
 select doc_id, cast(size as bigint) size, source_size, target,
   cast(full_ * size + case when size > 0 and rest_ > 0 then coalesce(list_sum(list_transform(
-    list_filter(range(lo_ // {BLOCK}, (hi_ - 1) // {BLOCK} + 1), lambda j: (j * ({PRIME} % nb_) + shift_) % nb_ < rest_),
-    lambda j: least((j + 1) * {BLOCK}, hi_) - greatest(j * {BLOCK}, lo_))), 0) else 0 end as bigint) taken
+    range(lo_ // {BLOCK}, (hi_ - 1) // {BLOCK} + 1),
+    lambda j: greatest(0, least(hi_, j * {BLOCK} + least({BLOCK} - case when j = nb_ - 1 then short_ else 0 end,
+      rest_ - (j * ({PRIME} % nb_) + shift_) % nb_ * {BLOCK} + case when (j * ({PRIME} % nb_) + shift_) % nb_ > last_ then short_ else 0 end))
+      - greatest(j * {BLOCK}, lo_)))), 0) else 0 end as bigint) taken
 from d1
 """
