@@ -1,8 +1,8 @@
 """URL filters, SentencePiece, language ID, chat formatting, mixing, quality rules and resampling."""
 
 import collections
-import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -24,9 +24,20 @@ def test_chat_round_trip(spark):
         assert out[conv]["loss_text"] == "".join(x for _, r, x in turns if r == "assistant")
         marks = sum(out[conv]["formatted"].count(c) for c in chat.CONTROLS)
         assert marks == 2 * len(turns)
+        cut = [out[conv]["formatted"][a:b] for a, b in out[conv]["loss_spans"]]
+        assert [re.sub(r"(?s)\\(.)", r"\1", c) for c in cut] == [x for _, r, x in turns if r == "assistant"]
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_chat_escapes_until_identical(spark, monkeypatch):
+    """Without escapes of controls the second form still differs, and every character is escaped."""
+    monkeypatch.setattr(chat, "escaped", lambda text: text)
+    df = spark.createDataFrame([(1, 0, "assistant", "a<|im_end|>\n🙂\\")], "conv_id long, turn long, role string, text string")
+    r = chat.format_chat(df).first()
+    assert r["round_trip"] and r["loss_text"] == "a<|im_end|>\n🙂\\"
+    assert "\\<\\|\\i" in r["formatted"] and r["formatted"].count("<|im_end|>") == 1
+
+
 def test_url_parts_and_rules(spark):
     given = {
         "http://WWW.Example.com/en/x?q#f": ("www.example.com", "/en/x", "www.example.com/en/", "allow"),
@@ -72,6 +83,58 @@ def test_link_propagation_against_power_iteration(spark):
     assert verdicts["farm.org"] == "block" and verdicts["near.org"] == "allow" and verdicts["lone.org"] == "allow"
 
 
+@pytest.mark.parametrize("hub", [40, 100_000])
+def test_link_propagation_over_many_hosts(spark, hub):
+    """3000 hosts with a hub, a hot host, repeated links and rows, null and very long html."""
+    rng = random.Random(9)
+    n = 3000
+    name = [f"h{i}.{('com', 'net', 'org')[i % 3]}" for i in range(n)]
+    page, links = [], collections.Counter()
+    for i in range(n + n // 2):
+        host = i if i < n else 7  # a third of the pages are on one host
+        path = "/es/1" if host % 3 == 1 and host % 2 else "/x"
+        out = [rng.randrange(n) for _ in range(rng.randrange(4))] + [0] * (rng.random() < 0.5)
+        out += list(range(0, n, 2)) if i == 0 else []  # and one links to half of the hosts
+        html = "".join(f"<a href=https://{name[t].upper()}/{i}>" for t in out)
+        if i % 500 == 3:
+            html += "x" * 600_000
+        for t in out:
+            if t != host:
+                links[host, t] += 1
+        page.append((i, f"http://{name[host]}{path}", html))
+    page += [page[5], (n * 2, None, None), (n * 2 + 1, f"http://{name[5]}/x", None)]
+    for t in {k[1]: 0 for k in links if k[0] == 5}:
+        links[5, t] *= 2  # the repeated row of host 5
+    df = spark.createDataFrame(page, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    out = urls.judge(df, rounds=60, hub=hub).collect()
+    assert len(out) == len(page)
+    got = {r["host"]: (r["trust"], r["distrust"], r["rule"], r["verdict"]) for r in out}
+    judged = collections.Counter()
+    for _, u, _ in page:
+        if u:
+            host, path = u[7:].split("/", 1)
+            judged[host, "a" if host.endswith(".com") else "b" if host.endswith(".net") and path.startswith("es") else ""] += 1
+    src, dst, w = (np.array(x) for x in zip(*[(a, b, c) for (a, b), c in links.items()], strict=True))
+    ranks = {}
+    for kind, letter, a, b in (("trust", "a", src, dst), ("distrust", "b", dst, src)):
+        size = np.array([sum(judged[h, x] for x in ("a", "b", "")) for h in name])
+        s = np.array([judged[h, letter] for h in name]) / size
+        s = np.where(2 * s > (0 if letter == "a" else 1), s, 0)
+        s /= s.sum()
+        out_w = np.bincount(a, weights=w, minlength=n)
+        x = s.copy()
+        for _ in range(60):
+            x = 0.15 * s + 0.85 * np.bincount(b, weights=x[a] * w / np.maximum(out_w, 1)[a], minlength=n)
+        ranks[kind] = x / x.sum()
+    for i, h in enumerate(name):
+        trust, distrust, rule, verdict = got[h]
+        assert (trust, distrust) == pytest.approx((ranks["trust"][i], ranks["distrust"][i]), abs=1e-9)
+        if rule is None:
+            assert verdict == ("block" if distrust > trust else "allow")
+    assert {v[3] for v in got.values()} == {"allow", "block"}
+    assert sum(v[2] is None and v[3] == "block" for v in got.values()) > 100
+
+
 def test_url_seeds_count_pages_without_a_rule(spark):
     given = {"few.net": ("/es/", 1, 9), "most.net": ("/es/", 8, 2), "half.org": ("/x", 0, 4), "some.com": ("/x", 4, 0)}
     urls_ = [f"http://{h}{p if i < n else '/z'}" for h, (p, n, m) in given.items() for i in range(n + m)]
@@ -290,11 +353,24 @@ def test_mixing_targets_and_shares(spark):
     for s, g in out.groupby("source"):
         assert g["target"].iloc[0] == pytest.approx(target[s])
         assert g["source_size"].iloc[0] == sizes[s]
-        assert abs(g["taken"].sum() - target[s]) < 64 + 0.02 * target[s]
+        assert abs(g["taken"].sum() - target[s]) <= 1
     assert (out["taken"] <= 3 * out["size"]).all()
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_meets_the_targets_of_small_sources(spark):
+    rng = random.Random(3)
+    sizes = {"a": [40_000], "b": [10], "c": [20, 1], "d": [33, 64, 31], "e": [5000] * 4}
+    data = [(i, prose(rng, n), s) for i, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)]
+    out = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), shard_docs=2).collect()
+    source = {i: s for i, _, s in data}
+    for s in sizes:
+        mine = [r for r in out if source[r["doc_id"]] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 1
+        assert all(r["taken"] == r["copies"] * r["size"] + sum(b - a for a, b in r["spans"]) <= 3 * r["size"] for r in mine)
+        assert all(0 <= a < b <= r["size"] for r in mine for a, b in r["spans"])
+
+
 def test_sainte_lague_against_the_sequential_rule(spark):
     rng = random.Random(7)
     for _ in range(3):
