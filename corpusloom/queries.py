@@ -75,8 +75,7 @@ def _chunk_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25_top(spark: SparkSession, d: str) -> DataFrame:
-    scored = R.bm25(R.postings(_chunk_texts(spark, d)), _questions(spark, d))
-    return R.top_k(scored, 10, order=[F.desc(F.round("score", 9)), F.col("id")])
+    return R.bm25_top_k(_chunk_texts(spark, d), _questions(spark, d), 10)
 
 
 @query(f"with {B.CHUNKS}, {_BM25} select query_id, id, rank, round(score, 6) score from b")
@@ -119,8 +118,7 @@ dt as (select query_id, id, score, row_number() over (partition by query_id orde
 def dense_top_k(spark, d):
     v = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
-    found = R.dense_top_k(v, asked, 10)
-    return R.top_k(found.drop("rank"), 5, order=[F.desc(F.round("score", 9)), F.col("id")]).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return R.dense_top_k(v, asked, 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -129,8 +127,7 @@ select query_id, parent id, round(score, 6) score, row_number() over (partition
 )
 def best_per_parent(spark, d):
     v = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    hits = R.dense_top_k(v, v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), 10)
-    hits = R.top_k(hits.drop("rank"), 5, order=[F.desc(F.round("score", 9)), F.col("id")])
+    hits = R.dense_top_k(v, v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), 5)
     best = R.best_per_parent(hits.withColumn("parent_id", F.expr("id div 3")).withColumn("score", F.round("score", 9)), 3)
     return best.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
@@ -527,7 +524,8 @@ def _pagerank(nodes, edges, **how):
 
 @query(_ppr_sql(5))
 def personalized_pagerank(spark, d):
-    return _pagerank(*_graph(spark, d), rounds=5)
+    named = stored(B.named(spark, d))
+    return _pagerank(*_graph(spark, d, lambda *_: named), rounds=5)
 
 
 @query()
@@ -626,7 +624,7 @@ def greedy_cues(spark, d):
 
 @query()
 def navigation(spark, d):
-    top = R.top_k(R.bm25(R.postings(_chunk_texts(spark, d)), _questions(spark, d)), 3)
+    top = R.bm25_top_k(_chunk_texts(spark, d), _questions(spark, d), 3)
     front = top.groupBy(F.col("query_id").alias("question_id")).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.concat(F.lit("chunk:"), "id").alias("id")))).alias("f"))
     front = front.select("question_id", F.transform("f", lambda x: F.struct((-x["s"]).alias("score"), x["id"].alias("id"))).alias("frontier"))
     chunks = B.chunks(spark, d)
