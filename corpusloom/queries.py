@@ -6,6 +6,7 @@ Every query runs over its whole tables.  Lists are joined into strings where res
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +40,22 @@ def query(sql: str | None = None, name: str | None = None):
     return put
 
 
+#: Modules that register more queries.
+_MORE = ("queries_runs",)
+
+
+def _load() -> None:
+    for m in _MORE:
+        import_module(f"corpusloom.{m}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
