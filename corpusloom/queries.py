@@ -41,7 +41,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 #: Modules that register more queries.
-_MORE = ("queries_runs",)
+_MORE = ("queries_runs", "queries_memory")
 
 
 def _load() -> None:
