@@ -366,23 +366,31 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def unit_vector(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
+    with_norm = let(v, lambda x: F.struct(x.alias("x"), F.sqrt(dot(x, x)).alias("n")))
+    return let(with_norm, lambda s: F.transform(s["x"], lambda x: x.cast("double") / F.when(s["n"] == 0, 1.0).otherwise(s["n"])))
 
 
 def hash_embedding(text: Column, dim: int) -> Column:
     """Signed hashing of lower-case tokens between blanks, L2-normalised; all in the JVM."""
     tokens = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda t: t != "")
     coded = F.transform(
-        tokens,
-        lambda t: F.struct(
-            (F.conv(F.substring(F.sha2(t, 256), 1, 8), 16, 10).cast("long") % dim).alias("i"),
-            F.when(F.conv(F.substring(F.sha2(t, 256), 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("s"),
+        F.transform(tokens, lambda t: F.sha2(t, 256)),
+        lambda h: F.struct(
+            (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).alias("i"),
+            F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("s"),
         ),
     )
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda k: F.aggregate(F.filter(coded, lambda c: c["i"] == k), F.lit(0.0), lambda a, c: a + c["s"]),
+    raw = let(
+        coded,
+        lambda cs: F.transform(
+            F.sequence(F.lit(0), F.lit(dim - 1)),
+            lambda k: F.aggregate(F.filter(cs, lambda c: c["i"] == k), F.lit(0.0), lambda a, c: a + c["s"]),
+        ),
     )
     return unit_vector(raw)
