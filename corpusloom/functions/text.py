@@ -180,7 +180,7 @@ def index_name(namespace: Column, suffix: str) -> Column:
 
 # --- headings and placeholders ----------------------------------------------------------------
 
-#: (pattern, level) in the order they are tried; None: the level depends on the match.
+#: Fixed values: (pattern, level) in the order they are tried; None: the level depends on the match.
 HEADINGS: tuple[tuple[str, int | None], ...] = (
     (r"(?U)^(#{1,6})\s+(.+?)\s*$", None),
     (r"(?U)^第[一二三四五六七八九十百千万\d]+[章节篇部卷编]\s*[、:：.\-]?\s*(.+)?$", 1),
@@ -330,6 +330,21 @@ def decompose(question: Column, most: int = 3) -> Column:
     return F.when(F.size(parts) > 0, F.slice(parts, 1, most)).otherwise(F.array(F.trim(question)))
 
 
+def to_number(c: Column, default: float = 0.0) -> Column:
+    """A number as well as it can be read, else the default."""
+    return F.coalesce(c.try_cast("double"), F.lit(default))
+
+
+def number_or_count(c: Column) -> Column:
+    """A number, or how many entries a JSON list has; 0 for anything else."""
+    return F.coalesce(c.try_cast("double"), F.json_array_length(F.when(F.trim(c).startswith("["), c)).cast("double"), F.lit(0.0))
+
+
+def safe_div(a: Column, b: Column) -> Column:
+    """Null where the ratio is undefined."""
+    return F.try_divide(a, b)
+
+
 # --- weights and predicates ---------------------------------------------------------------------
 
 

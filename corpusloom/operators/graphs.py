@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
+#: Fixed value: what counts as a name.
 ENTITY = r"(?U)\b[A-Z][A-Za-z0-9&.\-]*(?:\s+[A-Z][A-Za-z0-9&.\-]*){0,4}\b|[一-鿿]{2,12}"
 
 
