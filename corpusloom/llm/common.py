@@ -2,47 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a maximal run of characters other than ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``, else (tests only) a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rsplit("/", 1)[0]
-    import tempfile
+from corpusloom.plans.base import table
+from corpusloom.plans.tables import stored
 
-    return "file://" + tempfile.gettempdir() + "/checkpoints"
+__all__ = ["WORD", "long_id", "n_words", "stored", "table", "text_bytes"]
 
-
-def with_checkpoint_dir(spark: SparkSession) -> None:
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to a table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: A word is a maximal run of characters other than ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def text_bytes(df: DataFrame) -> int:

@@ -214,3 +214,34 @@ def test_pipeline_stages(spark, tmp_path):
     tokens = seen[4].collect()
     assert len(tokens) == seen[3].count() and all(r["round_trip"] for r in tokens)
     assert corpus_pipeline.run(spark, d).count() == len(tokens)
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """Repeated and null ids, ties, extra columns with clashing names, no labels, empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = [prose(rng, 90) for _ in range(6)]
+    data = [(i, t, "en", "s", len(t), "x", 1) for i, t in enumerate(texts)]
+    data += [(2, texts[5] + " more", None, None, None, None, 2), (2, texts[2], "de", "a", 1, "y", 3), (None, texts[1], "en", "s", 1, "z", 4), (9, None, None, None, None, None, None), (10, texts[3], None, "s", 3, "w", 5)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, size string, n_words long")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, df in (("full", docs), ("empty", docs.limit(0))):
+        at = os.path.join(tmp_path, name)
+        df.write.parquet(f"{at}/documents.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+    d = f"file://{tmp_path}/full"
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/empty").count() == 0
+    kept = corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+    assert kept.columns == docs.columns and kept.where("doc_id = 9").isEmpty()
+    runs = []
+    for parts in (1, 5):
+        found = corpus_pipeline.STAGES[1][1](spark, kept.repartition(parts), d)
+        assert found.columns == docs.columns
+        runs.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["size"] or "") for r in found.collect()))
+    assert runs[0] == runs[1]
+    ids = [r[1] for r in runs[0] if not r[0]]
+    assert len(ids) == len(set(ids)) and 10 not in ids and 3 in ids
+    assert sum(r[0] for r in runs[0]) == 1
+    a, b = (sorted((r["doc_id"] or -1, r["ids"]) for r in corpus_pipeline.run(spark, d).collect()) for _ in range(2))
+    assert a == b and a

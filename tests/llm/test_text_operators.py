@@ -433,6 +433,46 @@ def test_resampling(spark):
     assert resampling.resample(df.limit(0), labels).count() == 0
 
 
+def walk(m, x):
+    """Trees scored node by node."""
+    total = m.bias
+    for root in m.roots:
+        at = root
+        while m.left[at] != at:
+            at = m.left[at] if x[m.feature[at]] <= m.threshold[at] else m.right[at]
+        total += m.value[at]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_quality_training_and_scores(spark):
+    """Fit through Spark on odd labels; scores equal a walk of the trees over brute-force features."""
+    rng = random.Random(11)
+    make = lambda bad: " ".join(("#$%" if bad and rng.random() < 0.3 else "") + rng.choice(["ab", "cde", "fghij", "X!"]) for _ in range(rng.randrange(60, 140)))
+    texts = [make(i % 3 == 0) for i in range(150)] + ["a b " * 250_000, None, ""]
+    df = frame(spark, texts, score="clash").unionByName(frame(spark, texts[:2], score="clash"))
+    labels = [(i, int(i % 3 != 0)) for i in range(120)] + [(5, None), (None, 1), (0, 0), (0, 0), (999, 1)]
+    model = quality_rules.train(df, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert model is not None
+    out = quality_rules.judge(df, model).collect()
+    assert len(out) == len(texts) + 2
+    found = {r["doc_id"]: r for r in out}
+    from corpusloom.llm.words import slices
+
+    import pyarrow as pa
+
+    for i in list(range(0, 150, 7)) + [150, 151]:
+        t = next(slices(pa.record_batch({"text": [texts[i] or ""]})))
+        x = quality_rules.features(quality_rules.document_stats(t))[0]
+        assert found[i]["score"] == pytest.approx(walk(model, x), abs=1e-12)
+        assert found[i]["kept"] == (not found[i]["base_failed"] and found[i]["score"] >= 0.5)
+    held = [i for i in range(120, 150)]
+    assert np.mean([(found[i]["score"] >= 0.5) == (i % 3 != 0) for i in held]) > 0.9
+    one = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
+    assert quality_rules.train(df, one) is None and quality_rules.train(df, one.limit(0)) is None
+    assert quality_rules.train(df.limit(0), one) is None
+    assert quality_rules.judge(df.limit(0), model).count() == 0
+
+
 def spark_xxhash64(seed, doc_id, text):
     """xxhash64 over an int, a long and a string, each the next one's seed; nulls are passed over."""
     import xxhash
