@@ -6,6 +6,12 @@ not keep it; near duplicates leave the smallest doc_id of each class; substring
 repeated passages out of the texts, and a document whose words are all taken goes; mixing gives a row
 per whole copy of a document and one for the selected part of a further copy; tokens are the last.
 ``n_chars`` follows a changed text.
+
+Defined results: null and empty texts and documents of fewer than 50 words go in the first stage; of rows
+with equal doc_id the second keeps one, the smallest by its other columns, nulls first; rows with null doc_id
+stay as long as their texts do, and match nothing; empty tables give no rows; without labels of both kinds
+the base rules alone decide; further columns of documents pass through every stage but the last.
+Tables between stages lie in the application's folder of the shared folder and go with the application.
 """
 
 from __future__ import annotations
@@ -42,8 +48,9 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = jaccard.similar_classes(docs.select("doc_id", "text"))
     stay = classes.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    rest = F.struct(*[F.col(c) for c in _others(docs)])
+    kept = docs.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(rest).alias("_row")).select("doc_id", "_row.*")
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
