@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -40,36 +42,44 @@ def lines(documents: DataFrame, *, max_line_tokens: int = 384, normalize: bool =
     return parts.select("doc_id", "file_name", number.alias("line_no"), "text", "original_line_no", "segment", "split")
 
 
-def pack_words(words: list[str], budget: int, count: Callable[[str], int], overlap: int = 0) -> Iterator[str]:
-    """Words joined greedily up to a token budget; a word above it is cut by itself.
+def packed(costs: list[int], budget: int, overlap: int = 0, *, least: int = 0) -> Iterator[tuple[int, int | None]]:
+    """Ranges of units filled up to a budget, from prefix sums; (i, None) for a unit above it, which is alone.
 
-    With an overlap, a new part begins with the last words of the one before, at least one.
+    A range begins with the last units of the one before that fit the overlap (``least`` of them in any
+    case) and holds at least one new unit, so it may exceed the budget by the overlap.
     """
-    part: list[str] = []
-    size = 0
-    for word in words:
-        n = max(1, count(word))
-        if part and size + n > budget:
-            yield " ".join(part)
-            tail: list[str] = []
-            size = 0
-            for w in reversed(part) if overlap > 0 else ():
-                m = max(1, count(w))
-                if tail and size + m > overlap:
-                    break
-                tail.insert(0, w)
-                size += m
-            part = tail
-        if n > budget:
-            if part:
-                yield " ".join(part)
-            part, size = [], 0
-            yield from (word[i : i + budget] for i in range(0, len(word), budget))
+    sums = [0, *accumulate(costs)]
+    large = [i for i, c in enumerate(costs) if c > budget]
+    first = new = 0
+    while new < len(costs):
+        if costs[new] > budget:
+            yield new, None
+            first = new = new + 1
             continue
-        part.append(word)
-        size += n
-    if part:
-        yield " ".join(part)
+        at = bisect_left(large, new)
+        end = max(new + 1, bisect_right(sums, sums[first] + budget) - 1)
+        end = min(end, large[at] if at < len(large) else len(costs))
+        yield first, end
+        if end == len(costs):
+            return
+        tail = max(first, min(bisect_left(sums, sums[end] - overlap), end - least)) if overlap > 0 else end
+        if costs[end] > budget:
+            if least and tail < end:
+                yield tail, end
+            tail = end
+        first, new = tail, end
+
+
+def pack_words(words: list[str], budget: int, count: Callable[[str], int], overlap: int = 0) -> Iterator[str]:
+    """Words joined up to a token budget; a word above it is cut by itself.
+
+    With an overlap, a part begins with the last words of the one before, at least one.
+    """
+    for a, b in packed([max(1, count(w)) for w in words], budget, overlap, least=1):
+        if b is None:
+            yield from (words[a][i : i + budget] for i in range(0, len(words[a]), budget))
+        else:
+            yield " ".join(words[a:b])
 
 
 def token_counter() -> Callable[[str], int]:
@@ -184,6 +194,8 @@ def document_chunks(lines_: list, heads, file_name: str, count, budget: int, ove
     nodes = [(h["line_no"], h["end_line"], h["parent_line"], h["section_path"]) for h in heads] if heads is not None and len(heads) else []
     if not nodes:  # a document without headings is one section named after its file
         nodes = [(lines_[0][0], lines_[-1][0], None, [file_name])]
+    numbers, costs = [n for n, _ in lines_], [count(t) for _, t in lines_]
+    sums = [0, *accumulate(costs)]
     children: dict = {}
     for node in nodes:
         parent = node[2]
@@ -191,47 +203,21 @@ def document_chunks(lines_: list, heads, file_name: str, count, budget: int, ove
     stack = list(reversed(children.get(None, [])))
     while stack:
         start, end, _, path = stack.pop()
-        mine = [(n, t) for n, t in lines_ if start <= n <= end]
-        text = "\n".join(t for _, t in mine)
-        if text and count(text) <= budget:
-            yield path, start, end, text, "subtree"
+        a, b = bisect_left(numbers, start), bisect_right(numbers, end)
+        # a token never spans two lines, so a section's tokens are the sum of its lines'
+        if a < b and sums[b] - sums[a] <= budget:
+            yield path, start, end, "\n".join(t for _, t in lines_[a:b]), "subtree"
             continue
-        yield from split_lines(mine, path, count, budget, overlap)
+        for i, j in packed([max(1, c) for c in costs[a:b]], budget, overlap):
+            if j is None:
+                n, text = lines_[a + i]
+                yield from ((path, n, n, piece, "split_long_line") for piece in pack_words(text.split(), budget, count, overlap))
+            else:
+                part = lines_[a + i : a + j]
+                yield path, part[0][0], part[-1][0], "\n".join(t for _, t in part), "split"
         stack.extend(reversed(children.get(start, [])))
 
 
-def split_lines(mine: list, path, count, budget: int, overlap: int) -> Iterator[tuple]:
-    """Lines packed to the budget; whole trailing lines up to the overlap begin the next part."""
-    part: list = []
-    size = 0
-
-    def out():
-        return path, part[0][0], part[-1][0], "\n".join(t for _, t in part), "split"
-
-    for n, text in mine:
-        cost = max(1, count(text))
-        if part and (cost > budget or size + cost > budget):
-            yield out()
-            tail: list = []
-            size = 0
-            for row in reversed(part) if overlap > 0 else ():
-                c = max(1, count(row[1]))
-                if size + c > overlap:
-                    break
-                tail.insert(0, row)
-                size += c
-            part = tail
-        if cost > budget:
-            for piece in pack_words(text.split(), budget, count, overlap):
-                yield path, n, n, piece, "split_long_line"
-            part, size = [], 0
-            continue
-        part.append((n, text))
-        size += cost
-    if part:
-        yield out()
-
-
 def link_chunks(chunks: DataFrame) -> DataFrame:
     """Adds chunk_id, token_count and the neighbours in order of emission."""
     order = Window.partitionBy("doc_id").orderBy("chunk_index")

@@ -154,7 +154,7 @@ def answered(questions: DataFrame, evidence: DataFrame, provider: Provider, *, k
     best = evidence.where(F.col("rank") <= k).groupBy(F.col("query_id").alias("question_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("e"))
     rows = questions.join(best, "question_id", "left")
     body = F.array_join(F.transform(F.coalesce("e", F.array().cast("array<struct<rank:int,content:string>>")), lambda x: x["content"]), "\n")
-    prompt = F.concat_ws("\n", body, F.concat(F.lit("Question: "), "text"))
+    prompt = F.concat_ws("\n", F.when(body != "", body), F.concat(F.lit("Question: "), "text"))
     said = ask(rows.select(F.col("question_id").cast("string").alias("id"), prompt.alias("prompt")), provider)
     return said.select(F.col("id").alias("question_id"), T.extract_answer(F.col("answer")).alias("answer"))
 
