@@ -87,7 +87,7 @@ def _chunk_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25_top(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25_top_k(_chunk_texts(spark, d), _questions(spark, d), 10)
+    return R.bm25_top_k(stored(_chunk_texts(spark, d).select("id", "text")), _questions(spark, d), 10)
 
 
 @query(f"with {B.CHUNKS}, {_BM25} select query_id, id, rank, round(score, 6) score from b")
