@@ -81,7 +81,7 @@ def sentence_bridges(spark, d):
     return M.sentence_bridges(_mentions(n), n, least=20).select("key", "chunk_id", "sentence_no")
 
 
-@query(f"with {B.CHUNKS} select 'chunk:' || prev_chunk_id as source, 'chunk:' || chunk_id as target, 1.0 weight from c where prev_chunk_id is not null")
+@query(f"with {B.CHUNKS} select 'chunk:' || prev_chunk_id as source, 'chunk:' || chunk_id as target, 1.0::double weight from c where prev_chunk_id is not null")
 def adjacent_passages(spark, d):
     return M.adjacent_passages(B.chunks(spark, d))
 

@@ -85,13 +85,13 @@ def heading_forms(spark, d):
 
 
 @query(
-    """select p_partkey, ['Alpha B2 Corp', '汉语检索', 'X&Y-Z'] names_, 'OTHER' t1, 'CONCEPT' t2, 'ORG' t3 from part"""
+    """select p_partkey, 'Alpha B2 Corp|汉语检索|X&Y-Z' names_, 'OTHER' t1, 'CONCEPT' t2, 'ORG' t3 from part"""
 )
 def entity_phrases(spark, d):
     text = F.concat(F.lit("the Alpha B2 Corp met 汉语检索 and Alpha B2 Corp, then X&Y-Z. "), F.col("p_partkey").cast("string"))
     rows = G.extract(B.table(spark, d, "part").select("p_partkey", text.alias("content")))
     kinds = F.transform("names", T.guess_type)
-    return rows.select("p_partkey", F.col("names").alias("names_"), kinds[0].alias("t1"), kinds[1].alias("t2"), kinds[2].alias("t3"))
+    return rows.select("p_partkey", F.array_join("names", "|").alias("names_"), kinds[0].alias("t1"), kinds[1].alias("t2"), kinds[2].alias("t3"))
 
 
 @query("select page_id doc_id, 1 line_no, unnest(['image', 'link']) as type, unnest(['![i](' || url || ')', '[p](' || url || ')']) raw from pages")
@@ -145,7 +145,7 @@ def normalized_questions(spark, d):
 
 @query(f"with {B.CHUNKS} select chunk_id id, 'chunk' as type, 'ns' namespace, doc_id, content, token_count, next_chunk_id from c")
 def chunk_documents(spark, d):
-    return SI.chunk_documents(B.chunks(spark, d), "ns", "ds").select("id", "type", "namespace", "doc_id", "content", "token_count", "next_chunk_id")
+    return SI.chunk_documents(B.chunks(spark, d), "ns", "ds").select("id", "type", "namespace", "doc_id", "content", F.col("token_count").cast("long").alias("token_count"), "next_chunk_id")
 
 
 _SUMMARIES = """sm as (select 'sum:' || chunk_id node_id, doc_id || '' title, chunk_index from c where chunk_index % 3 = 0),
