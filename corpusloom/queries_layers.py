@@ -89,3 +89,53 @@ def tree_chunk_kinds(spark, d):
     lines = B.marked_lines(spark, d, B.whole_lines)
     tree = D.heading_parents(D.content_ranges(D.headings(lines), lines))
     return S.chunk_summary(D.chunk(lines, tree, max_tokens=64, overlap_tokens=16), "merge").drop("mean_tokens")
+
+
+# --- many small graphs, ablations ---------------------------------------------------------------------------
+
+_ROUNDS = 20
+
+
+def _scene_sql() -> str:
+    steps = ", ".join(
+        f"x{i} as materialized (select b.q, b.node, 0.15 * r + 0.85 * (coalesce(g.got, 0) + l.lost * r) x from sb b left join (select e.q, e.b node, sum(x * w / total) got from x{i - 1} p"
+        f" join se e on e.q = p.q and e.a = p.node join so o on o.q = e.q and o.a = e.a group by all) g using (q, node)"
+        f" join (select p.q, coalesce(sum(x) filter (where o.a is null), 0) lost from x{i - 1} p left join so o on o.q = p.q and o.a = p.node group by all) l using (q))"
+        for i in range(1, _ROUNDS + 1)
+    )
+    return f"""with {_KEYS}, un as (select doc_id q, least(s, t) a, greatest(s, t) b, max(1.0::double / (1 + pos)) w from tr where s <> t group by all union all select doc_id, 'chunk:' || chunk_id, key, 1.0::double from em),
+se as materialized (select q, a, b, w from un union all select q, b, a, w from un), so as materialized (select q, a, sum(w) total from se group by all),
+sn as (select distinct q, node from (select q, a node from se union all select doc_id, 'chunk:' || chunk_id from c)), an as (select doc_id q, 'chunk:' || chunk_id node from c where chunk_index = 0),
+sb as materialized (select q, node, case when an.node is not null then 1.0::double else 0.0::double end r, 1.0::double / count(*) over (partition by q) x from sn left join an using (q, node)),
+x0 as (select q, node, x from sb), {steps} select q query_id, node node_id, round(x, 9) x from x{_ROUNDS}"""
+
+
+@query(_scene_sql())
+def scene_pagerank(spark, d):
+    """Each document's own graph, ranked from its first chunk in 20 rounds."""
+    from corpusloom.operators import paths as P
+
+    n = B.named(spark, d)
+    t = _triples(n).select(F.col("doc_id").alias("query_id"), F.least(F.lower("source"), F.lower("target")).alias("a"), F.greatest(F.lower("source"), F.lower("target")).alias("b"), (1.0 / (1 + F.col("pos"))).alias("w"))
+    facts = t.where("a <> b").groupBy("query_id", "a", "b").agg(F.max("w").alias("w"))
+    own = _mentions(n).join(n.select("chunk_id", "doc_id"), "chunk_id")
+    edges = facts.unionByName(own.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("chunk:"), "chunk_id").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("w")))
+    chunks = n.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("chunk:"), "chunk_id").alias("node_id"), (F.col("chunk_index") == 0).cast("double").alias("r"))
+    ends = edges.select("query_id", F.explode(F.array("a", "b")).alias("node_id"))
+    restart = chunks.unionByName(ends.select("query_id", "node_id", F.lit(0.0).alias("r"))).groupBy("query_id", "node_id").agg(F.max("r").alias("r"))
+    ranks = P.pagerank_grouped(edges, restart, rounds=_ROUNDS, tolerance=0.0)
+    return ranks.withColumn("x", F.round("x", 9))
+
+
+@query(
+    f"""with {B.RELATIONS}, fam as (select 'horizontal' family, 2 * count(*) n from c where next_chunk_id is not null union all select 'provenance', count(*) from c),
+v as (select unnest(['full', 'no_vertical_cues', 'no_horizontal_cues', 'no_semantic_cues', 'no_provenance_cues', 'no_offline', 'no_online']) variant)
+select variant, family, n from v cross join fam where variant not in ('no_offline') and variant <> 'no_' || family || '_cues'"""
+)
+def cue_variants(spark, d):
+    from corpusloom.operators import cues as C
+
+    none = spark.createDataFrame([], "source string, target string"), spark.createDataFrame([], "node_id string, title string")
+    cues = C.chunk_cues(B.chunks(spark, d), *none)
+    counted = stored(cues.groupBy("family").agg(F.count(F.lit(1)).alias("n")))
+    return S.combined({v: C.apply_variant(counted, v) for v in C.VARIANTS}).withColumnRenamed("dataset", "variant")
