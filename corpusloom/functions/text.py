@@ -42,13 +42,8 @@ def _nfkc(c: Column) -> Column:
 
 
 def count_terms(text: Column, terms: Column) -> Column:
-    """Occurrences of all terms in a text, by substring search in Arrow batches."""
-
-    @F.pandas_udf("long")
-    def count(body: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([sum(map(b.count, w)) if b is not None and w is not None else 0 for b, w in zip(body, wanted, strict=True)])
-
-    return count(text, terms)
+    """Occurrences of all terms in a text as substrings, repeats of a term counting again."""
+    return F.coalesce(F.aggregate(terms, F.lit(0).cast("long"), lambda n, t: n + occurrences(text, t)), F.lit(0).cast("long"))
 
 
 def normalize_text(c: Column) -> Column:

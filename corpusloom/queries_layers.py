@@ -139,3 +139,53 @@ def cue_variants(spark, d):
     cues = C.chunk_cues(B.chunks(spark, d), *none)
     counted = stored(cues.groupBy("family").agg(F.count(F.lit(1)).alias("n")))
     return S.combined({v: C.apply_variant(counted, v) for v in C.VARIANTS}).withColumnRenamed("dataset", "variant")
+
+
+@query(
+    f"""with {B.CHUNKS}, lo as (select doc_id query_id, file_name, start_line, end_line, file_name || ':L' || start_line || '-L' || end_line as locate, row_number() over (partition by doc_id order by token_count desc, chunk_id) k from c qualify k <= 2)
+select query_id, locate, line_no, text from lo join l using (file_name) where line_no between start_line and end_line"""
+)
+def simplified_research(spark, d):
+    """The first two locates of a document's flat list, read."""
+    from corpusloom.functions import text as T
+
+    c = stored(B.chunks(spark, d))
+    flat = c.select(
+        F.col("doc_id").alias("query_id"), T.locate(F.col("file_name"), F.col("start_line"), F.col("end_line")).alias("locate"), F.expr("row_number() over (partition by doc_id order by token_count desc, chunk_id)").alias("pos")
+    )
+    first = S.first_reads(flat, 2)
+    lines = D.read(B.lines(spark, d), first.select("locate"))
+    return first.join(lines, "locate").select("query_id", "locate", F.col("line_no").cast("long").alias("line_no"), "text")
+
+
+@query(
+    f"""with {B.RELATIONS}, pk as (select chunk_id from c where doc_id % 3 = 0), tc as (select distinct least(s, t) a, greatest(s, t) b from re semi join pk using (chunk_id))
+select 'edge' kind, count(*) n from tc union all select 'node', count(*) from (select a x from tc union select b from tc union select entity_id from m semi join pk using (chunk_id))"""
+)
+def graph_subset(spark, d):
+    from corpusloom.operators import graphs as G
+
+    n = B.named(spark, d)
+    entities, relations = G.merge_entities(G.mentions(n)), G.merge_relations(G.co_occurrences(n))
+    nodes = entities.select(F.col("entity_id").alias("node_id"), "source_chunk_ids")
+    kept, some = G.subset(stored(nodes), stored(relations), n.where("doc_id % 3 = 0").select("chunk_id"))
+    return some.agg(F.lit("edge").alias("kind"), F.count(F.lit(1)).alias("n")).unionByName(kept.agg(F.lit("node").alias("kind"), F.count(F.lit(1)).alias("n")))
+
+
+@query(
+    f"""with {B.CHUNKS}, hy as (select chunk_id id, chunk_index, content from c where chunk_index < 2), {_BM25.replace(' dl from c)', ' dl from c where chunk_index < 2)')},
+ve as (select h.id, list_transform(embedding, lambda x: x::double) x from hy h join embeddings on vec_id = cast(regexp_extract(h.id, '^(\\d+)_c', 1) as bigint) % 500 where chunk_index = 0),
+qe as (select item_id query_id, list_transform(embedding, lambda x: x::double) x from benchmark join embeddings on vec_id = item_id),
+de as (select query_id, id, row_number() over (partition by query_id order by round(list_cosine_similarity(qe.x, ve.x), 9) desc, id) as rank from qe cross join ve qualify rank <= 10),
+u as (select query_id, id, rank, 0 no from b where rank <= 10 union all select query_id, id, rank, 1 from de), fu as (select query_id, id, sum(1.0 / (60 + rank)) score, min(no * 1000 + rank) o from u group by all)
+select query_id, id, round(score, 9) score, row_number() over (partition by query_id order by round(score, 12) desc, o, id) as rank from fu qualify rank <= 5"""
+)
+def hybrid_search(spark, d):
+    from corpusloom.operators import retrieval as R
+
+    c = stored(B.chunks(spark, d).where("chunk_index < 2").select(F.col("chunk_id").alias("id"), F.col("content").alias("text"), "doc_id", "chunk_index"))
+    e = B.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    vectors = c.where("chunk_index = 0").join(e, F.expr("doc_id % 500 = vec_id")).select("id", "vector")
+    asked = _questions(spark, d).join(e, F.expr("query_id = vec_id")).select("query_id", "text", "vector")
+    found = R.hybrid(c.select("id", "text"), vectors, asked, 5)
+    return found.select("query_id", "id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
