@@ -19,6 +19,7 @@ _OPS: dict[str, tuple[str, str | None]] = {
     "op8_quality_rules": ("quality_rules", None),
     "op9_quality_classifier": ("resampling", None),
     "op10_nearest_neighbours": ("hilbert", None),
+    "op11_survivorship": ("survivorship", "OP11_SQL"),
     "op13_packing": ("packing", None),
 }
 
