@@ -20,6 +20,7 @@ _OPS: dict[str, tuple[str, str | None]] = {
     "op9_quality_classifier": ("resampling", None),
     "op10_nearest_neighbours": ("hilbert", None),
     "op11_survivorship": ("survivorship", "OP11_SQL"),
+    "op12_merkle_manifest": ("merkle", "OP12_SQL"),
     "op13_packing": ("packing", None),
 }
 
