@@ -41,7 +41,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 #: Modules that register more queries.
-_MORE = ("queries_runs", "queries_memory", "queries_search", "queries_text", "queries_layers")
+_MORE = ("queries_runs", "queries_memory", "queries_search", "queries_text", "queries_layers", "queries_online")
 
 
 def _load() -> None:
