@@ -36,24 +36,30 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Characters handled in one call, and entries of a process's tables, which bound its memory.
 CALL_CHARS = 1 << 20
-WORDS_KEPT = 1 << 19
+KEPT = 1 << 18
 
-#: Fixed values of the vocabulary's own split rule, on lower-case text of ASCII and Latin-1 letters without "<":
-#: contractions, runs of letters, single digits, runs of anything else.
-_PLAIN = re.compile(r"[!-;=-~À-ÿ]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: The vocabulary's own split rule, on lower-case text of ASCII and Latin-1 letters (contractions, runs of
+#: letters, single digits, runs of anything else), and the string with which its special tokens begin.
+_PLAIN = re.compile(r"[\x09-\x0D\x20-~À-ÿ]*")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\x20\x09-\x0D]+")
+_SPECIAL = "<|"
+_WORDS = re.compile(WORD)
 
 
 class _Table(dict):
-    """A bounded memory of a function's results: emptied when full."""
+    """A bounded memory of a function's results: two generations, of which the older goes when the younger is full."""
 
     def __init__(self, f: Callable[[str], bytes], most: int):
-        self.f, self.most = f, most
+        self.f, self.most, self.older = f, most, {}
 
     def __missing__(self, key: str) -> bytes:
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        out = self[key] = self.f(key)
+        out = self.older.get(key)
+        if out is None:
+            out = self.f(key)
+        self[key] = out
         return out
 
 
@@ -71,11 +77,12 @@ def _byte_letters() -> list[str]:
 class WordEncoder:
     """Ids of a whole text by a vocabulary whose words never cross ASCII white space.
 
-    Words are looked up; an unseen word of plain letters is split by the vocabulary's rule and its parts go straight
-    to the BPE model, any other word goes through the whole tokenizer.  Equal to the tokenizer on the whole text.
+    A text of plain letters is split by the vocabulary's rule and its parts are looked up, unseen ones going straight to
+    the BPE model; in any other text words are looked up, unseen ones going through the whole tokenizer.  Equal to the tokenizer on
+    the whole text.
     """
 
-    def __init__(self, path: str, kept: int = WORDS_KEPT):
+    def __init__(self, path: str, kept: int = KEPT):
         import os
 
         from tokenizers import Tokenizer
@@ -86,28 +93,40 @@ class WordEncoder:
         self.letters = _byte_letters()
         self.words = _Table(self._word, kept)
         self.parts = _Table(self._part, kept)
-        self.split = re.compile(WORD).findall
 
     def _part(self, part: str) -> bytes:
         spelt = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
         return _packed([t.id for t in self.model.tokenize(spelt)])
 
     def _word(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word):
-            return b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
         return _packed(self.whole.encode(word, add_special_tokens=False).ids)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if _PLAIN.fullmatch(text) and _SPECIAL not in text:
+            text, split, known = text.lower(), _PARTS, self.parts
+        else:
+            split, known = _WORDS, self.words
         if len(text) <= CALL_CHARS:
-            return b"".join(map(self.words.__getitem__, self.split(text)))
+            return b"".join(map(known.__getitem__, split.findall(text)))
         out = bytearray()
-        for m in re.finditer(WORD, text):  # no list of all words of a very long text
-            out += self.words[m[0]]
+        for m in split.finditer(text):  # no list of all words of a very long text
+            out += known[m[0]]
         return bytes(out)
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The process's encoder, which tasks share."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -125,7 +144,7 @@ def tokens(docs: DataFrame, vocabulary: str | None = None, *, end_id: int = END_
     end = end_id.to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary or default_vocabulary())
+        encoder = encoder_of(vocabulary or default_vocabulary())
         at, part = 0, TaskContext.get().partitionId()
         for batch in batches:
             made, size, first = [], 0, 0
