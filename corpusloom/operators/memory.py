@@ -6,10 +6,8 @@ target, label).  Rankings take scores as tables, so any PageRank or vector searc
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -261,93 +259,50 @@ def rerank_merge(candidates: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     return top_k(rows, k, order=[F.col("score").isNull(), F.desc("score"), "pos"])
 
 
-def activate(seeds: DataFrame, sentences: DataFrame, *, rounds: int = 3, threshold: float = 0.5, per_entity: int = 3) -> DataFrame:
-    """query_id, key, score: entities reached from the seeds over sentences.
+def claims(wanted: DataFrame, each: int, *, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Who gets which sentence, if the strongest choose first and take their ``each`` best that are left.
 
-    In a round each active entity of at least the threshold, the strongest first, fires its best sentences
-    that none has used in the round, and what stands in them gets score times similarity, the largest
-    counting.  seeds: query_id, key, score; sentences: query_id, key, sentence_id, score (similarity of the
-    sentence to the query).  The order inside a round matters, so a query is a grouped map over its own rows.
+    wanted: query_id, key, strength, sentence_id, score.  All sentences rank entities alike, so the outcome is the one stable
+    assignment, found by deferred acceptance: every entity asks for its ``each`` best sentences that have not refused it, every
+    sentence keeps its strongest asker and refuses all weaker ones at once, until no entity was refused.  Order: strength and score
+    falling, then key and sentence_id.
     """
-
-    def run(s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        active = dict(zip(s["key"], s["score"].astype(float), strict=True))
-        current, of, members, sim = dict(active), {}, {}, {}
-        for key, sid, score in zip(t["key"], t["sentence_id"], t["score"].astype(float), strict=True):
-            of.setdefault(key, []).append(sid)
-            members.setdefault(sid, set()).add(key)
-            sim[sid] = score
-        for _ in range(1, rounds):
-            reached: dict = {}
-            used: set = set()
-            for key, strength in sorted(current.items(), key=lambda e: (-e[1], e[0])):
-                if strength < threshold:
-                    continue
-                for sid in sorted((x for x in set(of.get(key, ())) if x not in used), key=lambda x: (-sim[x], x))[:per_entity]:
-                    used.add(sid)
-                    value = strength * max(0.0, sim[sid])
-                    if value >= threshold:
-                        for other in members[sid]:
-                            reached[other] = max(reached.get(other, 0.0), value)
-            for key, value in reached.items():
-                active[key] = max(active.get(key, 0.0), value)
-            current = reached
-            if not current:
-                break
-        q = s["query_id"].iloc[0] if len(s) else None
-        rows = [(q, k, v) for k, v in sorted(active.items())]
-        return pd.DataFrame(rows, columns=["query_id", "key", "score"])
-
-    return seeds.groupBy("query_id").cogroup(sentences.groupBy("query_id")).applyInPandas(run, "query_id long, key string, score double")
-
-
-def connect(terminals: DataFrame, edges: DataFrame, ranks: DataFrame, *, grow: int = 20) -> DataFrame:
-    """query_id, node_id: a subgraph that joins a query's terminals, grown by rank over cost.
-
-    The first terminal is a tree; each further one is joined by the cheapest path from the tree (or alone,
-    if none leads to it); then, ``grow`` times, the neighbour of largest rank over edge cost comes in, ties
-    by name.  terminals: query_id, node_id, pos; edges: query_id, a, b, cost (both directions, of the
-    query's neighbourhood); ranks: query_id, node_id, x.  Each step depends on those before: a grouped map.
+    weak = F.struct((-F.col("strength")).alias("s"), F.col("key").alias("k"))
+    left = checkpoint(wanted.select("query_id", "key", "strength", "sentence_id", "score"))
+    best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "sentence_id")
+    while True:
+        asked = left.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= each).drop("_r")
+        held = checkpoint(asked.groupBy("query_id", "sentence_id").agg(F.min(weak).alias("_held")))
+        kept = left.join(held, ["query_id", "sentence_id"], "left").where(F.col("_held").isNull() | (weak <= F.col("_held")))
+        kept = checkpoint(kept.withColumn("_mine", F.coalesce(weak == F.col("_held"), F.lit(False))))
+        # an entity that was refused asks again; with all refusals gone, what is asked for is what is held
+        again = kept.withColumn("_r", F.row_number().over(best)).where((F.col("_r") <= each) & ~F.col("_mine"))
+        if again.isEmpty():
+            return kept.where("_mine").drop("_held", "_mine")
+        left = kept.drop("_held", "_mine")
+
+
+def activate(
+    seeds: DataFrame, sentences: DataFrame, *, checkpoint: Callable[[DataFrame], DataFrame], rounds: int = 3, threshold: float = 0.5, per_entity: int = 3
+) -> DataFrame:
+    """query_id, key, score: entities reached from the seeds over sentences, each with its largest score.
+
+    In each of ``rounds`` - 1 rounds the entities that the round before reached with the threshold or more claim sentences
+    (``claims``), and a claimed sentence gives all its entities the claimant's score times its own similarity, if that meets the
+    threshold.  seeds: query_id, key, score; sentences: query_id, key, sentence_id, score (similarity to the query).
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = {k: g for k, g in pdf.groupby("kind")}
-        adj: dict = {}
-        for a, b, c in part["edge"][["a", "b", "v"]].itertuples(index=False) if "edge" in part else ():
-            adj.setdefault(a, {})[b] = min(c, adj.get(a, {}).get(b, float("inf")))
-        wanted = [t for t in part["terminal"].sort_values(["v", "a"])["a"] if t in adj] if "terminal" in part else []
-        wanted = list(dict.fromkeys(wanted))
-        tree = set(wanted[:1])
-        for target in wanted[1:]:
-            dist, prev, queue, done = dict.fromkeys(tree, 0.0), {}, [(0.0, n) for n in sorted(tree)], set()
-            while queue and target not in done:
-                d, node = heapq.heappop(queue)
-                if node in done:
-                    continue
-                done.add(node)
-                for other, cost in adj.get(node, {}).items():
-                    if d + cost < dist.get(other, float("inf")):
-                        dist[other], prev[other] = d + cost, node
-                        heapq.heappush(queue, (d + cost, other))
-            at = target
-            while at not in tree:
-                tree.add(at)
-                if at not in prev or target not in done:
-                    break
-                at = prev[at]
-        x = dict(zip(part["rank"]["a"], part["rank"]["v"], strict=True)) if "rank" in part else {}
-        for _ in range(grow if tree else 0):
-            best = min(((-x.get(b, 0.0) / max(1e-6, c), b) for a in tree for b, c in adj.get(a, {}).items() if b not in tree), default=(0.0, ""))
-            if best[0] >= 0:
-                break
-            tree.add(best[1])
-        return pd.DataFrame([(pdf["query_id"].iloc[0], str(n)) for n in sorted(tree)], columns=["query_id", "node_id"])
-
-    none = F.lit(None).cast("string")
-    rows = terminals.select("query_id", F.lit("terminal").alias("kind"), F.col("node_id").alias("a"), none.alias("b"), F.col("pos").cast("double").alias("v"))
-    rows = rows.unionByName(edges.select("query_id", F.lit("edge").alias("kind"), "a", "b", F.col("cost").cast("double").alias("v")))
-    rows = rows.unionByName(ranks.select("query_id", F.lit("rank").alias("kind"), F.col("node_id").alias("a"), none.alias("b"), F.col("x").alias("v")))
-    return rows.groupBy("query_id").applyInPandas(run, "query_id long, node_id string")
+    pairs = checkpoint(sentences.groupBy("query_id", "key", "sentence_id").agg(F.max("score").alias("score")))
+    current = checkpoint(seeds.groupBy("query_id", "key").agg(F.max("score").cast("double").alias("strength")))
+    reached = current
+    for _ in range(1, rounds):
+        firing = current.where(F.col("strength") >= threshold)
+        held = claims(pairs.join(firing, ["query_id", "key"]), per_entity, checkpoint=checkpoint)
+        value = F.col("strength") * F.greatest(F.col("score"), F.lit(0.0))
+        fired = held.select("query_id", "sentence_id", value.alias("strength")).where(F.col("strength") >= threshold)
+        hit = pairs.select("query_id", "sentence_id", "key").join(fired, ["query_id", "sentence_id"])
+        current = checkpoint(hit.groupBy("query_id", "key").agg(F.max("strength").alias("strength")))
+        reached = reached.unionByName(current)
+    return reached.groupBy("query_id", "key").agg(F.max("strength").alias("score"))
 
 
 def edge_costs(edges: DataFrame, similarity: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ from corpusloom.functions import text as T
 from corpusloom.operators import documents as D
 from corpusloom.operators import graphs as G
 from corpusloom.operators import memory as M
+from corpusloom.operators import steiner as ST
 from corpusloom.plans import base as B
+from corpusloom.plans.tables import stored
 from corpusloom.queries import _questions, query
 
 _KEYS = B.MENTIONS + """,
@@ -333,15 +335,15 @@ def _neighbourhood(named: DataFrame) -> DataFrame:
 
 @query()
 def connected_terminals(spark, d):
-    n = B.named(spark, d)
-    return M.connect(_anchors(n), _neighbourhood(n), _ranks(n), grow=3)
+    n = stored(B.named(spark, d))
+    return ST.connect(_anchors(n), _neighbourhood(n), _ranks(n), grow=3, checkpoint=stored)
 
 
 @query()
 def activated_entities(spark, d):
-    n = B.named(spark, d)
+    n = stored(B.named(spark, d))
     bridges = M.sentence_bridges(_mentions(n), n, least=20).join(n.select("chunk_id", "doc_id"), "chunk_id")
     similarity = F.abs(F.cos(F.length("sentence").cast("double")))
     sentences = bridges.select(F.col("doc_id").alias("query_id"), "key", F.concat_ws(":", "chunk_id", F.col("sentence_no").cast("string")).alias("sentence_id"), similarity.alias("score"))
     seeds = _anchors(n).select("query_id", F.col("node_id").alias("key"), (1.0 / (1 + F.col("pos"))).alias("score")).distinct()
-    return M.activate(seeds, sentences).select("query_id", "key", F.round("score", 9).alias("score"))
+    return M.activate(seeds, sentences, checkpoint=stored).select("query_id", "key", F.round("score", 9).alias("score"))

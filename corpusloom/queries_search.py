@@ -11,6 +11,7 @@ from corpusloom.operators import documents as D
 from corpusloom.operators import graphs as G
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import search as S
+from corpusloom.operators.ranks import global_ranks
 from corpusloom.plans import base as B
 from corpusloom.plans.tables import stored
 from corpusloom.queries import _WORDS, _questions, query
@@ -181,7 +182,7 @@ case k % 5 when 0 then 'entity' when 1 then 'entity' when 2 then 'relation' when
 def resolved_objects(spark, d):
     n = B.named(spark, d)
     rel = G.merge_relations(G.co_occurrences(n)).select("source", "target")
-    edges = rel.withColumn("k", F.expr("row_number() over (order by source, target)"))
+    edges = global_ranks(rel, ["source", "target"], checkpoint=stored).select("source", "target", (F.col("place") + 1).alias("k"))
     edges = edges.withColumn("edge_id", F.concat(F.lit("edge:"), F.col("k").cast("string")))
     nodes = n.select(F.concat(F.lit("chunk:"), "chunk_id").alias("node_id"), F.lit("chunk").alias("node_type")).unionByName(G.mentions(n).select(F.col("entity_id").alias("node_id"), F.lit("entity").alias("node_type")).distinct())
     kind = F.col("k") % 5
@@ -326,7 +327,7 @@ def json_objects(spark, d):
 
 @query("select doc_id from documents qualify row_number() over (order by doc_id) <= (select greatest(1, ceil(count(*) * 0.3)) from documents)")
 def first_fraction(spark, d):
-    return S.first_fraction(B.table(spark, d, "documents").select("doc_id"), 0.3)
+    return S.first_fraction(B.table(spark, d, "documents").select("doc_id"), 0.3, checkpoint=stored)
 
 
 @query(
@@ -335,7 +336,7 @@ x as (select doc_id, row_number() over (order by len(coalesce(text, '')), doc_id
 )
 def questions_by_length(spark, d):
     rows = B.table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("pos"), F.coalesce("text", F.lit("")).alias("text"))
-    return S.by_length(rows, 100).select("doc_id", F.col("place").cast("long").alias("place"))
+    return S.by_length(rows, 100, checkpoint=stored).select("doc_id", F.col("place").cast("long").alias("place"))
 
 
 _SCALE = f"""{B.CHUNKS}, sc as (select d0.doc_id, coalesce(len(text), 0) chars, coalesce(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')), 0) words, coalesce(nl, 0) n_lines, coalesce(nc, 0) n_chunks, coalesce(nq, 0) questions

@@ -12,6 +12,8 @@ from corpusloom.operators import memory as M
 from corpusloom.operators import models as L
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import search as S
+from corpusloom.operators import steiner as ST
+from corpusloom.plans.tables import stored
 
 
 def test_packed_ranges_cover_and_fit():
@@ -76,7 +78,7 @@ def test_activation(spark):
     seeds = spark.createDataFrame([(1, "a", 1.0), (1, "z", 0.4), (2, "q", 0.9)], "query_id long, key string, score double")
     near = [(1, "a", "s1", 0.9), (1, "b", "s1", 0.9), (1, "b", "s2", 0.7), (1, "c", "s2", 0.7), (1, "z", "s3", 1.0), (1, "y", "s3", 1.0), (1, "a", "s4", 0.3), (1, "d", "s4", 0.3)]
     sentences = spark.createDataFrame(near, "query_id long, key string, sentence_id string, score double")
-    got = {(r["query_id"], r["key"]): round(r["score"], 6) for r in M.activate(seeds, sentences).collect()}
+    got = {(r["query_id"], r["key"]): round(r["score"], 6) for r in M.activate(seeds, sentences, checkpoint=stored).collect()}
     # b by the best sentence of a; c from b in the second round; z is too weak to fire, s4 too far
     assert got == {(1, "a"): 1.0, (1, "b"): 0.9, (1, "c"): 0.63, (1, "z"): 0.4, (2, "q"): 0.9}
 
@@ -87,7 +89,7 @@ def test_connected_terminals(spark):
     terminals = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (1, "x", 2), (1, "gone", 3)], "query_id long, node_id string, pos int")
     ranks = spark.createDataFrame([(1, "k", 9.0), (1, "c", 1.0), (1, "n", 0.0)], "query_id long, node_id string, x double")
     cost = spark.createDataFrame(both, "query_id long, a string, b string, cost double")
-    nodes = lambda grow: sorted(r["node_id"] for r in M.connect(terminals, cost, ranks, grow=grow).collect())
+    nodes = lambda grow: sorted(r["node_id"] for r in ST.connect(terminals, cost, ranks, grow=grow, checkpoint=stored).collect())
     assert nodes(0) == ["a", "b", "m", "x"]
     assert nodes(1) == ["a", "b", "c", "m", "x"]
     assert nodes(9) == ["a", "b", "c", "k", "m", "x"]
@@ -163,7 +165,7 @@ def test_stage_timer(spark, tmp_path):
 def test_length_sample_moves_on_where_a_place_is_taken(spark):
     rows = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(23)], "pos long, text string")
     for size in (0, 1, 2, 5, 22, 23, 40):
-        got = S.by_length(rows, size).count()
+        got = S.by_length(rows, size, checkpoint=stored).count()
         assert got == min(size, 23)
 
 
