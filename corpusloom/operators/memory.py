@@ -41,9 +41,11 @@ def passage_weights(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def sentence_bridges(mentions: DataFrame, chunks: DataFrame, *, least: int = 1) -> DataFrame:
     """key, chunk_id, sentence_no, sentence: the sentences of a chunk that hold an entity of it, without case."""
-    rows = chunks.select("chunk_id", F.posexplode(T.split_sentences(F.col("content"), least)).alias("sentence_no", "sentence"))
-    rows = rows.join(mentions, "chunk_id").where(F.contains(F.lower("sentence"), F.lower("name")))
-    return rows.select("key", "chunk_id", "sentence_no", "sentence")
+    own = mentions.groupBy("chunk_id").agg(F.collect_list(F.struct("key", F.lower("name").alias("name"))).alias("names"))
+    rows = chunks.select("chunk_id", "content").join(own, "chunk_id")
+    rows = rows.select("chunk_id", "names", F.posexplode(T.split_sentences(F.col("content"), least)).alias("sentence_no", "sentence"))
+    inside = rows.withColumn("body", F.lower("sentence")).withColumn("names", F.filter("names", lambda n: F.contains("body", n["name"])))
+    return inside.select(F.explode("names.key").alias("key"), "chunk_id", "sentence_no", "sentence")
 
 
 def adjacent_passages(chunks: DataFrame) -> DataFrame:

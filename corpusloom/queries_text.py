@@ -266,11 +266,11 @@ def fuzzy_links(spark, d):
     return R.fuzzy_link(p, wanted).select("wanted", "name")
 
 
-@query(f"with {B.MENTIONS}, e as (select entity_id, min(name) nm from m group by entity_id having count(*) > 20) select entity_id, chunk_id, round(ln(1 + (len(content) - len(replace(lower(content), lower(nm), ''))) // len(nm)), 9) bonus from e join c on contains(lower(content), lower(nm))")
+@query(f"with {B.MENTIONS}, e as (select entity_id, min(name) nm from m group by entity_id) select entity_id, chunk_id, round(ln(1 + (len(content) - len(replace(lower(content), lower(nm), ''))) // len(nm)), 9) bonus from e join c on contains(lower(content), lower(nm))")
 def occurrence_bonus(spark, d):
-    n = B.named(spark, d)
-    often = G.mentions(n).groupBy("entity_id").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("k")).where("k > 20")
-    return R.occurrence_bonus(often, n).select("entity_id", "chunk_id", F.round("bonus", 9).alias("bonus"))
+    n = stored(B.named(spark, d))
+    names = G.mentions(n).groupBy("entity_id").agg(F.min("name").alias("name"))
+    return R.occurrence_bonus(names, n).select("entity_id", "chunk_id", F.round("bonus", 9).alias("bonus"))
 
 
 @query("with f as (select user_id query_id, event_id % 30 id, min(event_id) pos from events group by all) select query_id, id, row_number() over (partition by query_id order by pos) as rank from f qualify rank <= 5")
