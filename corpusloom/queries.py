@@ -17,6 +17,7 @@ from corpusloom.operators import documents as D
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import graphs as G
 from corpusloom.operators import paths as P
+from corpusloom.operators import push as U
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import structure as S
 from corpusloom.plans import base as B
@@ -542,9 +543,14 @@ def personalized_pagerank(spark, d):
 
 @query()
 def converged_pagerank(spark, d):
-    """From a uniform start until the ranks move less than 1e-8 in sum, at most 100 rounds."""
+    """The ranks themselves, within 1e-8 in sum, of all nodes; nodes that no seed reaches have none."""
     named = stored(B.whole_named(spark, d))
-    return _pagerank(*_graph(spark, d, lambda *_: named), rounds=100, tolerance=1e-8, uniform_start=True)
+    nodes, edges = _graph(spark, d, lambda *_: named)
+    nodes = stored(nodes.select("node_id"))
+    seeds = nodes.where(F.col("node_id").endswith("_c00000")).withColumn("query_id", F.lit(0))
+    restart = seeds.join(F.broadcast(seeds.agg(F.count(F.lit(1)).alias("n")))).select("query_id", "node_id", (1.0 / F.col("n")).alias("r"))
+    x = U.forward_push(stored(P.adjacency(edges)), restart, checkpoint=stored)
+    return nodes.join(x, "node_id", "left").select("node_id", F.round(F.coalesce("x", F.lit(0.0)), 12).alias("x"))
 
 
 @query(

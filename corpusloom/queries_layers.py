@@ -173,8 +173,8 @@ def graph_subset(spark, d):
 
 
 @query(
-    f"""with {B.CHUNKS}, hy as (select chunk_id id, chunk_index, content from c where chunk_index < 2), {_BM25.replace(' dl from c)', ' dl from c where chunk_index < 2)')},
-ve as (select h.id, list_transform(embedding, lambda x: x::double) x from hy h join embeddings on vec_id = cast(regexp_extract(h.id, '^(\\d+)_c', 1) as bigint) % 500 where chunk_index = 0),
+    f"""with {B.CHUNKS}, {_BM25},
+ve as (select chunk_id id, list_transform(embedding, lambda x: x::double) x from c join embeddings on vec_id = (doc_id * 7 + chunk_index) % 500),
 qe as (select item_id query_id, list_transform(embedding, lambda x: x::double) x from benchmark join embeddings on vec_id = item_id),
 de as (select query_id, id, row_number() over (partition by query_id order by round(list_cosine_similarity(qe.x, ve.x), 9) desc, id) as rank from qe cross join ve qualify rank <= 10),
 u as (select query_id, id, rank, 0 no from b where rank <= 10 union all select query_id, id, rank, 1 from de), fu as (select query_id, id, sum(1.0 / (60 + rank)) score, min(no * 1000 + rank) o from u group by all)
@@ -183,9 +183,9 @@ select query_id, id, round(score, 9) score, row_number() over (partition by quer
 def hybrid_search(spark, d):
     from corpusloom.operators import retrieval as R
 
-    c = stored(B.chunks(spark, d).where("chunk_index < 2").select(F.col("chunk_id").alias("id"), F.col("content").alias("text"), "doc_id", "chunk_index"))
+    c = stored(B.chunks(spark, d).select(F.col("chunk_id").alias("id"), F.col("content").alias("text"), "doc_id", "chunk_index"))
     e = B.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    vectors = c.where("chunk_index = 0").join(e, F.expr("doc_id % 500 = vec_id")).select("id", "vector")
+    vectors = c.join(e, F.expr("(doc_id * 7 + chunk_index) % 500 = vec_id")).select("id", "vector")
     asked = _questions(spark, d).join(e, F.expr("query_id = vec_id")).select("query_id", "text", "vector")
     found = R.hybrid(c.select("id", "text"), vectors, asked, 5)
     return found.select("query_id", "id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))

@@ -203,16 +203,17 @@ def dangling_edges(spark, d):
     return E.dangling(nodes.where("node_id not like '%_c00000'"), edges)
 
 
-@query("with x as (select user_id, event_id, event_id * 7 % 50 line_no, lag(event_id * 7 % 50) over (partition by user_id order by event_id) b from events where event_id % 40 < 3) select distinct user_id || '' as key, 'line numbers fall' issue from x where line_no <= b")
+@query("with x as (select user_id, event_id, event_id * 7 % 50 line_no, lag(event_id * 7 % 50) over (partition by user_id order by event_id) b from events) select distinct user_id || '' as key, 'line numbers fall' issue from x where line_no <= b")
 def falling_lines(spark, d):
-    e = B.table(spark, d, "events").where("event_id % 40 < 3")
+    e = B.table(spark, d, "events")
     return E.line_order(e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), (F.col("event_id") * 7 % 50).alias("line_no")))
 
 
-@query(f"{_UNIFIED}, sq as (select distinct doc_id query_id from c), sc as (select query_id, node_id from sq cross join nodes where query_id < 3) select query_id, node_id from sc")
+@query(f"{_UNIFIED}, sq as (select distinct doc_id query_id from c), sc as (select query_id, node_id from sq join benchmark on item_id = query_id cross join nodes) select query_id, node_id from sc")
 def scene_nodes(spark, d):
     nodes, edges = _graph(spark, d)
-    seeds = B.table(spark, d, "documents").where("doc_id < 3").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("chunk:"), F.col("doc_id").cast("string"), F.lit("_c00000")).alias("node_id"))
+    asked = _questions(spark, d).select("query_id")  # a question starts from the first chunk of the document of its number
+    seeds = asked.select("query_id", F.concat(F.lit("chunk:"), F.col("query_id").cast("string"), F.lit("_c00000")).alias("node_id"))
     seeds = seeds.join(nodes.select("node_id"), "node_id", "left_semi")
     return P.scene_nodes(nodes, edges.select("source", "target", "edge_type"), seeds.select("query_id", "node_id"), scene="text", checkpoint=stored)
 
@@ -241,11 +242,11 @@ _TERMS3 = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9_]+|[一-鿿]{{2,}
 
 
 @query(
-    f"""with t as (select item_id query_id, unnest({_TERMS3.format('text')}) term from benchmark), p as (select t.query_id, 'p' || p_partkey id, sum((len(p_name) - len(replace(lower(p_name), term, ''))) // len(term)) score from t cross join part where p_partkey < 300 group by all)
+    f"""with t as (select item_id query_id, unnest({_TERMS3.format('text')}) term from benchmark), p as (select t.query_id, 'p' || p_partkey id, sum((len(p_name) - len(replace(lower(p_name), term, ''))) // len(term)) score from t cross join part group by all)
 select query_id, id, score::bigint score from p where score > 0"""
 )
 def keyword_scores(spark, d):
-    docs = B.table(spark, d, "part").where("p_partkey < 300").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("text"))
+    docs = B.table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("text"))
     return R.keyword_scores(docs, _questions(spark, d))
 
 
