@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import blockmax as X
 from corpusloom.operators import graphs as G
 from corpusloom.operators import push as U
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import search as S
 from corpusloom.plans import base as B
-from corpusloom.plans.tables import stored
+from corpusloom.plans.tables import run_folder, stored
 from corpusloom.queries import _BM25, _questions, query
 from corpusloom.queries_search import _field_sql
 from corpusloom.sources import index as S_index
@@ -155,3 +158,12 @@ def online_suggestions(spark, d):
     corpus = _Corpus(spark, d)
     found = U.suggest(corpus.nodes, corpus.edges, *corpus.seeds(corpus.hits(_questions(spark, d))), _K, checkpoint=stored, tolerance=_TOLERANCE)
     return found.select("scene", "query_id", "id", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"with {B.CHUNKS}, {_BM25} select query_id, id, rank, round(score, 6) score from b")
+def indexed_bm25(spark, d):
+    """BM25 of all questions over an index of all chunks, which is written once and opened where it matters."""
+    path = f"{run_folder(spark)}/index-{uuid.uuid4().hex}"
+    X.write(B.chunks(spark, d).select(F.col("chunk_id").alias("id"), F.col("content").alias("text")), path)
+    found, _ = X.search(X.read(spark, path), _questions(spark, d), 10, checkpoint=stored)
+    return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
