@@ -3,11 +3,12 @@
 Vectors are lifted so that the largest inner product is the nearest point (an extra coordinate makes
 all lengths equal), projected to ``DIMS`` directions, shifted and numbered along a Hilbert curve, once
 per curve with directions orthogonal to the other curves' and another shift.  Each curve's keys are cut at
-their quantiles into segments, and neighbouring segments are a task of bounded size.  A query is compared
-with the segments of a window around its own on every curve; the windows' best are merged and ranked by
-exact inner product.
+their quantiles into segments, and neighbouring segments are a task.  A query is compared with the segments of a window
+around its own on every curve; the windows' best are merged and ranked by exact inner product.  Both sides of a
+comparison are bounded: where more than about ``task_queries`` queries reach a task, they are dealt to several groups by
+a hash, and its vectors go to each of them.
 
-The window is a fraction of the curve (and at least ``least`` rows).  On vectors without structure
+The window is a fraction of the curve (and as many rows as a query asks for).  On vectors without structure
 (independent directions, inner products near zero) no projection keeps neighbours close, so the
 fraction must be large to reach a recall of 0.9; on clustered vectors a far smaller one does.  The fraction
 keeps recall alike at every number of vectors.
@@ -37,13 +38,13 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import table
 
 CURVES = 5
-FRACTION = 0.28
-LEAST = 200
+FRACTION = 0.30
 DIMS, BITS = 6, 8
 TIE_BITS = 14
-#: Segments of a curve, at least; rows of a task, about; rows dealt at once; bytes merged at once.
+#: Segments of a curve, at least; rows and queries of a group, about; rows dealt at once; bytes merged at once.
 SEGMENTS = 64
 TASK_ROWS = 1 << 16
+TASK_QUERIES = 1 << 14
 DEAL_ROWS = 1 << 15
 SHARE_BYTES = 1 << 25
 
@@ -147,7 +148,7 @@ _FOUND = pa.schema([("mark", pa.int64()), ("ids", pa.binary()), ("scores", pa.bi
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, *, k: int = 20, curves: int = CURVES, fraction: float = FRACTION, least: int = LEAST, task_rows: int = TASK_ROWS
+    vectors: DataFrame, is_query: Column, *, k: int = 20, curves: int = CURVES, fraction: float = FRACTION, task_rows: int = TASK_ROWS, task_queries: int = TASK_QUERIES
 ) -> DataFrame:
     """query_id, rank, vec_id, score.  vectors: vec_id, embedding; is_query is evaluated on them."""
     spark = vectors.sparkSession
@@ -167,9 +168,11 @@ def nearest(
     model = Curves(shape["d"], shape["longest"], curves)
     m = shape["m"]
     n_seg = max(SEGMENTS, -(-m // task_rows))
-    wide = min(n_seg, -(-max(math.ceil(fraction * m), least) * n_seg // m) + 1)
+    wide = min(n_seg, -(-max(math.ceil(fraction * m), k + 1) * n_seg // m) + 1)
     per = max(1, min(wide // 2, task_rows * n_seg // m))  # segments in a task
     n_task = -(-n_seg // per)
+    reach = min(n_task, (wide - 1) // per + 2)  # tasks of a query on a curve, at most
+    blocks = max(1, -(-shape["q"] * min(n_seg, wide + per) // (n_seg * task_queries)))
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,9 +202,12 @@ def nearest(
                     first, last = seg // per, (seg + wide - 1) // per
                 for t in range(int(first.min(initial=n_task)), int(last.max(initial=-1)) + 1):
                     mine = np.flatnonzero((first <= t) & (t <= last))
-                    if len(mine):
-                        r = rows[mine]
-                        out.append((c * n_task + t, kind, seg[mine].astype(np.int32).tobytes(), name[r].tobytes(), x[r].astype(width).tobytes()))
+                    block = marks[rows[mine]] % blocks if kind else None  # vectors go to all blocks of queries
+                    for b in range(blocks):
+                        part = mine if block is None else mine[block == b]
+                        if len(part):
+                            r = rows[part]
+                            out.append(((c * n_task + t) * blocks + b, kind, seg[part].astype(np.int32).tobytes(), name[r].tobytes(), x[r].astype(width).tobytes()))
         columns = zip(*out, strict=True) if out else [[]] * len(_PACKED)
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
 
@@ -216,7 +222,7 @@ def nearest(
             yield dealt(*(np.concatenate(c) for c in zip(*gathered, strict=True)))
 
     def compare(t: pa.Table) -> pa.Table:
-        base = (t["task"][0].as_py() % n_task) * per
+        base = (t["task"][0].as_py() // blocks % n_task) * per
 
         def side(kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             part = t.filter(pa.array(t["kind"].to_numpy() == kind))
@@ -274,7 +280,7 @@ def nearest(
 
     packed = clean.mapInArrow(deal, "task long, kind int, seg binary, ids binary, vectors binary")
     found = packed.groupBy("task").applyInArrow(compare, "mark long, ids binary, scores binary")
-    shares = max(8, shape["q"] * 48 * (k + 1) * curves // SHARE_BYTES)
+    shares = max(8, shape["q"] * 48 * (k + 1) * curves * reach // SHARE_BYTES)
     found = found.withColumn("share", F.pmod(F.xxhash64("mark"), F.lit(shares)))
     best = found.groupBy("share").applyInArrow(merge, "mark long, ids array<long>, scores array<double>")
     asked = clean.where("ask").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("mark").alias("mark"))

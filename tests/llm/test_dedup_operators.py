@@ -174,6 +174,9 @@ def test_neighbours(spark):
         assert mine["score"].tolist() == [np.einsum("d,d->", y[q], y[v]) for v in mine["vec_id"]]
         hits += len(set(best) & set(mine["vec_id"]))
     assert hits / (75 * 20) >= 0.9
+    # groups of few queries find the same, also where many stand in one segment
+    every = lambda **how: sorted(map(tuple, hilbert.nearest(df.where("vec_id < 600"), F.col("vec_id") % 3 == 0, **how).collect()))
+    assert every(task_rows=128, task_queries=5) == every(task_rows=128)
     few = hilbert.nearest(df.where("vec_id < 5 or vec_id >= 2000"), F.col("vec_id") == 0).toPandas()
     assert sorted(few["vec_id"]) == [1, 2, 3, 4]
     assert hilbert.nearest(df.limit(0), F.lit(True)).count() == 0
