@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as TY
 
 from corpusloom.functions import text as T
 
@@ -91,42 +93,78 @@ def break_even(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("break_even", F.when(saved > 0, F.ceil(need)))
 
 
-def _resamples(values: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    return np.concatenate([values[rng.integers(0, len(values), (min(1000, n_boot - i), len(values)))].mean(axis=1) for i in range(0, n_boot, 1000)])
+#: Resamples whose sums travel as one row.
+_CHUNK = 500
 
 
-def bootstrap(values: DataFrame, by: str, *, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 20240101) -> DataFrame:
-    """Mean and percentile interval per group; no values give zeros, one value a point."""
+def _resampled(values: DataFrame, by: str, n_boot: int, seed: int) -> DataFrame:
+    """by, n, mean, means: the values' number, their mean, and the sorted means of all resamples.
+
+    Every value comes into every resample as often as a Poisson number of mean one says, so resamples are sums, taken in
+    one pass: equal values of a group are one row with a count, whose number is drawn at once; a task adds up a row of sums per
+    group; tasks' sums meet per group and chunk of resamples.  No task holds a group's values.  Numbers are seeded by group and
+    value, so reruns agree.  A resample without any value has the group's mean.
+    """
+    rows = values.select(by, F.col("value").cast("double").alias("value"))
+    counted = rows.where(F.col("value").isNotNull()).groupBy(by, "value").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.withColumn("seed", F.xxhash64(by, "value", F.lit(seed)))
+    chunks = -(-n_boot // _CHUNK)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def flush() -> pa.RecordBatch:
+            keys = pa.array([k for k in held for _ in range(chunks)], kind)
+            parts = [[x[i * _CHUNK : (i + 1) * _CHUNK].tobytes() for x in two] + [i] for two in held.values() for i in range(chunks)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([keys, pa.array([p[2] for p in parts], pa.int64()), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], names=[by, "chunk", "w", "s"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for key, value, n, start in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if key not in held:
+                    if len(held) >= 128:
+                        yield flush()
+                    held[key] = np.zeros(n_boot), np.zeros(n_boot)
+                drawn = np.random.Generator(np.random.PCG64(start % (1 << 64))).poisson(n, n_boot)
+                held[key][0][:] += drawn
+                held[key][1][:] += drawn * value
+        if held:
+            yield flush()
+
+    def mean(t: pa.Table) -> pa.Table:
+        parts = sorted(zip(t["w"].to_pylist(), t["s"].to_pylist(), strict=True))  # the same sum in every run
+        w, s = (sum(np.frombuffer(p[i]) for p in parts) for i in (0, 1))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            means = pa.array(s / w, mask=w == 0)
+        return pa.Table.from_arrays([t[by].combine_chunks()[:1], pa.ListArray.from_arrays(pa.array([0, len(w)], pa.int32()), means)], [by, "part"])
+
+    own = values.schema[by]
+    sums = counted.mapInArrow(add, TY.StructType([own, TY.StructField("chunk", TY.LongType()), TY.StructField("w", TY.BinaryType()), TY.StructField("s", TY.BinaryType())]))
+    parts = sums.groupBy(by, "chunk").applyInArrow(mean, TY.StructType([own, TY.StructField("part", TY.ArrayType(TY.DoubleType()))]))
+    plain = rows.groupBy(by).agg(F.count("value").alias("n"), F.sum("value").alias("sum"))
+    both = plain.unionByName(parts, allowMissingColumns=True)
+    both = both.groupBy(by).agg(F.max("n").alias("n"), F.coalesce(F.max("sum") / F.nullif(F.max("n"), F.lit(0)), F.lit(0.0)).alias("mean"), F.flatten(F.collect_list("part")).alias("means"))
+    return both.withColumn("means", F.array_sort(F.transform("means", lambda m: F.coalesce(m, F.col("mean")))))
+
+
+def _edges(n_boot: int, alpha: float) -> tuple[Column, Column]:
+    low, high = max(1, math.ceil(n_boot * alpha / 2)), min(n_boot, int(n_boot * (1 - alpha / 2)))
+    return tuple(F.coalesce(F.try_element_at("means", F.lit(i)), F.lit(0.0)) for i in (low, high))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(pdf["value"].dropna().to_numpy(dtype=float))
-        if not len(v):
-            lo = hi = m = 0.0
-        else:
-            s = np.sort(_resamples(v, n_boot, seed)) if len(v) > 1 else np.full(n_boot, v[0])
-            lo, hi, m = s[max(0, int(np.ceil(n_boot * alpha / 2)) - 1)], s[int(n_boot * (1 - alpha / 2)) - 1], v.mean()
-        return pd.DataFrame([(pdf[by].iloc[0], len(v), m, lo, hi)], columns=[by, "n", "mean", "low", "high"])
 
-    kind = values.schema[by].dataType.simpleString()
-    return values.select(by, F.col("value").cast("double").alias("value")).groupBy(by).applyInPandas(run, f"{by} {kind}, n long, mean double, low double, high double")
+def bootstrap(values: DataFrame, by: str, *, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 20240101) -> DataFrame:
+    """Mean and percentile interval per group; no values give zeros, one value a point."""
+    low, high = _edges(n_boot, alpha)
+    return _resampled(values, by, n_boot, seed).select(by, "n", "mean", low.alias("low"), high.alias("high"))
 
 
 def paired_bootstrap(pairs: DataFrame, by: str, *, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 20240101) -> DataFrame:
-    """Difference of means with interval, and the share of resamples as far from it as it is from 0."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = (pdf["a"] - pdf["b"]).dropna().to_numpy(dtype=float)
-        diff, lo, hi, p = 0.0, 0.0, 0.0, 1.0
-        if len(d):
-            diff = d.mean()
-            s = np.sort(_resamples(d, n_boot, seed))
-            lo, hi = s[max(0, int(np.ceil(n_boot * alpha / 2)) - 1)], s[int(n_boot * (1 - alpha / 2)) - 1]
-            p = float((np.abs(s - diff) >= abs(diff)).mean())
-        return pd.DataFrame([(pdf[by].iloc[0], len(d), diff, lo, hi, p)], columns=[by, "n", "diff", "low", "high", "p"])
-
-    kind = pairs.schema[by].dataType.simpleString()
-    return pairs.groupBy(by).applyInPandas(run, f"{by} {kind}, n long, diff double, low double, high double, p double")
+    """Difference of means with interval, and the share of resamples as far from it as it is from 0 (1 without pairs)."""
+    low, high = _edges(n_boot, alpha)
+    far = F.size(F.filter("means", lambda m: F.abs(m - F.col("mean")) >= F.abs("mean"))) / F.lit(float(n_boot))
+    rows = _resampled(pairs.select(by, (F.col("a") - F.col("b")).alias("value")), by, n_boot, seed)
+    return rows.select(by, "n", F.col("mean").alias("diff"), low.alias("low"), high.alias("high"), F.when(F.col("n") > 0, far).otherwise(1.0).alias("p"))
 
 
 # --- validators: a violation is a row ------------------------------------------------------------

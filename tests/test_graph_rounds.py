@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from corpusloom.operators import evaluation as E
 from corpusloom.operators import memory as M
 from corpusloom.operators import push as U
 from corpusloom.operators import ranks as N
@@ -230,3 +231,24 @@ def test_no_plan_deals_all_rows_to_one_task(spark):
     plan = N.global_ranks(df, ["doc_id"], checkpoint=stored, part_rows=10)._jdf.queryExecution().executedPlan().toString()
     single = [line for line in plan.split("\n") if "SinglePartition" in line]
     assert len(single) <= 1 and "_tie" not in "".join(single)  # the window over one row per range
+
+
+def test_bootstrap_intervals_within_simulation_error(spark):
+    rng = np.random.default_rng(1)
+    groups = {"hot": rng.random(20_000).round(2), "scores": rng.normal(3, 2, 400), "few": np.array([0.0, 1.0, 1.0, 0.5, 2.0] * 8), None: rng.integers(0, 2, 300).astype(float)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("hot", None)]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(7)
+    got = {r["g"]: r for r in E.bootstrap(df, "g", n_boot=2000).collect()}
+    for k, v in groups.items():
+        means = np.sort([rng.choice(v, len(v)).mean() for _ in range(2000)])
+        spread = v.std() / len(v) ** 0.5
+        r = got[k]
+        assert (r["n"], r["mean"]) == (len(v), pytest.approx(v.mean()))
+        assert abs(r["low"] - means[49]) < 0.3 * spread and abs(r["high"] - means[1949]) < 0.3 * spread
+    again = {r["g"]: r for r in E.bootstrap(df.repartition(3), "g", n_boot=2000).collect()}
+    assert all(again[k]["low"] == pytest.approx(got[k]["low"], abs=1e-12) for k in groups)
+    assert E.bootstrap(df.limit(0), "g").count() == 0
+    pairs = [("a", float(x), float(y)) for x, y in zip(rng.normal(0, 1, 500), rng.normal(0, 1, 500), strict=True)] + [("b", float(x) + 1, float(x) + rng.normal(0, 0.1)) for x in rng.normal(0, 1, 200)]
+    r = {r["g"]: r for r in E.paired_bootstrap(spark.createDataFrame(pairs + [("c", None, 1.0)], "g string, a double, b double"), "g", n_boot=1000).collect()}
+    assert r["a"]["p"] > 0.01 and r["a"]["low"] < 0 < r["a"]["high"] + 0.1 and r["b"]["p"] == 0 and 0.95 < r["b"]["low"] < r["b"]["high"] < 1.05
+    assert (r["c"]["n"], r["c"]["diff"], r["c"]["p"]) == (0, 0, 1)

@@ -66,13 +66,13 @@ def test_pagerank_until_it_converges(spark, tmp_path):
     seeds = [n for n in nodes if n.endswith("_c00000")]
     r = {n: (n in seeds) / len(seeds) for n in nodes}
     x = {n: 1 / len(nodes) for n in nodes}
-    for _ in range(100):
+    for _ in range(400):
         lost = sum(x[n] for n in nodes if not out[n])
         new = {n: 0.15 * r[n] + 0.85 * lost * r[n] for n in nodes}
         for (a, b), v in w.items():
             new[b] += 0.85 * x[a] * v / out[a]
         moved, x = sum(abs(new[n] - x[n]) for n in nodes), new
-        if moved < 1e-8:
+        if moved < 1e-14:
             break
     got = {row["node_id"]: row["x"] for row in Q.queries()["converged_pagerank"](spark, d).collect()}
     assert got == pytest.approx(x, abs=1e-9)
