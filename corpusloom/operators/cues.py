@@ -6,9 +6,11 @@ locate, label, weight.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,26 +133,37 @@ def coverage(selected: DataFrame) -> DataFrame:
 def select_greedy(cues: DataFrame, budget: int) -> DataFrame:
     """Budgeted maximum coverage per (object, family): gain, then score, then id; no gain, no cue.
 
-    cues: object_id, family, cue_id, score, weight, units.  Each pick depends on those before, so a
-    group is a grouped map; it holds one object's cues of one family.
+    cues: object_id, family, cue_id, score, weight, units.  A gain only falls as cues are picked, so a gain worked out earlier is
+    a bound: cues wait in a heap by it, and only the one on top is worked out again.  It is picked if it still is the best.  Each
+    pick depends on those before, so a group, one object's cues of one family, is a grouped map.
     """
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest = sorted(pdf.to_dict("records"), key=lambda c: c["cue_id"])
-        covered: dict = {}
-        out = []
-        while rest and len(out) < budget:
-            gains = [sum(max(0.0, c["weight"] - covered.get(u, 0.0)) for u in c["units"]) for c in rest]
-            i = max(range(len(rest)), key=lambda k: (gains[k], rest[k]["score"], -k))
-            if gains[i] <= 0:
-                break
-            c = rest.pop(i)
-            out.append((c["object_id"], c["family"], c["cue_id"], len(out), gains[i]))
-            for u in c["units"]:
-                covered[u] = max(covered.get(u, 0.0), c["weight"])
-        return pd.DataFrame(out, columns=["object_id", "family", "cue_id", "pick", "gain"])
-
-    return cues.groupBy("object_id", "family").applyInPandas(pick, "object_id string, family string, cue_id string, pick int, gain double")
+    def pick(t: pa.Table) -> pa.Table:
+        numbers: dict = {}
+        units = [[numbers.setdefault(u, len(numbers)) for u in us or ()] for us in t["units"].to_pylist()]
+        ids, scores, weights = (t[c].to_pylist() for c in ("cue_id", "score", "weight"))
+        covered = [0.0] * len(numbers)
+        heap = [(-sum(max(0.0, w) for _ in us), -s, i, n) for n, (us, w, s, i) in enumerate(zip(units, weights, scores, ids, strict=True))]
+        heapq.heapify(heap)
+        out: list[tuple] = []
+        while heap and len(out) < budget:
+            _, score, cue, n = heap[0]
+            now = (-sum(max(0.0, weights[n] - covered[u]) for u in units[n]), score, cue, n)
+            if now[0] >= 0:
+                heapq.heappop(heap)  # nothing left to gain, now or later
+            elif now > min(heap[1:3], default=now):
+                heapq.heapreplace(heap, now)
+            else:
+                heapq.heappop(heap)
+                out.append((cue, len(out), -now[0]))
+                for u in units[n]:
+                    covered[u] = max(covered[u], weights[n])
+        of = lambda c: t[c].take(pa.array([0] * len(out), pa.int64())).combine_chunks()
+        picked = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.float64()))]
+        return pa.Table.from_arrays([of("object_id"), of("family"), *picked], names=["object_id", "family", "cue_id", "pick", "gain"])
+
+    rows = cues.select("object_id", "family", F.col("cue_id").cast("string").alias("cue_id"), F.col("score").cast("double").alias("score"), F.col("weight").cast("double").alias("weight"), "units")
+    return rows.groupBy("object_id", "family").applyInArrow(pick, "object_id string, family string, cue_id string, pick int, gain double")
 
 
 def chain(questions: DataFrame, *, read_budget: int = 10, max_hops: int = 3, cues_per_family: int = 3) -> DataFrame:

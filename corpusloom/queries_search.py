@@ -377,7 +377,10 @@ def _sheets(spark, d):
     return S.answer_sheets(q, a, ["a", "b"])
 
 
-@query(f"with {_SHEETS} select question_id, 'Question: ' || question_id || chr(10) || chr(10) || 'Answer: g' || chr(10) || chr(10) || '[a]' || chr(10) || coalesce(a, '(none)') || chr(10) || chr(10) || '[b]' || chr(10) || coalesce(b, '(none)') sheet, (a is null)::int + (b is null)::int missing from sh")
+_SHEET = "'Question: ' || question_id || chr(10) || chr(10) || 'Answer: g' || chr(10) || chr(10) || '[a]' || chr(10) || coalesce(a, '(none)') || chr(10) || chr(10) || '[b]' || chr(10) || coalesce(b, '(none)')"
+
+
+@query(f"with {_SHEETS} select question_id, {_SHEET} sheet, (a is null)::int + (b is null)::int missing from sh")
 def answer_sheets(spark, d):
     return _sheets(spark, d)
 

@@ -16,7 +16,7 @@ from corpusloom.operators import structure as S
 from corpusloom.plans import base as B
 from corpusloom.plans.tables import stored
 from corpusloom.queries import _graph, _questions, _UNIFIED, query
-from corpusloom.queries_search import _sheets
+from corpusloom.queries_search import _SHEET, _SHEETS, _sheets
 from corpusloom.sources import files as SF
 from corpusloom.sources import index as SI
 
@@ -69,26 +69,27 @@ def normalized_marks(spark, d):
 
 
 #: One line in each heading form, and lines that only look like one.
-_FORMS = ("# T {0}", "###   T {0}  ", "第{0}章、 T", "第{0}条 T", "第{0}节", "ARTICLE {0}. T", "Part {0}", "Section {0}.2: T", "{0}.1.3 title text", "{0} plain", "#no {0}", "chapters {0}")
+_FORMS = ("# {1}", "###   {1}  ", "第{0}章、 {1}", "第{0}条 {1}", "第{0}节", "ARTICLE {0}. {1}", "Part {0}", "Section {0}.2: {1}", "{0}.1.3 {1}", "{0} {1}", "#{1}", "chapters {0} {1}")
 _EXPECT = (1, 3, 1, 3, 1, 1, 1, 2, 3, None, None, None)
 
 
 @query(
     "select p_partkey, unnest(range(0, 12)) form, unnest([" + ", ".join("null" if x is None else f"{x}" for x in _EXPECT) + "]) as level, unnest(["
-    + ", ".join("'" + {0: "T {0}", 1: "T {0}"}.get(i, f).replace("{0}", "' || p_partkey || '") + "'" for i, f in enumerate(_FORMS)) + "]) title from part"
+    + ", ".join("'" + {0: "{1}", 1: "{1}"}.get(i, f).replace("{0}", "' || p_partkey || '").replace("{1}", "' || p_name || '") + "'" for i, f in enumerate(_FORMS)) + "]) title from part"
 )
 def heading_forms(spark, d):
-    k = F.col("p_partkey").cast("string")
-    lines = F.array(*[F.replace(F.lit(f), F.lit("{0}"), k) for f in _FORMS])
+    lines = F.array(*[F.replace(F.replace(F.lit(f), F.lit("{0}"), F.col("p_partkey").cast("string")), F.lit("{1}"), F.col("p_name")) for f in _FORMS])
     rows = B.table(spark, d, "part").select("p_partkey", F.posexplode(lines).alias("form", "line"))
     return rows.select("p_partkey", F.col("form").cast("long").alias("form"), T.heading_level(F.col("line")).alias("level"), T.heading_title(F.col("line")).alias("title"))
 
 
 @query(
-    """select p_partkey, 'Alpha B2 Corp|汉语检索|X&Y-Z' names_, 'OTHER' t1, 'CONCEPT' t2, 'ORG' t3 from part"""
+    """with n as (select p_partkey, array_to_string(list_transform(string_split(p_name, ' ')[1:2], lambda w: upper(w[1]) || w[2:]), ' ') as name from part)
+select p_partkey, name || ' B' || p_partkey || ' Corp|汉语检索|X&Y-Z' names_, 'OTHER' t1, 'CONCEPT' t2, 'ORG' t3 from n"""
 )
 def entity_phrases(spark, d):
-    text = F.concat(F.lit("the Alpha B2 Corp met 汉语检索 and Alpha B2 Corp, then X&Y-Z. "), F.col("p_partkey").cast("string"))
+    name = F.concat(F.initcap(F.array_join(F.slice(F.split("p_name", " "), 1, 2), " ")), F.lit(" B"), F.col("p_partkey").cast("string"), F.lit(" Corp"))
+    text = F.concat(F.lit("the "), name, F.lit(" met 汉语检索 and "), name, F.lit(", then X&Y-Z."))
     rows = G.extract(B.table(spark, d, "part").select("p_partkey", text.alias("content")))
     kinds = F.transform("names", T.guess_type)
     return rows.select("p_partkey", F.array_join("names", "|").alias("names_"), kinds[0].alias("t1"), kinds[1].alias("t2"), kinds[2].alias("t3"))
@@ -302,11 +303,15 @@ def cached_answers(spark, d):
 
 
 def scoring() -> object:
-    """Scores by the length of the prompt's first line."""
-    return lambda prompts: [f"<score>{len(p.split(chr(10))[0]) % 10}</score>" for p in prompts]
+    """Scores by the length of the answer and the dimension's first letter."""
 
+    def score(prompt: str) -> int:
+        return (len(prompt.split("\nAnswer: ", 1)[1]) + ord(prompt.split(" ")[2][0])) % 10
 
-@query("select conv_id question_id, (len('Judge the truth of an answer from 0 to 10 as <score>n</score>.') % 10) / 10 truth, (len('Judge the style of an answer from 0 to 10 as <score>n</score>.') % 10) / 10 as style from (select distinct conv_id from conversations)")
+    return lambda prompts: [f"<score>{score(p)}</score>" for p in prompts]
+
+
+@query(f"with {{SHEETS}}, j as (select question_id, {{SHEET}} sheet from sh) select question_id, ((len(sheet) + {ord('t')}) % 10) / 10 truth, ((len(sheet) + {ord('s')}) % 10) / 10 as style from j".replace("{SHEETS}", _SHEETS).replace("{SHEET}", _SHEET))
 def judged_answers(spark, d):
     rows = _sheets(spark, d).select("question_id", F.lit("q").alias("question"), F.lit("g").alias("gold"), F.col("sheet").alias("answer"))
     return L.judge(rows, ["truth", "style"], scoring)
@@ -327,10 +332,10 @@ def model_units(spark, d):
     return L.target_units(B.table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), answer.alias("answer")))
 
 
-@query(f"with {B.MENTIONS}, g as (select entity_id id, array_agg(chunk_id order by chunk_id) t from m group by entity_id) select id, case when len(t) >= 2 then 'DESCRIBE IN ONE SENTENCE:' else t[1] end description from g")
+@query(f"with {B.MENTIONS}, g as (select entity_id id, array_agg(chunk_id order by chunk_id) t from m group by entity_id) select id, case when len(t) >= 2 then upper(array_to_string(t[1:5], ' ')) else t[1] end description from g")
 def entity_descriptions(spark, d):
     m = G.mentions(B.named(spark, d)).groupBy(F.col("entity_id").alias("id")).agg(F.array_sort(F.collect_list("chunk_id")).alias("texts"))
-    return L.descriptions(m, shout)
+    return L.descriptions(m, lambda: lambda prompts: [" ".join(p.split("\n")[1:]).upper() for p in prompts])
 
 
 @query("select o_orderkey id, case when o_custkey % 5 >= 3 then least(64, 2 * (1 + o_orderkey % 60)) else 1 + o_orderkey % 60 end parts from orders")

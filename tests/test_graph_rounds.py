@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from corpusloom.operators import cues as C
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import memory as M
 from corpusloom.operators import push as U
@@ -252,3 +253,27 @@ def test_bootstrap_intervals_within_simulation_error(spark):
     r = {r["g"]: r for r in E.paired_bootstrap(spark.createDataFrame(pairs + [("c", None, 1.0)], "g string, a double, b double"), "g", n_boot=1000).collect()}
     assert r["a"]["p"] > 0.01 and r["a"]["low"] < 0 < r["a"]["high"] + 0.1 and r["b"]["p"] == 0 and 0.95 < r["b"]["low"] < r["b"]["high"] < 1.05
     assert (r["c"]["n"], r["c"]["diff"], r["c"]["p"]) == (0, 0, 1)
+
+
+def test_greedy_cues_as_if_every_gain_were_worked_out_each_time(spark):
+    rng = random.Random(6)
+    rows = [(f"o{i % 3}", "semantic", f"c{i:03}", rng.choice([0.1, 0.5]), rng.choice([0.25, 0.5, 1.0]), [f"u{rng.randrange(25)}" for _ in range(rng.randrange(6))]) for i in range(150)]
+    schema = "object_id string, family string, cue_id string, score double, weight double, units array<string>"
+    got = {}
+    for r in C.select_greedy(spark.createDataFrame(rows, schema), 12).collect():
+        got.setdefault(r["object_id"], {})[r["pick"]] = (r["cue_id"], r["gain"])
+    for o in ("o0", "o1", "o2"):
+        rest, covered, want = [r for r in rows if r[0] == o], {}, []
+        while rest and len(want) < 12:
+            gain = lambda r: sum(max(0.0, r[4] - covered.get(u, 0.0)) for u in r[5])  # noqa: E731, B023
+            best = min(rest, key=lambda r: (-gain(r), -r[3], r[2]))
+            if gain(best) <= 0:
+                break
+            want.append((best[2], gain(best)))
+            rest.remove(best)
+            for u in best[5]:
+                covered[u] = max(covered.get(u, 0.0), best[4])
+        assert [got[o][i] for i in range(len(got[o]))] == want
+    many = spark.range(100_000).selectExpr("'hot' object_id", "'f' family", "concat('c', id) cue_id", "id % 7 / 7.0 score", "1.0D weight", "array(id % 900, id % 1300) units")
+    assert C.select_greedy(many, 50).agg({"gain": "sum"}).first()[0] == 100  # two new units each
+    assert C.select_greedy(many.limit(0), 5).count() == 0
