@@ -212,7 +212,7 @@ def similar_above(spark, d):
        " select query_id, id, round(score, 6) score from s where round(score, 12) >= 0.45 qualify row_number() over (partition by query_id order by score desc, id) <= 50")
 def similar_pairs(spark, d):
     v = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return R.similar_pairs(v, 0.45, 50, block=256).select("query_id", "id", F.round("score", 6).alias("score"))
+    return R.similar_pairs(v, 0.45, 50, checkpoint=stored, block=256).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 # --- results and evidence -----------------------------------------------------------------------------------

@@ -63,7 +63,7 @@ def test_dense_search_and_pairs_against_numpy(spark, block):
     for q in range(11):
         order = np.lexsort((np.arange(70), -s[q]))[:5]
         assert [found[q, k + 1] for k in range(5)] == order.tolist()
-    pairs = {(r["query_id"], r["id"]) for r in R.similar_pairs(v, 0.5, 100, block=block * 4).collect()}
+    pairs = {(r["query_id"], r["id"]) for r in R.similar_pairs(v, 0.5, 100, checkpoint=stored, block=block * 4, pivots=5).collect()}
     assert pairs == {(i, j) for i, j in itertools.permutations(range(70), 2) if round(unit[i] @ unit[j], 12) >= 0.5}
 
 

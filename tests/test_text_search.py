@@ -113,3 +113,25 @@ def test_sentences_meet_their_own_names(spark):
     mentions = spark.createDataFrame([("c1", "ann", "Ann"), ("c1", "bo", "Bo"), ("c2", "bo", "Bo"), ("c3", "bo", "Bo")], "chunk_id string, key string, name string")
     got = {(r["chunk_id"], r["key"], r["sentence_no"]) for r in M.sentence_bridges(mentions, chunks).collect()}
     assert got == {("c1", "ann", 0), ("c1", "bo", 0), ("c1", "bo", 1), ("c1", "bo", 2)}
+
+
+def test_cosine_join_skips_blocks_that_cannot_reach(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 24))
+    x = np.concatenate([c + rng.normal(size=(60, 24)) * 0.25 for c in centres] + [np.repeat(centres[:1], 300, axis=0)])  # one hot vector
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(5000, [0.0] * 24), (5001, None), (5002, [None] * 24), (5003, [])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = unit @ unit.T
+    for cap, block in ((100, 50), (1000, 128)):
+        got = R.similar_pairs(df, 0.8, cap, checkpoint=stored, block=block, pivots=20).toPandas()
+        for q in range(0, len(x), 37):
+            want = [i for i in np.lexsort((np.arange(len(x)), -np.round(score[q], 9))) if i != q and round(score[q, i], 12) >= 0.8][:cap]
+            mine = got[got["query_id"] == q]
+            assert len(mine) == len(want) and np.allclose(np.sort(mine["score"]), np.sort(score[q, want]))
+            if len(want) < cap:
+                assert set(mine["id"]) == set(want)
+    packs, pivots = R.pivot_blocks(df, checkpoint=stored, block=50, pivots=20)
+    n = packs.count()
+    assert R.reachable_blocks(packs, pivots, 0.8).count() < n * (n + 1) / 4  # over half of all pairs of blocks are never formed
+    assert R.similar_pairs(df.limit(0), 0.8, 5, checkpoint=stored).count() == 0
