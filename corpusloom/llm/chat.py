@@ -93,7 +93,7 @@ def _header(block: Column) -> Column:
 
 
 def parsed(formatted: Column) -> Column:
-    """Turns read back from the formatted text: array of struct(role, text, raw_text)."""
+    """Turns read back from the formatted text: array of struct(role, text, raw_text, head), head being the characters before the text."""
     blocks = F.split(formatted, re.escape(END + "\n"))
     blocks = F.filter(
         F.slice(blocks, F.lit(1), F.greatest(F.size(blocks) - 1, F.lit(0))),
@@ -105,7 +105,10 @@ def parsed(formatted: Column) -> Column:
         role = _header(inner)
         raw = F.substr(inner, F.length(role) + 2)
         return F.struct(
-            unescaped(role).alias("role"), unescaped(raw).alias("text"), raw.alias("raw_text")
+            unescaped(role).alias("role"),
+            unescaped(raw).alias("text"),
+            raw.alias("raw_text"),
+            (F.char_length(role) + len(START) + 1).alias("head"),
         )
 
     return F.transform(blocks, turn)
@@ -146,13 +149,16 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     whole = lined.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     whole = whole.withColumn("formatted", F.array_join(F.transform("turns", lambda t: t["line"]), ""))
     whole = whole.withColumn("back", parsed(F.col("formatted")))
+    # role and place of a turn's text are those read back; only where its line begins comes from the lengths of the lines before
+    mask = F.zip_with("turns", "back", lambda t, b: F.struct(b["role"].alias("role"), t["at"].alias("at"), b["head"].alias("start"), (b["head"] + F.char_length(b["raw_text"])).alias("end")))
+    whole = whole.withColumn("mask", mask)
     spans = F.transform(
-        F.filter("turns", lambda t: t["role"] == "assistant"),
+        F.filter("mask", lambda t: t["role"] == "assistant"),
         lambda t: F.struct((t["at"] + t["start"]).alias("start"), (t["at"] + t["end"]).alias("end")),
     )
     # a span is cut from its line of the output, so that cutting takes one pass
     whole = whole.withColumn("lines", F.split("formatted", re.escape(END + "\n")))
-    cuts = F.zip_with("turns", F.slice("lines", F.lit(1), F.size("turns")), lambda t, line: F.struct(t.alias("t"), line.alias("line")))
+    cuts = F.zip_with("mask", F.slice("lines", F.lit(1), F.size("turns")), lambda t, line: F.struct(t.alias("t"), line.alias("line")))
     cuts = F.filter(cuts, lambda c: c["t"]["role"] == "assistant")
     loss = F.transform(cuts, lambda c: unescaped(F.substr(c["line"], c["t"]["start"] + 1, c["t"]["end"] - c["t"]["start"])))
     strip = lambda c: F.transform(c, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
@@ -187,7 +193,8 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The digests follow from the rows alone; the formatted length follows from the template: marks of
-#: 24 characters and one line feed for the header and the end, plus one per escape.
+#: 24 characters and one line feed for the header and the end, plus one per escape.  A turn without a control string needs no
+#: escape if its only backslash ends its text (nothing follows that it could escape).
 _RE2 = "|".join(re.escape(c) for c in CONTROLS)
 OP5_SQL = f"""
 with c as (
@@ -195,8 +202,10 @@ with c as (
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
   union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 m as (
-  select *, length(regexp_replace(r, '[^\\\\]', '', 'g')) + len(regexp_extract_all(r, '{_RE2}')) + length(regexp_replace(r, '[^\\n]', '', 'g'))
-    + length(regexp_replace(t, '[^\\\\]', '', 'g')) + len(regexp_extract_all(t, '{_RE2}')) as extra from c)
+  select *, case when not regexp_matches(r || chr(10) || t, '{_RE2}') and not regexp_matches(r, '[\\\\\\n]')
+      and length(regexp_replace(t, '[^\\\\]', '', 'g')) = case when right(t, 1) = chr(92) then 1 else 0 end then 0 else
+    length(regexp_replace(r, '[^\\\\]', '', 'g')) + len(regexp_extract_all(r, '{_RE2}')) + length(regexp_replace(r, '[^\\n]', '', 'g'))
+    + length(regexp_replace(t, '[^\\\\]', '', 'g')) + len(regexp_extract_all(t, '{_RE2}')) end as extra from c)
 select conv_id, count(*) n_turns,
   sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn nulls first, r, t)) turns_sha256,
   cast(coalesce(sum(length(t)) filter (where r = 'assistant'), 0) as bigint) loss_chars,

@@ -537,3 +537,20 @@ def test_resampling_counts_every_good_document(spark):
         out = resampling.resample(docs, labels, fraction=1.0, block_rows=block_rows)
         # target and raw are the same documents, so no document has any weight
         assert out.agg(F.max(F.abs("weight"))).first()[0] == 0
+
+
+def test_chat_query_equals_its_sql_on_odd_rows(spark, tmp_path):
+    """Backslashes at ends and inside, controls, line feeds in roles, nulls, long texts: the query and OP5_SQL agree."""
+    import duckdb
+
+    texts = ["a\\", "a\\\\", "\\", "a\\b", "</s>", "x<s>\\", "[INST", "a\n", None, "", "\\n\\", "<|im_end|", "é🙂\\", "w " * 200_000 + "\\"]
+    roles = ["user", "assistant", "a\nb", "r\\", None, "<s>"]
+    rows = [(i // 3, i % 3, roles[i % len(roles)], t) for i, t in enumerate(texts * 3)] + [(90, None, "assistant", "z\\")] * 2
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/d/conversations.parquet")
+    got = chat.op5_chat_formatting(spark, f"{tmp_path}/d").toPandas()
+    c = duckdb.connect()
+    c.sql(f"create view conversations as from '{tmp_path}/d/conversations.parquet/*.parquet'")
+    want = c.sql(chat.OP5_SQL).df()
+    assert got["round_trip"].all()
+    key = lambda df: sorted(tuple(int(v) if not isinstance(v, str) else v for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    assert key(got) == key(want)
