@@ -114,9 +114,11 @@ def target_units(rows: DataFrame) -> DataFrame:
     return first.select("question_id", "u.unit_no", "u.text", "normalized")
 
 
-def rounds(questions: DataFrame, search: Callable[[DataFrame], DataFrame], provider: Provider, *, most: int = 3, stored: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
-    """question_id, answer, rounds, n_evidence: agents that search and read until they answer.
+def rounds(questions: DataFrame, search: Callable[[DataFrame], DataFrame], provider: Provider, *, stored: Callable[[DataFrame], DataFrame], most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Agents that search and read until they answer: question_id, answer, rounds, n_evidence, and their trace.
 
+    The trace has a row per question and round: question_id, round, said, query (what was searched next, null at the
+    end), n_evidence (before the round).  ``stored`` keeps what models said, so no later action asks them again.
     A model sees the question and the evidence so far and says a search or an <answer>.  An answer before
     any evidence is dropped and the question itself is searched; no evidence at the end is NO_EVIDENCE.
     questions: question_id (string), text; search takes (question_id, query) and gives (question_id, chunk).
@@ -127,6 +129,7 @@ def rounds(questions: DataFrame, search: Callable[[DataFrame], DataFrame], provi
     spark = open_.sparkSession
     evidence = spark.createDataFrame([], "question_id string, chunk string")
     done = spark.createDataFrame([], "question_id string, answer string, rounds int")
+    trace = None
     for turn in range(1, most + 1):
         known = evidence.groupBy("question_id").agg(F.array_sort(F.collect_set("chunk")).alias("chunks"))
         state = open_.join(known, "question_id", "left")
@@ -138,12 +141,38 @@ def rounds(questions: DataFrame, search: Callable[[DataFrame], DataFrame], provi
         done = done.unionByName(said.where(ready).select("question_id", F.trim(F.when(answer != "", answer).otherwise(F.lit(NO_EVIDENCE))).alias("answer"), F.lit(turn).alias("rounds")))
         open_ = stored(said.where(~ready).select("question_id", "text"))
         wanted = F.when(last_search(F.coalesce("answer", F.lit(""))) != "", last_search(F.col("answer"))).otherwise(F.col("text"))
+        seen = F.coalesce(F.size("chunks"), F.lit(0)).alias("n_evidence")
+        step = said.select("question_id", F.lit(turn).alias("round"), F.col("answer").alias("said"), F.when(~ready & F.lit(turn < most), wanted).alias("query"), seen)
+        trace = step if trace is None else trace.unionByName(step)
         evidence = stored(evidence.unionByName(search(said.where(~ready).select("question_id", wanted.alias("query")))))
         if open_.isEmpty():
             break
     rest = open_.select("question_id", F.lit(NO_EVIDENCE).alias("answer"), F.lit(most).alias("rounds"))
     n = evidence.groupBy("question_id").agg(F.countDistinct("chunk").alias("n"))
-    return done.unionByName(rest).join(n, "question_id", "left").select("question_id", "answer", "rounds", F.coalesce("n", F.lit(0)).alias("n_evidence"))
+    answers = done.unionByName(rest).join(n, "question_id", "left").select("question_id", "answer", "rounds", F.coalesce("n", F.lit(0)).alias("n_evidence"))
+    return answers, trace
+
+
+def run_batch(
+    questions: DataFrame, search: Callable[[DataFrame], DataFrame], provider: Provider, folder: str, *, stored: Callable[[DataFrame], DataFrame], most: int = 3
+) -> DataFrame:
+    """The answers of all questions, kept in a folder with the traces; questions that have one there are not asked again.
+
+    A run writes its traces, then its answers, so that one that was cut off asks its questions once more and repeats no answer.
+    """
+    spark = questions.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/answers")
+    known = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    if known:
+        have = spark.read.parquet(f"{folder}/answers").select("question_id")
+        questions = questions.join(have, questions["question_id"].cast("string") == have["question_id"], "left_anti")
+    questions = stored(questions)
+    if not known or not questions.isEmpty():
+        answers, trace = rounds(questions, search, provider, most=most, stored=stored)
+        answers = stored(answers)
+        trace.write.mode("append").parquet(f"{folder}/traces")
+        answers.write.mode("append").parquet(f"{folder}/answers")
+    return spark.read.parquet(f"{folder}/answers")
 
 
 def answered(questions: DataFrame, evidence: DataFrame, provider: Provider, *, k: int = 5) -> DataFrame:

@@ -41,7 +41,7 @@ def write_jsonl(df: DataFrame, path: str) -> int:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """file_name, text of whole text and Markdown files."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file_name"), F.col("value").alias("text"))
 
 

@@ -14,6 +14,7 @@ from corpusloom.operators import retrieval as R
 from corpusloom.operators import search as S
 from corpusloom.operators import steiner as ST
 from corpusloom.plans.tables import stored
+from corpusloom.sources import files as SF
 
 
 def test_packed_ranges_cover_and_fit():
@@ -139,11 +140,49 @@ def test_agents_search_before_they_answer(spark):
         asked.extend(rows)
         return spark.createDataFrame([(i, "fact " + q) for i, q in rows if i != "3"], "question_id string, chunk string")
 
-    got = {r["question_id"]: (r["answer"], r["rounds"], r["n_evidence"]) for r in L.rounds(questions, search, agent, most=3).collect()}
+    got = {r["question_id"]: (r["answer"], r["rounds"], r["n_evidence"]) for r in L.rounds(questions, search, agent, most=3, stored=stored)[0].collect()}
     assert got == {"1": ("got it", 2, 1), "2": ("got it", 2, 1), "3": (L.NO_EVIDENCE, 3, 0)}
     assert ("1", "eager one") in asked and ("2", "find me") in asked  # an early answer searches the question
 
 
+def test_batches_keep_traces_and_go_on(spark, tmp_path):
+    asked = []
+
+    def search(wanted):
+        rows = [(r["question_id"], r["query"]) for r in wanted.collect()]
+        asked.extend(i for i, _ in rows)
+        return spark.createDataFrame([(i, "fact " + q) for i, q in rows if i != "3"], "question_id string, chunk string")
+
+    q = lambda *ids: spark.createDataFrame([(i, "eager" if i == 1 else "plain") for i in ids], "question_id long, text string")
+    first = L.run_batch(q(1, 3), search, agent, f"{tmp_path}/b", stored=stored)
+    assert {r["question_id"]: r["answer"] for r in first.collect()} == {"1": "got it", "3": L.NO_EVIDENCE}
+    asked.clear()
+    both = L.run_batch(q(1, 2, 3), search, agent, f"{tmp_path}/b", stored=stored)
+    assert {r["question_id"]: r["answer"] for r in both.collect()} == {"1": "got it", "2": "got it", "3": L.NO_EVIDENCE} and set(asked) == {"2"}
+    asked.clear()
+    assert L.run_batch(q(1, 2, 3), search, agent, f"{tmp_path}/b", stored=stored).count() == 3 and not asked
+    trace = {(r["question_id"], r["round"]): (r["said"], r["query"], r["n_evidence"]) for r in spark.read.parquet(f"{tmp_path}/b/traces").collect()}
+    assert trace["1", 1] == ("<answer>guess</answer>", "eager", 0) and trace["1", 2] == ("<think>t</think><answer> got it </answer>", None, 1)
+    assert trace["3", 3][1] is None and ("2", 2) in trace and len(trace) == 7
+    assert L.run_batch(q(1).limit(0), search, agent, f"{tmp_path}/none", stored=stored).count() == 0
+
+
+def test_whole_texts_from_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo\n")
+    (tmp_path / "b.md").write_text("# é\n\n")
+    (tmp_path / "c.txt").write_text("")
+    got = {r["file_name"]: r["text"] for r in SF.read_texts(spark, str(tmp_path)).collect()}
+    assert got["a.txt"] == "one\ntwo\n" and got["b.md"] == "# é\n\n"
+
+
+def test_pairs_with_both_directions_resolve_to_one_edge(spark):
+    nodes = spark.createDataFrame([("x", "chunk")], "node_id string, node_type string")
+    edges = spark.createDataFrame([("b", "a", "e1"), ("a", "b", "e1"), ("a", "b", "e2")], "source string, target string, edge_id string")
+    hits = spark.createDataFrame([(1, None, None, None, "b", "a", None), (2, None, "e1", None, None, None, None), (3, "x", None, None, None, None, None)], "k int, node_id string, id string, chunk_id string, source string, target string, edge_id string")
+    got = sorted((r["k"], r["object_id"], r["object_type"]) for r in S.resolved(hits, nodes, edges).collect())
+    assert got == [(1, "a->b", "relation"), (2, "a->b", "relation"), (3, "x", "chunk")]
+
+
 def test_one_round_answers(spark):
     questions = spark.createDataFrame([(1, "q"), (2, "closed")], "question_id long, text string")
     evidence = spark.createDataFrame([(1, "c2", 2, "two"), (1, "c1", 1, "one"), (1, "c9", 9, "late")], "query_id long, id string, rank int, content string")
