@@ -15,8 +15,10 @@
 
 Only rows per source, per shard and per document exist; blocks are numbers inside a document's row.
 
-Defined results: null text has size 0 and takes 0; null source is a source of its own, last; equal
-doc_ids are ordered by size too, so reruns agree; no rows give no rows; extra columns are ignored
+Texts and other kept columns stay out of all this and rejoin their rows by a row number at the end.
+
+Defined results: null text has size 0 and takes 0; null source is a source of its own, last; rows with null doc_id
+are dealt to shards by their text; equal doc_ids are ordered by size too, so reruns agree; no rows give no rows; extra columns are ignored
 unless named in ``keep``, which come back as kept_*.
 """
 
@@ -103,15 +105,17 @@ def mix(
     """
     kept = [F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
     rows = stored(
-        docs.select(
+        docs.withColumn("_row", F.monotonically_increasing_id()).select(
             "doc_id",
             F.col("source").isNull().alias("_null"),
             F.coalesce("source", F.lit("")).alias("_src"),
             n_words(F.col("text")).alias("size"),
-            hashed(F.lit(seed), F.col("doc_id")).alias("_hash"),
+            hashed(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))).alias("_hash"),
+            "_row",
             *kept,
         )
     )
+    whole, rows = rows, rows.drop(*[f"_keep_{i}" for i in range(len(keep))])  # what is kept rejoins its row at the end
     key = ["_null", "_src"]
     sources = rows.groupBy(*key).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
     sources = targets(sources, weights, cap)
@@ -146,16 +150,12 @@ def mix(
     )
     out = out.withColumn("_chosen", numbers).withColumn("spans", span)
     partial = F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)")
-    return out.select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("_full") * F.col("size") + partial).alias("taken"),
-        F.col("_full").alias("copies"),
-        "spans",
-        *[F.col(f"_keep_{i}").alias(f"kept_{c}") for i, c in enumerate(keep)],
-    )
+    out = out.withColumn("taken", F.col("_full") * F.col("size") + partial).withColumn("copies", F.col("_full"))
+    plain = ["doc_id", "size", "source_size", "target", "taken", "copies", "spans"]
+    if not keep:
+        return out.select(*plain)
+    texts = whole.select("_row", *[F.col(f"_keep_{i}").alias(f"kept_{c}") for i, c in enumerate(keep)])
+    return stored(out.select("_row", *plain)).join(texts, "_row").drop("_row")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +186,7 @@ def _hash_sql(*parts: str) -> str:
 OP7_SQL = f"""
 with rows_ as (
   select doc_id, source is null null_, coalesce(source, '') src_, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) size,
-    {_hash_sql(f"'{SEED}'", "coalesce(cast(doc_id as varchar), '')")} hash_ from documents),
+    {_hash_sql(f"'{SEED}'", "coalesce(cast(doc_id as varchar), md5(coalesce(text, '')))")} hash_ from documents),
 s0 as (select null_, src_, cast(sum(size) as bigint) source_size, count(*) docs_ from rows_ group by all),
 s1 as (select *, [{", ".join(f"{w}.0::double" for w in WEIGHTS)}][(row_number() over (order by null_, src_) - 1) % {len(WEIGHTS)} + 1] weight_,
   cast(source_size * {CAP} as double) cap_, cast(sum(source_size) over () as bigint) total_ from s0),
