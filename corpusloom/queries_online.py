@@ -20,7 +20,7 @@ from corpusloom.queries_search import _field_sql
 from corpusloom.sources import index as S_index
 
 _K = 5
-_TOLERANCE = 1e-8
+_TOLERANCE = 1e-6
 
 
 def _summaries(named: DataFrame) -> tuple[DataFrame, DataFrame]:
