@@ -546,11 +546,12 @@ def converged_pagerank(spark, d):
     """The ranks themselves, within 1e-8 in sum, of all nodes; nodes that no seed reaches have none."""
     named = stored(B.whole_named(spark, d))
     nodes, edges = _graph(spark, d, lambda *_: named)
-    nodes = stored(nodes.select("node_id"))
-    seeds = nodes.where(F.col("node_id").endswith("_c00000")).withColumn("query_id", F.lit(0))
+    nodes = stored(nodes.select("node_id", F.monotonically_increasing_id().alias("no")))
+    adj = stored(P.adjacency(U.numbered(edges, nodes, "source", "target")))
+    seeds = nodes.where(F.col("node_id").endswith("_c00000")).select(F.lit(0).alias("query_id"), F.col("no").alias("node_id"))
     restart = seeds.join(F.broadcast(seeds.agg(F.count(F.lit(1)).alias("n")))).select("query_id", "node_id", (1.0 / F.col("n")).alias("r"))
-    x = U.forward_push(stored(P.adjacency(edges)), restart, checkpoint=stored)
-    return nodes.join(x, "node_id", "left").select("node_id", F.round(F.coalesce("x", F.lit(0.0)), 12).alias("x"))
+    x = U.forward_push(adj, restart, checkpoint=stored).select(F.col("node_id").alias("no"), "x")
+    return nodes.join(x, "no", "left").select("node_id", F.round(F.coalesce("x", F.lit(0.0)), 12).alias("x"))
 
 
 @query(
