@@ -231,12 +231,40 @@ def neighbour_ranking(edges: DataFrame, ranks: DataFrame, *, k: int = 10) -> Dat
     return top_k(scored, k, by="node_id", order=[F.desc(F.round("score", 12)), "id"])
 
 
-def chunks_of_nodes(nodes: DataFrame, mentions: DataFrame, k: int) -> DataFrame:
-    """The k chunks that most of a query's nodes are linked with, ties by id.  A chunk node counts for itself."""
-    own = nodes.where(F.col("node_id").startswith("chunk:")).select("query_id", F.substring("node_id", 7, 2**31 - 1).alias("id"))
-    linked = nodes.join(mentions.select(F.col("key").alias("node_id"), F.col("chunk_id").alias("id")), "node_id").select("query_id", "id")
-    scored = own.unionByName(linked).groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("score"))
-    return top_k(scored, k)
+def chunks_of_nodes(nodes: DataFrame, mentions: DataFrame, k: int, *, checkpoint: Callable[[DataFrame], DataFrame], most: int = 8) -> DataFrame:
+    """The k chunks that most of a query's nodes are linked with, ties by id.  A chunk node counts for itself.
+
+    A node may be linked with any share of the chunks, so queries and chunks are not joined by node.  Of every set of nodes inside a query's
+    the k first chunks that have all of it are found once; a query's best are among those of its sets, since a chunk that is left out
+    has k before it with the same nodes.  Queries of more than ``most`` nodes, whose sets would be too many, are joined.
+    """
+    itself = F.when(F.col("node_id").startswith("chunk:"), F.array(F.col("node_id"), F.concat(F.lit("\0"), "node_id"))).otherwise(F.array("node_id"))
+    asked = checkpoint(nodes.select("query_id", F.explode(itself).alias("key")).distinct())
+    links = mentions.select("key", F.col("chunk_id").alias("id"))
+    links = links.unionByName(asked.where(F.col("key").startswith("\0")).select("key", F.substring("key", 8, 2**31 - 1).alias("id"))).distinct()
+    links = checkpoint(links.join(asked.select("key").distinct(), "key", "left_semi"))
+    known = checkpoint(links.select("key").distinct().withColumn("no", F.monotonically_increasing_id()))
+    sets = checkpoint(asked.join(known, "key").groupBy("query_id").agg(F.array_sort(F.collect_list("no")).alias("s")))
+    wide = sets.where(F.size("s") > most).select("query_id", F.explode("s").alias("no"))
+    held = checkpoint(links.join(known, "key").select("id", "no"))
+    joined = wide.join(held, "no").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("score"))
+    every = F.expr("transform(sequence(1, shiftleft(1, size(s)) - 1), m -> filter(s, (x, i) -> getbit(m, i) = 1))")
+    parts = sets.where(F.size("s") <= most).select("query_id", F.explode(every).alias("p"))
+    parts = checkpoint(parts.select("query_id", F.array_join(F.col("p").cast("array<string>"), ",").alias("set"), F.size("p").alias("n")))
+    wanted = checkpoint(parts.select("set", "n").distinct())
+    # sets grow by one node a round, in the order of numbers; rest: the chunk's nodes after the last one
+    rows = held.groupBy("id").agg(F.array_sort(F.collect_list("no")).alias("rest")).withColumn("set", F.lit(None).cast("string"))
+    found = None
+    for n in range(1, (parts.agg(F.max("n")).first()[0] or 0) + 1):
+        grown = rows.select("id", F.col("set").alias("_s"), "rest", F.posexplode("rest").alias("_at", "_no"))
+        grown = grown.select("id", F.concat_ws(",", "_s", F.col("_no").cast("string")).alias("set"), F.slice("rest", F.col("_at") + 2, F.size("rest")).alias("rest"))
+        rows = checkpoint(grown.join(wanted.where(F.col("n") == n).select("set"), "set", "left_semi"))
+        first = top_k(rows.select("set", "id"), k, by="set", order=["id"]).select("set", "id")
+        found = first if found is None else found.unionByName(first)
+    if found is None:
+        return top_k(joined, k)
+    scored = parts.join(checkpoint(found), "set").groupBy("query_id", "id").agg(F.max("n").cast("long").alias("score"))
+    return top_k(scored.unionByName(joined), k)
 
 
 def reasoning_paths(nodes: DataFrame, edges: DataFrame, ranks: DataFrame, k: int) -> DataFrame:
@@ -244,10 +272,11 @@ def reasoning_paths(nodes: DataFrame, edges: DataFrame, ranks: DataFrame, k: int
 
     edges: a, b (a < b), label.  Lines are ordered by the left end's rank, then the right end's, then names.
     """
-    x = ranks.select("query_id", "node_id", "x")
-    inside = edges.join(nodes.select("query_id", F.col("node_id").alias("a")), "a").join(nodes.select("query_id", F.col("node_id").alias("b")), ["query_id", "b"])
-    inside = inside.where(~F.col("a").startswith("chunk:") & ~F.col("b").startswith("chunk:"))
-    inside = inside.join(x.toDF("query_id", "a", "xa"), ["query_id", "a"], "left").join(x.toDF("query_id", "b", "xb"), ["query_id", "b"], "left")
+    own = nodes.select("query_id", "node_id").where(~F.col("node_id").startswith("chunk:"))
+    own = own.join(ranks.select("query_id", "node_id", "x"), ["query_id", "node_id"], "left")
+    # a query's own pairs look for edges: edges at one node are never formed for each query that has it
+    pairs = own.toDF("query_id", "a", "xa").join(own.toDF("query_id", "b", "xb"), "query_id").where("a < b")
+    inside = pairs.join(edges, ["a", "b"])
     zero = lambda c: F.desc(F.round(F.coalesce(c, F.lit(0.0)), 12))
     lines = top_k(inside.withColumn("id", F.concat_ws("|", "a", "b")), k, order=[zero("xa"), "a", zero("xb"), "b"])
     text = F.concat(F.lit("("), "a", F.lit(" [SEP] "), "label", F.lit(" [SEP] "), "b", F.lit(")"))
