@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import cues as C
 from corpusloom.operators import memory as M
+from corpusloom.operators import retrieval as R
 from corpusloom.plans.tables import stored
 
 
@@ -46,3 +47,16 @@ def test_reasoning_paths_look_edges_up_by_both_ends(spark):
     assert {r["query_id"]: r["facts"] for r in found.collect()} == {1: line("a", "l", "b") + "\n" + line("b", "o", "c"), 2: line("b", "o", "c") + "\n" + line("b", "m", "d")}
     joins = [x for x in str(found._jdf.queryExecution().optimizedPlan().toString()).split("\n") if "Join Inner" in x]
     assert any(re.search(r"\(a#\d+ = a#\d+\) AND \(b#\d+ = b#\d+\)", x) for x in joins)
+
+
+def test_keyword_scores_form_no_pair_that_scores_nothing(spark):
+    texts = {1: "Ann saw ann's ananas", 2: None, 3: "nothing", 4: "bob_1 bob bobob 图结构图结构"}
+    asked = {7: "ann an", 8: "bob bob", 9: "", 10: "图结构 zz", 11: None}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    queries = spark.createDataFrame(list(asked.items()), "query_id int, text string")
+    found = R.keyword_scores(docs, queries, block=2)
+    words = lambda q: re.findall(r"[a-z0-9_]+|[一-鿿]{2,}", (q or "").lower())
+    want = {(q, i, sum((t or "").lower().count(w) for w in words(x) if len(w) >= 2)) for q, x in asked.items() for i, t in texts.items()}
+    assert {tuple(r) for r in found.collect()} == {w for w in want if w[2]}
+    assert found.schema.simpleString() == "struct<query_id:int,id:bigint,score:bigint>"
+    assert "Join" not in str(found._jdf.queryExecution().optimizedPlan().toString())
