@@ -8,8 +8,13 @@ are scored; of the others only those whose bound reaches the k-th score found so
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,26 +37,62 @@ class Index:
     folders: int
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings (token, block, ids, tfs, dls) of the blocks of a task; a row without token holds a block's documents and words."""
+    names = ["token", "block", "ids", "tfs", "dls"]
+
+    def block(rows: pa.Table, number: int) -> pa.RecordBatch:
+        rows = rows.take(pa.compute.sort_indices(rows["id"])).combine_chunks()
+        ids, lists = rows["id"].combine_chunks(), rows["w"].combine_chunks()
+        dl = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int32)
+        coded = lists.flatten().dictionary_encode()
+        cell, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(dl) + np.repeat(np.arange(len(dl)), dl), return_counts=True)
+        which, own = np.divmod(cell, len(dl))
+        # the dictionary's codes all occur, so they are the rows
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(which))]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (ids.take(pa.array(own)), pa.array(tf.astype(np.int32)), pa.array(dl[own]))]
+        return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.full(len(ends) - 1, number)), *lists], names=names)
+
+    def total(rows: pa.Table, number: int) -> pa.RecordBatch:
+        words = pa.compute.sum(pa.compute.list_value_length(rows["w"])).as_py()
+        row = [pa.array([None], pa.string()), pa.array([number]), pa.array([[]], pa.list_(rows["id"].type)), *[pa.array([[x]], pa.list_(pa.int32())) for x in (rows.num_rows, words)]]
+        return pa.RecordBatch.from_arrays(row, names=names)
+
+    left = None
+    for batch in itertools.chain(batches, [None]):
+        rows = left if batch is None else pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
+        if rows is None or not rows.num_rows:
+            continue
+        numbers = rows["block"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1), rows.num_rows]
+        last = len(cuts) - (1 if batch is None else 2)  # the last block may go on in the next batch
+        for i, j in zip(cuts[:last], cuts[1 : last + 1], strict=True):
+            part = rows.slice(i, j - i)
+            yield block(part, numbers[i])
+            yield total(part, numbers[i])
+        left = rows.slice(cuts[last])
+
+
 def write(docs: DataFrame, path: str, *, tokens=T.standard_tokens, k1: float = 1.2, b: float = 0.75, block_docs: int = BLOCK_DOCS, folders: int = FOLDERS) -> None:
     """Writes the index of docs (id, text) to a folder that must not exist; documents without a token are not in it.
 
-    A posting costs one shuffle, to its token and block.  A block is bounded by its number of documents, so a token that stands
-    everywhere is many rows, dealt with all others.
+    A block lies in one task, which counts its words; only postings are stored and dealt by range, no text.  A block is bounded by its
+    number of documents, so a token that stands everywhere is many rows, dealt with all others.
     """
     numbered = docs.select("id", tokens(F.col("text")).alias("w"), F.expr(f"monotonically_increasing_id() div {block_docs}").alias("block")).where(F.size("w") > 0)
-    numbered.write.parquet(f"{path}/texts")
-    held = docs.sparkSession.read.schema(numbered.schema).parquet(f"{path}/texts")
-    n, average = held.agg(F.count(F.lit(1)), F.avg(F.size("w"))).first()
-    words = held.select("id", "block", F.size("w").alias("dl"), F.explode("w").alias("token")).repartition("token", "block")
-    counted = words.groupBy("token", "block", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(average or 1.0)))
-    rows = counted.groupBy("token", "block").agg(F.array_sort(F.collect_list(F.struct("id", part.alias("part")))).alias("p"))
-    rows = rows.select("token", "block", F.col("p.id").alias("ids"), F.col("p.part").alias("parts"), F.array_max("p.part").alias("most"))
+    kind = docs.schema["id"].dataType.simpleString()
+    made = f"token string, block long, ids array<{kind}>, tfs array<int>, dls array<int>"
+    numbered.mapInArrow(_counted, made).write.parquet(f"{path}/counts")
+    held = docs.sparkSession.read.schema(made).parquet(f"{path}/counts")
+    n, words = held.where("token is null").agg(F.sum(F.col("tfs")[0]), F.sum(F.col("dls")[0])).first()
+    average = F.lit(words / n if n else 1.0)
+    parts = F.zip_with("tfs", "dls", lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / average)))
+    rows = held.where("token is not null").select("token", "block", "ids", parts.alias("parts")).withColumn("most", F.array_max("parts"))
     rows = rows.withColumn("folder", F.pmod(F.xxhash64("token"), F.lit(folders)).cast("int"))
     by = ["folder", "token", "block"]  # ranges, so that a folder or a token may take many tasks
     rows.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy("folder").parquet(f"{path}/postings")
-    made = docs.sparkSession.read.parquet(f"{path}/postings") if n else rows
-    made.groupBy("token").agg(F.sum(F.size("ids")).alias("df")).write.parquet(f"{path}/tokens")
+    stored = docs.sparkSession.read.parquet(f"{path}/postings") if n else rows
+    stored.groupBy("token").agg(F.sum(F.size("ids")).alias("df")).write.parquet(f"{path}/tokens")
     docs.sparkSession.range(1).select(F.lit(n or 0).alias("documents"), F.lit(folders).alias("folders")).write.parquet(f"{path}/size")
 
 
