@@ -27,6 +27,12 @@ def entity_mentions(named: DataFrame, triples: DataFrame | None = None) -> DataF
     return rows.groupBy("chunk_id", "key").agg(F.min_by("name", F.struct("kind", "at", "name")).alias("name"))
 
 
+def chunk_keys(named: DataFrame) -> DataFrame:
+    """chunk_id, doc_id, key: what ``entity_mentions`` finds when relations join names of their own chunk; nothing is shuffled."""
+    keys = F.array_distinct(F.transform("names", lambda n: F.lower(F.trim(n))))
+    return named.select("chunk_id", "doc_id", F.explode(keys).alias("key")).where("key <> ''")
+
+
 def without_types(rows: DataFrame, *types: str) -> DataFrame:
     """Entities of other types (dates, as a rule); no type is none of them."""
     return rows.where(~F.upper(F.coalesce("entity_type", F.lit(""))).isin(*[t.upper() for t in types]))
@@ -48,6 +54,14 @@ def sentence_bridges(mentions: DataFrame, chunks: DataFrame, *, least: int = 1)
     return inside.select(F.explode("names.key").alias("key"), "chunk_id", "sentence_no", "sentence")
 
 
+def chunk_bridges(named: DataFrame, *, least: int = 1) -> DataFrame:
+    """``sentence_bridges`` of chunks by their own names, with doc_id: a chunk's names are in its row, so nothing is shuffled."""
+    own = F.array_distinct(F.transform("names", lambda n: F.struct(F.lower(F.trim(n)).alias("key"), F.lower(n).alias("name"))))
+    rows = named.select("chunk_id", "doc_id", own.alias("names"), F.posexplode(T.split_sentences(F.col("content"), least)).alias("sentence_no", "sentence"))
+    inside = rows.withColumn("body", F.lower("sentence")).withColumn("names", F.filter("names", lambda n: (n["key"] != "") & F.contains("body", n["name"])))
+    return inside.select(F.explode("names.key").alias("key"), "chunk_id", "doc_id", "sentence_no", "sentence")
+
+
 def adjacent_passages(chunks: DataFrame) -> DataFrame:
     """source, target, weight: each chunk to the one before it in its document, in file order."""
     order = Window.partitionBy("doc_id").orderBy("start_line", "end_line", "chunk_id")
