@@ -119,6 +119,39 @@ def opened(index: Index, asked: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", F.col("ids").alias("id")).agg(F.sum(F.col("weight") * F.col("parts")).alias("score"))
 
 
+def best_of_blocks(index: Index, asked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score as ``opened`` has them, of what can be among a query's k best: a block's best k, and of those what reaches ``least``.
+
+    blocks: query_id, block, least (null if unknown).  A block's postings meet in one task as they are stored, once for all queries; no document
+    is a row but those returned.
+    """
+    wanted = asked.groupBy("token").agg(F.collect_list(F.struct("query_id", "weight")).alias("asks"))
+    hits = index.postings.select("token", "block", "ids", "parts").join(wanted, "token").join(blocks.select("block").distinct(), "block", "left_semi")
+    kinds = {"query_id": blocks.schema["query_id"].dataType.simpleString(), "id": index.postings.schema["ids"].dataType.elementType.simpleString()}
+
+    def best(t: pa.Table, b: pa.Table) -> pa.Table:
+        rows = {q: i for i, q in enumerate(b["query_id"].to_pylist())}
+        ids = pa.concat_arrays(c.flatten() for c in t["ids"].chunks).dictionary_encode() if t.num_rows else pa.array([], t.schema.field("ids").type.value_type).dictionary_encode()
+        found = np.zeros((len(rows), len(ids.dictionary)))
+        at, parts = ids.indices.to_numpy(), np.concatenate([np.zeros(0), *(c.flatten().to_numpy() for c in t["parts"].chunks)])
+        ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(t["ids"]).to_numpy())]).astype(int)
+        for i, asks in enumerate(t["asks"].to_pylist()):
+            own = [(rows[a["query_id"]], a["weight"]) for a in asks if a["query_id"] in rows]
+            if own:
+                part = slice(ends[i], ends[i + 1])
+                who, weight = (np.array(x) for x in zip(*own, strict=True))
+                found[np.ix_(who, at[part])] += weight[:, None] * parts[part]
+        least = b["least"].to_numpy()
+        low = np.where(np.isnan(least), 0.0, least - 2 * MARGIN)
+        if found.shape[1] > k and len(rows):  # equal ones, to the digits that are compared, all stay
+            low = np.maximum(low, np.partition(found, found.shape[1] - k, axis=1)[:, -k] - 2 * MARGIN)
+        q, i = np.nonzero((found > 0) & (found >= low[:, None]))
+        return pa.table({"query_id": b["query_id"].combine_chunks().take(pa.array(q)), "id": ids.dictionary.take(pa.array(i)), "score": found[q, i]})
+
+    blocks = blocks.select("query_id", "block", F.col("least").cast("double").alias("least"))
+    return hits.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(best, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+
+
 def bounds(index: Index, asked: DataFrame) -> DataFrame:
     """query_id, block, bound: what no document of the block exceeds.  Reads maxima only."""
     heads = index.postings.select("token", "block", "most").join(asked, "token")
@@ -137,12 +170,12 @@ def search(index: Index, queries: DataFrame, k: int, *, checkpoint, first: int =
     reach = checkpoint(bounds(index, asked))
     ranked = top_k(reach, first, order=[F.desc("bound"), "block"])
     start = checkpoint(ranked.select("query_id", "block"))
-    found = checkpoint(opened(index, asked, start))
+    found = checkpoint(best_of_blocks(index, asked, start.withColumn("least", F.lit(None)), k))
     least = top_k(found, k, order=[F.desc("score"), "id"]).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     rest = reach.join(start, ["query_id", "block"], "left_anti").join(least, "query_id", "left")
-    rest = checkpoint(rest.where(F.col("least").isNull() | (F.col("bound") + MARGIN >= F.col("least"))).select("query_id", "block"))
-    hits = found.unionByName(opened(index, asked, rest))
+    rest = checkpoint(rest.where(F.col("least").isNull() | (F.col("bound") + MARGIN >= F.col("least"))).select("query_id", "block", "least"))
+    hits = found.unionByName(best_of_blocks(index, asked, rest, k))
     best = top_k(hits, k, order=[F.desc(F.round("score", digits)), "id"])
     counts = reach.select("query_id", F.lit(1).alias("blocks"), F.lit(0).alias("opened"))
-    counts = counts.unionByName(start.unionByName(rest).select("query_id", F.lit(0).alias("blocks"), F.lit(1).alias("opened")))
+    counts = counts.unionByName(start.unionByName(rest.drop("least")).select("query_id", F.lit(0).alias("blocks"), F.lit(1).alias("opened")))
     return best, counts.groupBy("query_id").agg(F.sum("blocks").alias("blocks"), F.sum("opened").alias("opened"))
